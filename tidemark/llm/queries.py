@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, mixing, sharding, tokens, toxicity, url_reputation
+from tidemark.llm import decontam, fingerprint, mixing, sharding, tokens, toxicity, url_reputation, warc
 from tidemark.llm.common import text_or_empty, written
 
 
@@ -34,6 +34,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size="size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sharded = sharding.shard_rows(docs, 24)
@@ -57,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_sharding": op6_sharding,
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
