@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, fingerprint, mixing, sharding, tokens, toxicity, url_reputation, warc
+from tidemark.llm import decontam, fingerprint, mixing, neardup, ngram_lm, sharding, tokens, toxicity, url_reputation, warc
 from tidemark.llm.common import text_or_empty, written
 
 
@@ -50,10 +50,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", F.col("shard_size").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [url_reputation.rule(*r) for r in (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))]
 
 
@@ -69,8 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_sharding": op6_sharding,
+    "op7_backoff_scores": op7_backoff_scores,
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
