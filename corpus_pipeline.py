@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, sharding, toxicity
+from tidemark.llm import decontam, mixing, neardup, sharding, toxicity
 from tidemark.llm.common import written
 from tidemark.llm.queries import table
 
@@ -16,6 +16,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one_of_each(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no passage of the benchmark."""
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the target weights of their sources ask for."""
     return mixing.mixed_documents(mixing.mix(docs)).select(*docs.columns)
@@ -28,6 +38,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("benchmark-leaks", drop_benchmark_leaks),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
