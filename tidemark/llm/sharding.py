@@ -9,7 +9,7 @@ number r of it goes to shard r mod n.  The counts of shards differ by one at mos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import root_buckets, text_or_empty
@@ -19,39 +19,44 @@ def bucket_permutations(counts: DataFrame, seed: int) -> DataFrame:
     """(bucket, offset, perm) from (bucket, n): where the bucket starts and the shuffled numbers 0 to n - 1.
 
     ``shuffle`` draws from one generator for each partition.  With a fixed number of
-    partitions, each sorted by bucket, reruns draw the same.
+    partitions, each sorted by bucket, reruns draw the same.  (The bucket is dealt by
+    another type than it is returned in: a join then deals these few rows like the documents
+    instead of the documents like them.)
     """
     # One row for each bucket, about the square root of the row count.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return (
-        placed.repartition(64, "bucket").sortWithinPartitions("bucket")
-        .select("bucket", "offset", F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(seed)).alias("perm"))
+        placed.withColumn("bucket", F.col("bucket").cast("int")).repartition(64, "bucket").sortWithinPartitions("bucket")
+        .select(F.col("bucket").cast("long").alias("bucket"), "offset", F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(seed)).alias("perm"))
     )
 
 
-def shard_rows(docs: DataFrame, shards: int, *, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with the columns shard_size, shard and slot.
+def record_size(text: Column) -> Column:
+    """A record's size: the text's UTF-8 bytes (null: none) plus 8."""
+    return (F.octet_length(text_or_empty(text)) + 8).cast("long")
 
-    shard_size is the text's UTF-8 bytes plus 8 (null: 8).  Slots count from 0
-    without gaps in each shard.  Rows scatter by the hash of doc_id and text: null
-    ids are as good as others, and equal rows are kept, each in a slot of its own.
-    Empty tables give empty results.
+
+def shard_rows(docs: DataFrame, shards: int, *, seed: int = 17, key: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """docs with the columns shard and slot.
+
+    Slots count from 0 without gaps in each shard.  Rows scatter by the hash of the key
+    columns, which should tell rows apart: null ids are as good as others, and
+    equal rows are kept, each in a slot of its own.  Columns of docs with the new names
+    are replaced.  Empty tables give empty results.
     """
     buckets = root_buckets(docs.count())
-    key = [F.col(f"`{doc_id}`"), F.col(f"`{text}`")]
-    rows = docs.select("*", F.struct(
-        F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int").alias("bucket"),
-        F.xxhash64(F.lit(seed + 1), *key).alias("order"),
-        (F.octet_length(text_or_empty(F.col(f"`{text}`"))) + 8).cast("long").alias("size"),
-    ).alias("_tidemark_shuffle"))
-    counts = rows.groupBy(F.col("_tidemark_shuffle.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    numbered = rows.withColumn("_tidemark_bucket", F.col("_tidemark_shuffle.bucket")).withColumn("_tidemark_number", F.row_number().over(Window.partitionBy("_tidemark_bucket").orderBy("_tidemark_shuffle.order")) - 1)
-    perms = bucket_permutations(counts, seed).select(F.col("bucket").alias("_tidemark_bucket"), "offset", "perm")
-    place = F.col("offset") + F.get(F.col("perm"), F.col("_tidemark_number"))
+    by = [F.col(f"`{c}`") for c in key]
+    rows = docs.select(
+        "*", F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(buckets)).alias("_tidemark_bucket"), F.xxhash64(F.lit(seed + 1), *by).alias("_tidemark_order")
+    )
+    counts = rows.groupBy(F.col("_tidemark_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    perms = bucket_permutations(counts, seed).select(F.col("bucket").alias("_tidemark_bucket"), F.col("offset").alias("_tidemark_offset"), F.col("perm").alias("_tidemark_perm"))
+    number = F.row_number().over(Window.partitionBy("_tidemark_bucket").orderBy("_tidemark_order")) - 1
+    place = F.col("_tidemark_offset") + F.get(F.col("_tidemark_perm"), F.col("_tidemark_number"))
     return (
-        numbered.join(perms, "_tidemark_bucket")
-        .select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard_size", "shard", "slot")), F.col("_tidemark_shuffle.size").alias("shard_size"), place.alias("_tidemark_place"))
+        rows.withColumn("_tidemark_number", number).join(perms, "_tidemark_bucket")
+        .select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")), place.alias("_tidemark_place"))
         .select("*", (F.col("_tidemark_place") % shards).cast("int").alias("shard"), F.floor(F.col("_tidemark_place") / shards).cast("long").alias("slot"))
         .drop("_tidemark_place")
     )
