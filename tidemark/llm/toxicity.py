@@ -9,9 +9,9 @@ R_p and R_u being the mean logistic losses over the toxic and the unlabelled tex
 when they are taken for toxic (+) or clean (-).
 
 A text is described by its distinct words: each adds the weights of the word and of
-its first 4, 5 and 6 letters, hashed into a fixed number of dimensions.  Weights are
-kept at 0 or above and shrunk (L1), so that only evidence of toxicity counts and a
-long clean text gathers none.
+its first 4, 5 and 6 letters, known by their CRC-32.  Only features that tell toxic texts
+from others are taken, and weights are kept at 0 or above and shrunk (L1), so that
+only evidence of toxicity counts and a long clean text gathers none.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
 
-DIMENSIONS = 1 << 18
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -41,7 +40,8 @@ def word_features(token: str) -> list[int]:
     if len(word) < 2:
         return []
     keys = [f"w:{word}", *(f"p:{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
-    return [zlib.crc32(k.encode()) % DIMENSIONS for k in keys]
+    # Even numbers are whole words, odd ones beginnings.
+    return [zlib.crc32(k.encode()) << 1 | (k[0] == "p") for k in keys]
 
 
 def text_features(text: str | None) -> tuple[list[int], list[int]]:
@@ -54,34 +54,64 @@ def text_features(text: str | None) -> tuple[list[int], list[int]]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    weights: np.ndarray
+    weights: dict[int, float]
     bias: float
     prior: float
 
     def word_weight(self, token: str) -> float:
-        return float(sum(self.weights[i] for i in word_features(token)))
+        return math.fsum(self.weights.get(i, 0.0) for i in word_features(token))
 
 
-def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, *, steps: int = 400, rate: float = 0.05, shrink: float = 2e-5) -> ToxicityModel:
+def precise_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_precision: float, least_texts: float) -> np.ndarray:
+    """Features whose precision, the share of toxic texts among all that have them, is surely above least_precision.
+
+    By positive-unlabelled data it is prior P(feature | toxic) / P(feature); both
+    shares are taken a standard deviation to the safe side.
+    """
+    toxic_keys, in_toxic = np.unique(np.concatenate(positive), return_counts=True)
+    all_keys, counts = np.unique(np.concatenate(unlabelled), return_counts=True)
+    at = np.minimum(np.searchsorted(all_keys, toxic_keys), max(0, len(all_keys) - 1))
+    in_all = np.where(all_keys[at] == toxic_keys, counts[at], 0) if len(all_keys) else np.zeros(len(toxic_keys))
+    low = prior * (in_toxic - np.sqrt(in_toxic)) / len(positive)
+    high = (in_all + np.sqrt(in_all + 1)) / len(unlabelled)
+    return toxic_keys[(low > least_precision * high) & (in_toxic >= least_texts)]
+
+
+def telling_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_precision: float) -> np.ndarray:
+    """Precise whole words, and beginnings that are precise among the texts without any of those.
+
+    So a beginning isn't taken for what one of its words explains.  Features of fewer than 2 %
+    of the toxic texts (or of five) are left out: they may come from a few copies.
+    """
+    least = max(5.0, 0.02 * len(positive))
+    words = precise_features([f[f & 1 == 0] for f in positive], [f[f & 1 == 0] for f in unlabelled], prior, least_precision, least)
+    toxic_rest = [f for f in positive if not np.isin(f, words).any()]
+    rest = [f for f in unlabelled if not np.isin(f, words).any()]
+    if not toxic_rest or not rest:
+        return words
+    left = min(0.9, prior * (len(toxic_rest) / len(positive)) / (len(rest) / len(unlabelled)))
+    begins = precise_features([f[f & 1 == 1] for f in toxic_rest], [f[f & 1 == 1] for f in rest], left, least_precision, least)
+    return np.sort(np.concatenate([words, begins]))
+
+
+def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, *, steps: int = 600, rate: float = 0.05, shrink: float = 1e-5, least_precision: float = 0.5) -> ToxicityModel:
     """Minimises the non-negative risk by full-batch Adam with a proximal step.
 
     positive, unlabelled: (features, counts) of each text.  No toxic text, or a
     prior of 0: all scores are 0.  Counts enter as min(count, 3).
     """
-    weights = np.zeros(DIMENSIONS)
     if not positive or not unlabelled or prior <= 0:
-        return ToxicityModel(weights.astype(np.float32), -40.0, 0.0)
+        return ToxicityModel({}, -40.0, 0.0)
     rows = [*positive, *unlabelled]
-    used = np.unique(np.concatenate([np.asarray(f, np.int64) for f, _ in positive]))
-    # A feature that no toxic text has keeps the weight 0: its gradient only falls.
-    where = np.full(DIMENSIONS, -1, np.int64)
-    where[used] = np.arange(len(used))
+    p = min(prior, 0.9)
+    used = telling_features([np.asarray(f, np.int64) for f, _ in positive], [np.asarray(f, np.int64) for f, _ in unlabelled], p, least_precision)
     row_of = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    column = where[np.concatenate([np.asarray(f, np.int64) for f, _ in rows])]
+    keys = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
+    column = np.minimum(np.searchsorted(used, keys), max(0, len(used) - 1))
+    known = used[column] == keys if len(used) else np.zeros(len(keys), bool)
     value = np.minimum(np.concatenate([np.asarray(c, np.float64) for _, c in rows]), 3.0)
-    row_of, column, value = row_of[column >= 0], column[column >= 0], value[column >= 0]
+    row_of, column, value = row_of[known], column[known], value[known]
     toxic = np.arange(len(rows)) < len(positive)
-    p = min(prior, 0.9)
     share = np.where(toxic, p / len(positive), 1.0 / len(unlabelled))
     w, b = np.zeros(len(used)), float(np.log(p / (1 - p)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -102,8 +132,7 @@ def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, *, st
         ratio = rate / (np.sqrt(v[:-1] / (1 - 0.99**step)) + 1e-8)
         w = np.maximum(0.0, w - move[:-1] - np.minimum(ratio * shrink, 1.0))
         b -= move[-1]
-    weights[used] = w
-    return ToxicityModel(weights.astype(np.float32), b, p)
+    return ToxicityModel({int(k): float(x) for k, x in zip(used, w, strict=True) if x > 0}, b, p)
 
 
 def in_fold(doc_id: str = "doc_id", folds: int = 5):
@@ -140,11 +169,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 3000,
         for batch in slices(batches, 2):
             found = [text_features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int32()))],
                 ["toxic", "unlabelled", "features", "counts"],
             )
 
-    table = sent.mapInArrow(describe, "toxic boolean, unlabelled boolean, features array<int>, counts array<int>").toArrow()
+    table = sent.mapInArrow(describe, "toxic boolean, unlabelled boolean, features array<bigint>, counts array<int>").toArrow()
     rows = list(zip(*(table.column(c).to_pylist() if c in ("toxic", "unlabelled") else [x.values.to_numpy() for x in table.column(c)] for c in table.column_names), strict=True))
     # The order in which tasks end must not matter.
     rows.sort(key=lambda r: (len(r[2]), zlib.crc32(np.sort(r[2]).tobytes())))
