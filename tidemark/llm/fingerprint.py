@@ -40,11 +40,11 @@ def fingerprint(text: Column) -> Column:
 
 def fingerprint_of_parts(found: Column) -> Column:
     """The fingerprint of an array of parts, in any order."""
-    words = [F.array(F.size(found).cast("long"))]
-    for seed in SEEDS:
-        hashes = F.transform(found, lambda p, seed=seed: F.xxhash64(F.lit(seed), p))
-        words.append(_sums(hashes))
-    return F.concat(*words)
+    return F.concat(F.array(F.size(found).cast("long")), *(_sums(_hashes(found, seed)) for seed in SEEDS))
+
+
+def _hashes(found: Column, seed: int) -> Column:
+    return F.transform(found, lambda p: F.xxhash64(F.lit(seed), p))
 
 
 def _sums(hashes: Column) -> Column:
