@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +43,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, so that compression finds the planes that are empty."""
+    """Whole numbers as planes of bytes, compressed: high planes are nearly empty."""
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return planes[: max(1, int(values.max(initial=0)).bit_length() + 7 >> 3)].tobytes()
+    return zstandard.compress(planes[: max(1, int(values.max(initial=0)).bit_length() + 7 >> 3)].tobytes(), 1)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     if n:
-        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, n)
         out[:, : len(planes)] = planes.T
     return out.view("<u8").ravel()
 
