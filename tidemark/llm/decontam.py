@@ -283,16 +283,20 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.2
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.2, recall: float = 0.95, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs that leak no item, with all their columns."""
     for rows in blocks_of(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(prepare(rows, share=share, recall=recall))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(prepare(rows, share=share, recall=recall)))("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            for series in texts:
-                kept = np.ones(len(series), bool)
-                for first in range(0, len(series), 256):
-                    for n, *_ in leaks_in(series.iloc[first : first + 256].tolist(), sent.value):
-                        kept[first + n] = False
-                yield pd.Series(kept)
 
-        docs = docs.where(clean("text"))
-    return docs
+def _clean(sent):
+    """A pandas UDF: whether a text leaks no item of the broadcast block."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            kept = np.ones(len(series), bool)
+            for first in range(0, len(series), 256):
+                for n, *_ in leaks_in(series.iloc[first : first + 256].tolist(), sent.value):
+                    kept[first + n] = False
+            yield pd.Series(kept)
+
+    return clean

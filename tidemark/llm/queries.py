@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, fingerprint, mixing, neardup, ngram_lm, sharding, tokens, toxicity, url_reputation, warc
+from tidemark.llm import decontam, fingerprint, mixing, neardup, ngram_lm, oracles, sharding, tokens, toxicity, url_reputation, warc
 from tidemark.llm.common import text_or_empty, written
 
 
@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": oracles.OP4_WARC, "op9_url_filter": oracles.OP9_URL_FILTER}

@@ -21,6 +21,9 @@ from tidemark.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: The share of bad pages to be expected before any label is seen; it weighs as one page.
+PRIOR_BAD = 0.1
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -94,7 +97,7 @@ def host_reputation(outcomes: DataFrame, *, z: float = 1.645, least_strength: fl
     """
     keyed = outcomes.select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad")
     total = keyed.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    prior = F.lit((total.bad + 1) / (total.n + 2))
+    prior = F.lit((total.bad + PRIOR_BAD) / (total.n + 1))
     bounds = {"least_strength": least_strength, "most_strength": most_strength}
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     suffixes = _shrunk(keyed.groupBy("suffix").agg(*sums).withColumn("prior", prior), ["suffix"], **bounds)
