@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality, transforms
-from tidemark.schemas import RIVER, RIVER_STATIONS, struct
+from tidemark.schemas import RIVER, RIVER_STATIONS
 from tidemark.sources import lake as L
 
-COMMITS = struct("run_id string, endpoint string, dataset string, row_count bigint, committed_at timestamp")
-DATASETS = {RIVER: ("observations",), RIVER_STATIONS: ("stations", "observations")}
+COMMITS = "run_id string, endpoint string, dataset string, row_count bigint, committed_at timestamp"
 
 
 def commit_log(spark: SparkSession, lake: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clean_text, normalize_trend, point_lat, point_lon, safe_timestamp
-from tidemark.schemas import OBSERVATIONS, RIVER, RIVER_STATIONS, STATIONS
+from tidemark.schemas import OBSERVATIONS, RIVER, RIVER_STATIONS, STATIONS, fields
 
 PROVIDER = "bipad"
 
@@ -16,11 +16,10 @@ def guard_endpoint(endpoint: str, wanted: str) -> None:
         raise ValueError(f"this transform takes records of {wanted!r}, not of {endpoint!r}")
 
 
-def typed(df: DataFrame, columns: dict[str, Column], schema) -> DataFrame:
+def typed(df: DataFrame, columns: dict[str, Column], schema: str) -> DataFrame:
     """The schema's columns, in its order and types, and whatever columns are more."""
-    names = [f.name for f in schema.fields]
-    own = [columns[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
-    return df.select(*own, *(c.alias(n) for n, c in columns.items() if n not in names))
+    kinds = fields(schema)
+    return df.select(*(columns[n].cast(t).alias(n) for n, t in kinds.items()), *(c.alias(n) for n, c in columns.items() if n not in kinds))
 
 
 def _common(text: bool) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -348,7 +348,10 @@ def point_coordinates(spark, sf_dir):
 
 # Quality
 
-_JOINED = [F.array_join("quality_errors", ",").alias("errors"), F.array_join("quality_warnings", ",").alias("warnings")]
+
+def joined_rules() -> list[Column]:
+    return [F.array_join("quality_errors", ",").alias("errors"), F.array_join("quality_warnings", ",").alias("warnings")]
+
 
 
 def graded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,12 +360,12 @@ def graded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, run_id, errors, warnings, quality_status from oqs")
 def observation_quality(spark, sf_dir):
-    return graded_observations(spark, sf_dir).select("event_id", "run_id", *_JOINED, "quality_status")
+    return graded_observations(spark, sf_dir).select("event_id", "run_id", *joined_rules(), "quality_status")
 
 
 @query("select station_id, run_id, errors, warnings, case when errors <> '' then 'fail' when warnings <> '' then 'warn' else 'pass' end as quality_status from sq")
 def station_quality(spark, sf_dir):
-    return Q.station_quality(D.stations(spark, sf_dir)).select("station_id", "run_id", *_JOINED, "quality_status")
+    return Q.station_quality(D.stations(spark, sf_dir)).select("station_id", "run_id", *joined_rules(), "quality_status")
 
 
 @query("select o.event_id, r.run_id is not null as repeated from obs_dup o left join dup_rec r on o.run_id = r.run_id and o.source_record_id = r.source_record_id")

@@ -11,10 +11,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.schemas import MANIFEST, PROCESSED, TEXT_PAGE, page_schema, record_schema
+from tidemark.schemas import MANIFEST, PROCESSED, TEXT_PAGE, fields, page_schema, record_schema
 
 PAGE_IN_PATH = r"page=(\d+)/[^/]+$"
-PARTITIONS = "dataset string, endpoint string, year int, month int, day int, hour int"
 
 
 class MissingDataset(ValueError):
@@ -87,7 +86,7 @@ def scan_processed(spark: SparkSession, lake: str, dataset: str) -> DataFrame:
     root = f"{lake}/processed"
     df = _files(spark, f"{root}/dataset={dataset}", "parquet", None, mergeSchema=True, basePath=root)
     have = {c.lower() for c in df.columns}
-    return df.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in PROCESSED[dataset].fields if f.name.lower() not in have))
+    return df.select("*", *(F.lit(None).cast(t).alias(n) for n, t in fields(PROCESSED[dataset]).items() if n.lower() not in have))
 
 
 def scan_manifests(spark: SparkSession, lake: str) -> DataFrame:
