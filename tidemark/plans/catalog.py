@@ -346,6 +346,48 @@ def point_coordinates(spark, sf_dir):
     return D.observations(spark, sf_dir).where("latitude is not null").select("event_id", C.point_lon(point).alias("lon"), C.point_lat(point).alias("lat"), C.safe_timestamp(text).alias("parsed"))
 
 
+@query("select station_id, run_id, nullif(trim(station_name), '') as name from sta")
+def clean_text(spark, sf_dir):
+    return D.stations(spark, sf_dir).select("station_id", "run_id", C.clean_text(F.col("station_name")).alias("name"))
+
+
+@query("select station_id, run_id, station_series_id is null or trim(station_series_id) = '' as blank_series, trim(station_name) = '' as blank_name from sta")
+def is_blank(spark, sf_dir):
+    return D.stations(spark, sf_dir).select("station_id", "run_id", C.is_blank(F.col("station_series_id")).alias("blank_series"), C.is_blank(F.col("station_name")).alias("blank_name"))
+
+
+def _point() -> Column:
+    """A point that lacks its latitude for every fifth event, and all for every seventh."""
+    short = F.when(F.col("event_id") % 5 == 0, F.array("longitude")).otherwise(F.array("longitude", "latitude"))
+    return F.when(F.col("event_id") % 7 != 0, F.struct(short.alias("coordinates")))
+
+
+@query("select event_id, case when event_id % 7 <> 0 then longitude end as lon from obs")
+def point_lon(spark, sf_dir):
+    return D.observations(spark, sf_dir).select("event_id", C.point_lon(_point()).alias("lon"))
+
+
+@query("select event_id, case when event_id % 7 <> 0 and event_id % 5 <> 0 then latitude end as lat from obs")
+def point_lat(spark, sf_dir):
+    return D.observations(spark, sf_dir).select("event_id", C.point_lat(_point()).alias("lat"))
+
+
+@query("select event_id, case when event_id % 3 <> 0 then observed_at end as parsed from obs")
+def safe_timestamp(spark, sf_dir):
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("on "), F.col("station_id"))).otherwise(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+    return D.observations(spark, sf_dir).select("event_id", C.safe_timestamp(text).alias("parsed"))
+
+
+@query("select event_id, (epoch(ingested_at) - epoch(observed_at)) / 3600.0 as age_hours from obs")
+def observation_age_hours(spark, sf_dir):
+    return D.observations(spark, sf_dir).select("event_id", C.observation_age_hours(F.col("observed_at"), F.col("ingested_at")).alias("age_hours"))
+
+
+@query("select station_id, has_observation from snap")
+def has_observation(spark, sf_dir):
+    return snapshot(spark, sf_dir).select("station_id", "has_observation")
+
+
 # Quality
 
 
@@ -368,6 +410,27 @@ def station_quality(spark, sf_dir):
     return Q.station_quality(D.stations(spark, sf_dir)).select("station_id", "run_id", *joined_rules(), "quality_status")
 
 
+@query("select event_id, concat_ws(',', case when water_level_m is null then 'no_level' end, case when warning_level_m > danger_level_m then 'odd_levels' end) as flags from obs")
+def rule_flags(spark, sf_dir):
+    rules = [("no_level", F.col("water_level_m").isNull()), ("odd_levels", F.col("warning_level_m") > F.col("danger_level_m"))]
+    return D.observations(spark, sf_dir).select("event_id", F.array_join(C.rule_flags(rules), ",").alias("flags"))
+
+
+@query("select event_id, latitude is not null and (latitude < -90 or latitude > 90) as bad_latitude, longitude < -180 or longitude > 180 as bad_longitude, latitude is null or longitude is null as no_pair, coalesce(warning_level_m > danger_level_m, false) as odd_levels from obs")
+def range_rule(spark, sf_dir):
+    """The range, pair and cross-field rules of all observations."""
+    c = F.col
+    return D.observations(spark, sf_dir).select(
+        "event_id", Q.outside(c("latitude"), 90).alias("bad_latitude"), Q.outside(c("longitude"), 180).alias("bad_longitude"), (c("latitude").isNull() | c("longitude").isNull()).alias("no_pair"),
+        F.coalesce(c("warning_level_m") > c("danger_level_m"), F.lit(False)).alias("odd_levels"),
+    )
+
+
+@query(f"select event_id, endpoint = '{RIVER_STATIONS}' and epoch(ingested_at) - epoch(observed_at) > 86400 as stale from obs")
+def stale_rule(spark, sf_dir):
+    return D.observations(spark, sf_dir).select("event_id", Q.stale(24.0).alias("stale"))
+
+
 @query("select o.event_id, r.run_id is not null as repeated from obs_dup o left join dup_rec r on o.run_id = r.run_id and o.source_record_id = r.source_record_id")
 def duplicate_in_run(spark, sf_dir):
     return Q.duplicate_in_run(D.observations(spark, sf_dir, 0.25), ["source_record_id"], "repeated").select("event_id", "repeated")
