@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import clean_text, normalize_trend, point_lat, point_lon, safe_timestamp
 from tidemark.schemas import OBSERVATIONS, RIVER, RIVER_STATIONS, STATIONS, fields
 
-PROVIDER = "bipad"
-
 
 def guard_endpoint(endpoint: str, wanted: str) -> None:
     if endpoint != wanted:
@@ -27,7 +25,7 @@ def _common(text: bool) -> dict[str, Column]:
     r = lambda name: F.col(f"record.{name}")
     say = (lambda name: clean_text(r(name))) if text else r
     return {
-        "station_name": say("title"), "basin_name": say("basin"), "latitude": point_lat(r("point")), "longitude": point_lon(r("point")), "provider": F.lit(PROVIDER),
+        "station_name": say("title"), "basin_name": say("basin"), "latitude": point_lat(r("point")), "longitude": point_lon(r("point")), "provider": F.col("provider"),
         "original_source": say("dataSource"), "source_created_at": safe_timestamp(r("createdOn")), "source_modified_at": safe_timestamp(r("modifiedOn")),
         "ingested_at": F.col("ingested_at"), "run_id": F.col("run_id"), "source_page_index": F.col("source_page_index"),
     }

@@ -114,10 +114,10 @@ def validate_records(pages: DataFrame, endpoint: str, start_index: int = 0) -> D
     earlier = Window.partitionBy("run_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)
     counted = pages.select("endpoint", "run_id", "page_index", F.coalesce(F.size("results"), F.lit(0)).alias("n"))
     offsets = counted.select("run_id", "page_index", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    rows = pages.select("endpoint", "run_id", "page_index", F.posexplode("results").alias("pos", "raw")).join(offsets, ["run_id", "page_index"])
+    rows = pages.select("endpoint", "provider", "run_id", "page_index", F.posexplode("results").alias("pos", "raw")).join(offsets, ["run_id", "page_index"])
     raw = F.coalesce("raw", F.lit("null"))
     return rows.select(
-        "endpoint", "run_id", "page_index", (F.col("offset") + F.col("pos") + start_index).alias("record_index"), raw.alias("raw"), validation_issues(raw, endpoint).alias("issues")
+        "endpoint", "provider", "run_id", "page_index", (F.col("offset") + F.col("pos") + start_index).alias("record_index"), raw.alias("raw"), validation_issues(raw, endpoint).alias("issues")
     ).withColumn("record", F.when(F.size("issues") == 0, F.from_json("raw", record_schema(endpoint))))
 
 

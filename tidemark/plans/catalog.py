@@ -607,7 +607,7 @@ def quarantine_sink(spark, sf_dir):
     """Envelopes of the invalid records, written and read again."""
     path = D.shared_path(spark, "quarantine")
     bad = all_validated(spark, sf_dir).where("size(issues) > 0").join(D.captures(spark, sf_dir), "run_id")
-    L.write_quarantine(L.quarantine_envelopes(bad, "bipad"), path)
+    L.write_quarantine(L.quarantine_envelopes(bad, "gauges"), path)
     kind = f"provider string, endpoint string, run_id string, captured_at timestamp, page_index int, record_index bigint, raw_record string, issues array<{validation.ISSUE}>"
     return _issue_texts(spark.read.schema(kind).json(path))
 

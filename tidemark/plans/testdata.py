@@ -109,7 +109,7 @@ def raw_lake(spark: SparkSession, sf_dir: str) -> str:
         pages = raw_records(spark, sf_dir).groupBy("endpoint", "run_id", "ingested_at", "page").agg(F.array_sort(F.collect_list(F.struct("event_id", "record"))).alias("r"))
         body = F.concat(F.lit('{"count":'), F.size("r").cast("string"), F.lit(',"next":null,"previous":null,"results":['), F.array_join(F.transform("r", lambda x: x["record"]), ","), F.lit("]}"))
         at = F.col("ingested_at")
-        keyed = pages.select(body.alias("value"), F.lit("bipad").alias("provider"), "endpoint", F.year(at).alias("year"), F.month(at).alias("month"), F.dayofmonth(at).alias("day"), F.hour(at).alias("hour"), "run_id", "page")
+        keyed = pages.select(body.alias("value"), F.lit("gauges").alias("provider"), "endpoint", F.year(at).alias("year"), F.month(at).alias("month"), F.dayofmonth(at).alias("day"), F.hour(at).alias("hour"), "run_id", "page")
         keyed.write.partitionBy("provider", "endpoint", "year", "month", "day", "hour", "run_id", "page").text(f"{lake}/raw")
         manifests(spark, sf_dir, lake).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{lake}/manifests")
         _lakes[key] = lake
@@ -126,7 +126,7 @@ def manifests(spark: SparkSession, sf_dir: str, lake: str) -> DataFrame:
     lines = L.raw_lineage(spark, lake, RIVER).unionByName(L.raw_lineage(spark, lake, RIVER_STATIONS))
     page = F.struct("page_index", "record_count", "payload_key", "payload_size_bytes", "payload_sha256")
     runs = lines.groupBy("endpoint", "run_id").agg(F.array_sort(F.collect_list(page)).alias("raw_pages"))
-    return runs.join(captures(spark, sf_dir), "run_id").select(F.lit(1).alias("manifest_version"), F.lit("completed").alias("status"), F.lit("bipad").alias("provider"), "endpoint", "run_id", "captured_at", "raw_pages")
+    return runs.join(captures(spark, sf_dir), "run_id").select(F.lit(1).alias("manifest_version"), F.lit("completed").alias("status"), F.lit("gauges").alias("provider"), "endpoint", "run_id", "captured_at", "raw_pages")
 
 
 def pipeline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def _files(spark: SparkSession, root: str, fmt: str, schema=None, **options) ->
 
 
 def scan_raw_pages(spark: SparkSession, lake: str, endpoint: str, run_id: str | None = None, *, typed: bool = True) -> DataFrame:
-    """Pages of an endpoint (of one run, if it is named): the page's fields, run_id, page_index, file.
+    """Pages of an endpoint (of one run, if it is named): the page's fields, and provider, run_id, page_index and file from its path.
 
     typed: records as structs; else each as its JSON text, so that an element that is
     no object doesn't take the page's others with it.
@@ -51,7 +51,7 @@ def scan_raw_pages(spark: SparkSession, lake: str, endpoint: str, run_id: str |
     schema = page_schema(endpoint) if typed else TEXT_PAGE
     pages = _files(spark, at, "json", schema, recursiveFileLookup=True)
     file = F.col("_metadata.file_path")
-    return pages.select("*", F.lit(endpoint).alias("endpoint"), F.regexp_extract(file, r"run_id=([^/]+)/", 1).alias("run_id"), F.regexp_extract(file, PAGE_IN_PATH, 1).cast("int").alias("page_index"), file.alias("file"))
+    return pages.select("*", F.lit(endpoint).alias("endpoint"), F.regexp_extract(file, r"provider=([^/]+)/", 1).alias("provider"), F.regexp_extract(file, r"run_id=([^/]+)/", 1).alias("run_id"), F.regexp_extract(file, PAGE_IN_PATH, 1).cast("int").alias("page_index"), file.alias("file"))
 
 
 def require_pages(pages: DataFrame) -> DataFrame:
@@ -61,12 +61,12 @@ def require_pages(pages: DataFrame) -> DataFrame:
 
 
 def explode_records(pages: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row for each record that isn't null: record, run_id, source_page_index, ingested_at.
+    """One row for each record that isn't null: record, provider, run_id, source_page_index, ingested_at.
 
     runs (run_id, captured_at) gives each run its time of capture; a page of an
     unknown run has none.
     """
-    rows = pages.select("endpoint", "run_id", F.col("page_index").alias("source_page_index"), F.explode("results").alias("record")).where("record is not null")
+    rows = pages.select("endpoint", "provider", "run_id", F.col("page_index").alias("source_page_index"), F.explode("results").alias("record")).where("record is not null")
     return rows.join(runs.select("run_id", F.col("captured_at").alias("ingested_at")), "run_id", "left")
 
 
