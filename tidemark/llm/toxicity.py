@@ -40,8 +40,8 @@ def word_features(token: str) -> list[int]:
     if len(word) < 2:
         return []
     keys = [f"w:{word}", *(f"p:{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
-    # Even numbers are whole words, odd ones beginnings.
-    return [zlib.crc32(k.encode()) << 1 | (k[0] == "p") for k in keys]
+    # 31 bits: even numbers are whole words, odd ones beginnings.
+    return [(zlib.crc32(k.encode()) & 0x3FFFFFFF) << 1 | (k[0] == "p") for k in keys]
 
 
 def text_features(text: str | None) -> tuple[list[int], list[int]]:
@@ -102,15 +102,17 @@ def fit_nnpu(positive: list[tuple], unlabelled: list[tuple], prior: float, *, st
     """
     if not positive or not unlabelled or prior <= 0:
         return ToxicityModel({}, -40.0, 0.0)
-    rows = [*positive, *unlabelled]
     p = min(prior, 0.9)
-    used = telling_features([np.asarray(f, np.int64) for f, _ in positive], [np.asarray(f, np.int64) for f, _ in unlabelled], p, least_precision)
+    arrays = lambda rows: [np.asarray(f, np.int32) for f, _ in rows]
+    used = telling_features(arrays(positive), arrays(unlabelled), p, least_precision)
+    # Only the features that are used go on: a few for each text.
+    rows = []
+    for f, c in (*positive, *unlabelled):
+        kept = np.isin(f, used)
+        rows.append((np.asarray(f, np.int32)[kept], np.asarray(c)[kept]))
     row_of = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    keys = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
-    column = np.minimum(np.searchsorted(used, keys), max(0, len(used) - 1))
-    known = used[column] == keys if len(used) else np.zeros(len(keys), bool)
-    value = np.minimum(np.concatenate([np.asarray(c, np.float64) for _, c in rows]), 3.0)
-    row_of, column, value = row_of[known], column[known], value[known]
+    column = np.searchsorted(used, np.concatenate([f for f, _ in rows]))
+    value = np.minimum(np.concatenate([c for _, c in rows]).astype(np.float64), 3.0)
     toxic = np.arange(len(rows)) < len(positive)
     share = np.where(toxic, p / len(positive), 1.0 / len(unlabelled))
     w, b = np.zeros(len(used)), float(np.log(p / (1 - p)))
@@ -169,11 +171,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, positives: int = 3000,
         for batch in slices(batches, 2):
             found = [text_features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([[min(3, x) for x in c] for _, c in found], pa.list_(pa.int8()))],
                 ["toxic", "unlabelled", "features", "counts"],
             )
 
-    table = sent.mapInArrow(describe, "toxic boolean, unlabelled boolean, features array<bigint>, counts array<int>").toArrow()
+    table = sent.mapInArrow(describe, "toxic boolean, unlabelled boolean, features array<int>, counts array<tinyint>").toArrow()
     rows = list(zip(*(table.column(c).to_pylist() if c in ("toxic", "unlabelled") else [x.values.to_numpy() for x in table.column(c)] for c in table.column_names), strict=True))
     # The order in which tasks end must not matter.
     rows.sort(key=lambda r: (len(r[2]), zlib.crc32(np.sort(r[2]).tobytes())))
