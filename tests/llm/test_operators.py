@@ -458,6 +458,32 @@ def test_near_duplicates_against_brute_force(spark, copies):
     assert sorted(x for x in kept if x is not None) == sorted({c for d, c in want if d is not None})
 
 
+def test_large_buckets_lose_no_link(spark):
+    rng = random.Random(4)
+    # Copies that drift from texts that aren't there: most links lead through others than leaders.
+    rows = []
+    for _ in range(2):
+        hub = sentence(rng, 400).split()
+        for _ in range(130):
+            words = list(hub)
+            for at in rng.sample(range(400), rng.randint(3, 9)):
+                words[at] = f"odd{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    idf = neardup.damped_idf(*neardup.word_frequencies(docs))
+    sets = [neardup.weighted_shingles(neardup.word_hashes(t, neardup.WordHashes()), idf) for _, t in rows]
+    keys = neardup.band_keys(sets)
+    assert max(Counter(map(tuple, zip(np.tile(range(neardup.BANDS), len(rows)), keys.ravel(), strict=True))).values()) > 64
+    top = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and neardup.similarity(sets[i], sets[j]) >= 0.8:
+                top = [top[j] if x == top[i] else x for x in top]
+    want = {i: min(j for j in range(len(rows)) if top[j] == top[i]) for i in range(len(rows))}
+    for sizes in ({}, {"small": 10, "block": 16, "leaders": 2}, {"small": 1000}):
+        assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs, **sizes).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicate_classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

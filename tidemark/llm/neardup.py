@@ -13,8 +13,11 @@ Texts that share the key of a band are a bucket:
   same texts are verified once;
 - a larger one has leaders: its members with the most partners in all their buckets.
   Members are verified against the first leader, those it doesn't accept against the
-  next ones, in blocks of bounded size.  Members that no leader accepts are
-  verified against each other, all pairs, in blocks.
+  next ones, in blocks of bounded size.  Then every pair of a large bucket that the links
+  found so far don't join, accepted members included, is verified in pairs of blocks.
+
+So each pair that shares a bucket is verified or joined by verified links: only the
+banding loses links, and neither `small` nor the leaders change the classes.
 
 Document frequencies are of words hashed to a fixed number of buckets over all
 documents; the damped idf lies between 1 and 2, so that copies of a text
@@ -180,28 +183,63 @@ def _texts(docs: DataFrame, nodes: DataFrame, broadcast_nodes: int) -> DataFrame
     return rows.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _verify_all(rows: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
-    """Verified links among the rows (node, side, cross, text): of all pairs, or those of different sides if cross.
+def _root(top: list[int], i: int) -> int:
+    while top[i] != i:
+        top[i] = top[top[i]]
+        i = top[i]
+    return i
 
-    Pairs that links of the group join already are left out.
-    """
+
+def _verify_all(rows: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
+    """Verified links of all pairs among the rows (node, text), but for those that links of the group join already."""
     known = WordHashes()
-    nodes, sides = rows.column("node").to_pylist(), rows.column("side").to_pylist()
-    cross = rows.column("cross")[0].as_py()
+    nodes = rows.column("node").to_pylist()
     sets = [weighted_shingles(word_hashes(t, known), idf) for t in rows.column("text").to_pylist()]
     top = list(range(len(nodes)))
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
     a, b = [], []
     for i in range(len(nodes)):
         for j in range(i + 1, len(nodes)):
-            if (not cross or sides[i] != sides[j]) and root(i) != root(j) and similarity(sets[i], sets[j]) >= threshold:
-                top[root(j)] = root(i)
+            if _root(top, i) != _root(top, j) and similarity(sets[i], sets[j]) >= threshold:
+                top[_root(top, j)] = _root(top, i)
+                a.append(nodes[i])
+                b.append(nodes[j])
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _verify_apart(rows: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
+    """Verified links among the rows (node, band, component, side, cross, text, bands) of different components, and of different sides if cross.
+
+    Left out are pairs that links of the group join already, and those that met in an earlier band.
+    """
+    known = WordHashes()
+    nodes, sides = rows.column("node").to_pylist(), rows.column("side").to_numpy()
+    cross, band = rows.column("cross")[0].as_py(), rows.column("band")[0].as_py()
+    earlier = np.array([x[:band] for x in rows.column("bands").to_pylist()], np.int64).reshape(len(nodes), band)
+    sets = [weighted_shingles(word_hashes(t, known), idf) for t in rows.column("text").to_pylist()]
+    starts = np.cumsum([0, *(len(s[0]) for s in sets[:-1])])
+    weights = np.concatenate([s[1] for s in sets]).astype(np.float64)
+    distinct, place = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
+    ends = [*starts[1:].tolist(), len(place)]
+    totals = np.add.reduceat(weights, starts)
+    mine = np.zeros(len(distinct))
+    label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+    a, b = [], []
+    for i in range(len(nodes) - 1):
+        apart = label[i + 1 :] != label[i]
+        if cross:
+            apart &= sides[i + 1 :] != sides[i]
+        if band and apart.any():
+            apart &= ~(earlier[i + 1 :] == earlier[i]).any(axis=1)
+        if not apart.any():
+            continue
+        at = slice(starts[i], ends[i])
+        mine[place[at]] = weights[at]
+        begin = starts[i + 1]
+        low = np.add.reduceat(np.minimum(mine[place[begin:]], weights[begin:]), starts[i + 1 :] - begin)
+        mine[place[at]] = 0
+        for j in (np.flatnonzero(apart & (low / (totals[i] + totals[i + 1 :] - low) >= threshold)) + i + 1).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
                 a.append(nodes[i])
                 b.append(nodes[j])
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -229,21 +267,37 @@ def _links_with(pairs: DataFrame, texts: DataFrame, idf, threshold: float, block
     return rows.groupBy("leader", "block").applyInArrow(lambda t: _verify_block(t, idf.value, threshold), "a bigint, b bigint")
 
 
-def _links_within(shared: DataFrame, texts: DataFrame, idf, threshold: float, small: int) -> DataFrame:
-    """Verified links of all pairs in the buckets of shared (node, band, key, n).
+def _links_within(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Verified links of all pairs in the buckets of shared (node, band, key).  Buckets of the same texts are one group for all."""
+    members = shared.groupBy("band", "key").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
+    whole = members.select(F.xxhash64("members").alias("group"), F.explode("members").alias("node"))
+    return whole.join(texts, "node").groupBy("group").applyInArrow(lambda t: _verify_all(t, idf.value, threshold), "a bigint, b bigint")
+
+
+def _links_between(large: DataFrame, joined: DataFrame, banded: DataFrame, texts: DataFrame, idf, threshold: float, half: int) -> DataFrame:
+    """Verified links of all pairs in the buckets of large (node, band, key) that joined (node, component) leaves apart.
 
-    Up to `small` texts are one group, and buckets of the same texts one for all.  Larger
-    buckets are dealt into groups of about half as many, and each two groups are one
-    task's work.
+    A component of `half` or more members of a bucket is dealt into blocks of its own, the
+    rest of the bucket into common ones.  Each two blocks, unless they are of one
+    component, are one task's work.  Buckets of a single component have none.
     """
-    alone = shared.where(F.col("n") <= small).groupBy("band", "key").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
-    whole = alone.select(F.xxhash64("members").alias("group"), F.explode("members").alias("node"), F.lit(0).alias("side"), F.lit(False).alias("cross"))
-    parts = F.ceil(F.col("n") * 2 / small).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    met = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda g: F.struct(F.least(mine, g).alias("x"), F.greatest(mine, g).alias("y"))))
-    dealt = shared.where(F.col("n") > small).select("node", "band", "key", mine.alias("side"), met.alias("met"))
-    split = dealt.select(F.xxhash64("band", "key", "met.x", "met.y").alias("group"), "node", "side", (F.col("met.x") != F.col("met.y")).alias("cross"))
-    return whole.union(split).join(texts, "node").groupBy("group").applyInArrow(lambda t: _verify_all(t, idf.value, threshold), "a bigint, b bigint")
+    held = large.select("node", "band", "key").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = written(held.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("size")), "parts")
+    rest = F.sum(F.when(F.col("size") < half, F.col("size")).otherwise(0)).alias("rest")
+    mixed_ = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("components"), rest).where("components > 1").select("band", "key", "rest")
+    own = F.col("size") >= half
+    parts = F.ceil(F.when(own, F.col("size")).otherwise(F.col("rest")) / half)
+    dealt = sizes.join(mixed_, ["band", "key"]).select("band", "key", "component", F.when(own, F.col("component")).alias("owner"), parts.alias("parts"))
+    # A block: whose it is (null: common) and its number.
+    blocks = dealt.select("band", "key", "owner", "parts").distinct().groupBy("band", "key").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda i: F.struct(F.col("owner").alias("owner"), i.alias("number"))))).alias("blocks"))
+    placed = held.join(dealt, ["band", "key", "component"]).select("node", "band", "key", "component", F.struct("owner", F.pmod(F.xxhash64("node"), F.col("parts")).alias("number")).alias("mine"))
+    met = F.explode(F.filter("blocks", lambda x: x["owner"].isNull() | ~x["owner"].eqNullSafe(F.col("mine.owner"))))
+    pairs = placed.join(blocks, ["band", "key"]).select("node", "band", "key", "component", "mine", met.alias("other"))
+    group = F.xxhash64("band", "key", *(F.coalesce(f(F.to_json("mine"), F.to_json("other")), F.lit("")) for f in (F.least, F.greatest)))
+    rows = pairs.select(group.alias("group"), "node", "band", "component", F.xxhash64(F.to_json("mine")).alias("side"), (F.to_json("mine") != F.to_json("other")).alias("cross"))
+    # `bands` tell whether two texts met in an earlier band: there they are verified.
+    rows = rows.join(texts, "node").join(banded, "node")
+    return rows.groupBy("group").applyInArrow(lambda t: _verify_apart(t, idf.value, threshold), "a bigint, b bigint")
 
 
 def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, small: int = 64, block: int = 128, leaders: int = 4, broadcast_nodes: int = 500_000) -> DataFrame:
@@ -260,14 +314,17 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, small: in
     df, n = word_frequencies(docs)
     idf = spark.sparkContext.broadcast(damped_idf(df, n))
     signed = written(signatures(docs, idf), "signatures")
-    banded = signed.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.posexplode("bands").alias("band", "key"))
-    per = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(banded.join(per, ["band", "key"]), "shared-bands")
+    banded = signed.groupBy("node").agg(F.first("bands").alias("bands"))
+    keyed = banded.select("node", F.posexplode("bands").alias("band", "key"))
+    per = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(keyed.join(per, ["band", "key"]), "shared-bands")
     texts = written(_texts(docs, shared, broadcast_nodes), "shared-texts")
-    verified = [written(_links_within(shared.where(F.col("n") <= small), texts, idf, threshold, small), "verified")]
-    open_ = shared.where(F.col("n") > small)
-    if not open_.isEmpty():
-        ranked = written(_ranked_leaders(shared, small, leaders), "leaders")
+    verified = [written(_links_within(shared.where(F.col("n") <= small), texts, idf, threshold), "verified")]
+    large = shared.where(F.col("n") > small)
+    if large.isEmpty():
+        joined = connected_components(verified[0])
+    else:
+        ranked, open_ = written(_ranked_leaders(shared, small, leaders), "leaders"), large
         for places in (F.col("place") == 1, F.col("place") > 1):
             pairs = open_.join(ranked.where(places), ["band", "key"]).where("node <> leader").select("node", "leader", "n")
             links = written(_links_with(pairs, texts, idf, threshold, block), "verified")
@@ -276,9 +333,10 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, small: in
             open_ = written(open_.join(done, "node", "left_anti"), "open")
             if open_.isEmpty():
                 break
-        again = open_.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        verified.append(written(_links_within(open_.drop("n").join(again, ["band", "key"]), texts, idf, threshold, small), "verified"))
-    joined = connected_components(reduce(DataFrame.union, verified))
+        joined = connected_components(reduce(DataFrame.union, verified))
+        more = written(_links_between(large, joined, banded, texts, idf, threshold, max(1, block // 2)), "verified")
+        if not more.isEmpty():
+            joined = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     ids = signed.select("doc_id", "node").join(joined, "node", "left").withColumn("class", F.coalesce("component", "node"))
     # Written, so that the join has shuffles of its own, of which Spark can split a large class.
     classes = written(ids.groupBy("class").agg(F.min("doc_id").alias("class_id")), "classes")
