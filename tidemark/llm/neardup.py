@@ -309,6 +309,14 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, small: in
     text's class; a class of null ids alone has a null class_id.  Repeated rows are
     returned each.
     """
+    ids = _classed(docs, threshold, small, block, leaders, broadcast_nodes)
+    # Written, so that the join has shuffles of its own, of which Spark can split a large class.
+    classes = written(ids.groupBy("class").agg(F.min("doc_id").alias("class_id")), "classes")
+    return ids.join(classes, "class").select("doc_id", "class_id")
+
+
+def _classed(docs: DataFrame, threshold: float, small: int, block: int, leaders: int, broadcast_nodes: int) -> DataFrame:
+    """(doc_id, node, class) of every row of docs."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     df, n = word_frequencies(docs)
@@ -337,10 +345,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = 0.8, small: in
         more = written(_links_between(large, joined, banded, texts, idf, threshold, max(1, block // 2)), "verified")
         if not more.isEmpty():
             joined = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    ids = signed.select("doc_id", "node").join(joined, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    # Written, so that the join has shuffles of its own, of which Spark can split a large class.
-    classes = written(ids.groupBy("class").agg(F.min("doc_id").alias("class_id")), "classes")
-    return ids.join(classes, "class").select("doc_id", "class_id")
+    return signed.select("doc_id", "node").join(joined, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
 
 
 def _ranked_leaders(shared: DataFrame, small: int, places: int) -> DataFrame:
@@ -352,13 +357,27 @@ def _ranked_leaders(shared: DataFrame, small: int, places: int) -> DataFrame:
     return held.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= places).select("band", "key", F.col("node").alias("leader"), "place")
 
 
-def keep_one_of_each(docs: DataFrame, *, threshold: float = 0.8, broadcast_ids: int = 500_000) -> DataFrame:
-    """The rows of docs without near-duplicates: of each class the rows of its smallest doc_id stay.
+def keep_one_of_each(docs: DataFrame, *, threshold: float = 0.8, small: int = 64, block: int = 128, leaders: int = 4, broadcast_nodes: int = 500_000, broadcast_ids: int = 500_000) -> DataFrame:
+    """One row of each class of near-duplicates: the first by doc_id (nulls last), then by the text's hash.
 
-    Of repeated rows one stays.  Rows without an id can't be told apart by it; all stay.
+    Of repeated rows (same id and text) one stays, the first by the other columns, which must have an order.
+    An id that comes with several texts is judged by each of them.
     """
-    classes = near_duplicate_classes(docs, threshold=threshold)
-    gone = written(classes.where("doc_id <> class_id").select("doc_id").distinct(), "duplicates")
-    if gone.count() <= broadcast_ids:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    ids = written(_classed(docs, threshold, small, block, leaders, broadcast_nodes), "classed")
+    rows = ids.groupBy("class", "doc_id", "node").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first")
+    chosen = written(ids.groupBy("class").agg(first), "chosen")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    judged = rows.join(chosen, "class").select(F.col("doc_id").alias("its_id"), F.col("node").alias("its_node"), stays.alias("stays"), "times")
+    # Only what isn't kept as it is: others' copies, and kept ones that are repeated.
+    touched = written(judged.where(~F.col("stays") | (F.col("times") > 1)).drop("times"), "duplicates")
+    few = touched.count() <= broadcast_ids
+    node = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+    def among(marks: DataFrame, how: str) -> DataFrame:
+        marks = F.broadcast(marks) if few else marks
+        return docs.join(marks, docs["doc_id"].eqNullSafe(marks["its_id"]) & (node == marks["its_node"]), how)
+
+    whole = among(touched, "left_anti")
+    repeated = among(touched.where("stays"), "inner").groupBy("its_id", "its_node").agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("row"))
+    return whole.unionByName(repeated.select("row.*"))
