@@ -4,8 +4,10 @@ A text is cut after each line break and each mark that ends a sentence or cell,
 that a paragraph without line breaks still has several parts.  A part's vector comes
 from two hashes of it: each hash enters whole into a sum modulo 2^62, and each of
 its low 63 bits into a counter modulo 2^21 or 2^20, three counters being packed into
-a word.  The fingerprint is the sum of the vectors of all parts.  It doesn't depend on the
-order of the parts; parts can be added or taken away without the rest of the text.
+a word.  The fingerprint is the sum of the vectors of all parts, each word modulo 2^62.
+It doesn't depend on the order of the parts; parts can be added or taken away without
+the rest of the text.  In a text of over 2^20 parts a counter carries into the next one:
+equality and the sums stay exact, the likeness becomes rougher.
 
 Counted bits are random signs, so that the product of two fingerprints' centred
 counters estimates how many parts the texts share; `likeness` is its cosine.
@@ -13,6 +15,8 @@ counters estimates how many parts the texts share; `likeness` is its cosine.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +44,18 @@ def fingerprint(text: Column) -> Column:
 
 def fingerprint_of_parts(found: Column) -> Column:
     """The fingerprint of an array of parts, in any order."""
-    return F.concat(F.array(F.size(found).cast("long")), *(_sums(_hashes(found, seed)) for seed in SEEDS))
+    # Bound once: an expression used inside a lambda is computed for each element.
+    return bound(found, _of_bound_parts)
+
+
+def _of_bound_parts(found: Column) -> Column:
+    each_seed = [bound(_hashes(found, seed), _sums) for seed in SEEDS]
+    return F.concat(F.array(F.size(found).cast("long")), *each_seed)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often `use` needs it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _hashes(found: Column, seed: int) -> Column:
@@ -48,14 +63,14 @@ def _hashes(found: Column, seed: int) -> Column:
 
 
 def _sums(hashes: Column) -> Column:
-    zero = F.lit(0).cast("long")
-    # k = -1: the hash itself; k = 0..20: its bits k, k + 21 and k + 42.
-    return F.transform(
-        F.sequence(F.lit(-1), F.lit(PER_HASH - 1)),
-        lambda k: F.when(k < 0, F.aggregate(hashes, zero, lambda s, h: (s + h.bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)))).otherwise(
-            F.aggregate(hashes, zero, lambda s, h: (s + F.call_function("shiftright", h, k).bitwiseAND(F.lit(SPREAD))).bitwiseAND(F.lit(MASK)))
-        ),
-    )
+    """The sum of the hashes modulo 2^62, and for k from 0 to 20 that of their bits k, k + 21 and k + 42."""
+    masked = lambda x: x.bitwiseAND(F.lit(MASK))
+
+    def total(of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: masked(s + of(h)))
+
+    counted = (total(lambda h, k=k: F.shiftright(h, k).bitwiseAND(F.lit(SPREAD))) for k in range(PER_HASH))
+    return F.array(total(masked), *counted)
 
 
 def add(a: Column, b: Column) -> Column:
