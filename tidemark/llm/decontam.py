@@ -9,13 +9,17 @@ benchmark's vocabulary; all other words are 0.
    no leak is lost by this.
 2. The CGK random walk reads a window word by word; a random bit of (step, word)
    says whether it moves on.  Windows at a small edit distance get sequences at a small
-   Hamming distance.  Items are put into classes of about equal length, and windows are
-   embedded for each class.
+   Hamming distance.  Items are put into classes of about equal length; windows are
+   embedded for each class, in twice as many steps as its items have words.
 3. Each repetition draws its own walk and samples a few steps of it; windows and items
-   that agree in all of them are candidates.  The number of repetitions is what edited
-   copies of the items themselves need to be found with the wanted recall.
+   that agree in all of them are candidates.  Repetitions go on until edited copies of
+   the items themselves, with edits spread, bunched at the head and bunched at the tail,
+   are each found with the wanted recall.  A class that many repetitions don't bring
+   there is searched by the q-gram lemma alone, item by item: that loses nothing.
 4. Candidates are verified by the exact edit distance of the item to the best run of
    words around the window.
+
+Items so short that no edit is allowed (up to four words) are looked up as they are.
 """
 
 from __future__ import annotations
@@ -34,10 +38,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices
 
 WORDS = re.compile(r"\w+").findall
-#: Steps of a walk at most; a walk of a class is twice as long as its shortest item.
-MOST_STEPS = 128
 SAMPLED = 3
+#: A class that needs more repetitions is searched item by item.
 MOST_REPEATS = 48
+#: Edited copies of a class's items that its repetitions are tried on, for each kind of edits.
+TRIALS = 192
 #: Odd multipliers of the hashes.
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LEAKS = "item_id bigint, item_words int, distance int, similarity double, first_word int, n_words int"
@@ -56,17 +61,31 @@ def triple_keys(ids: np.ndarray) -> np.ndarray:
     return k ^ (k >> np.uint64(29))
 
 
+def run_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbouring words' hashes."""
+    k = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            k = (k ^ words[i : i + len(k)]) * K1
+            k ^= k >> np.uint64(29)
+    return k
+
+
 @dataclass
 class SizeClass:
-    """Items of about equal length and their sampled sequences."""
+    """Items of about equal length and how they are searched."""
 
     items: list[int]
-    steps: int
-    repeats: int
-    #: For each repetition the sampled steps, and the items' keys in order with the items.
+    #: For each repetition: an odd multiplier for each step, the sampled steps, and the items' keys in order with the items.
+    turns: list[np.ndarray] = field(default_factory=list)
     samples: list[np.ndarray] = field(default_factory=list)
     keys: list[np.ndarray] = field(default_factory=list)
     owners: list[np.ndarray] = field(default_factory=list)
+    #: The least recall of the three kinds of edits, as tried.
+    recall: float = 0.0
+    #: If the repetitions don't reach the recall: the items' triples in order, with the items.
+    triples: np.ndarray | None = None
+    triple_owners: np.ndarray | None = None
 
 
 @dataclass
@@ -79,27 +98,32 @@ class Benchmark:
     share: float
     bitmap: np.ndarray
     classes: list[SizeClass]
-    #: Random bits: for each repetition, two 64-bit words for each word number.
-    bits: np.ndarray
+    #: A random number for each word number.
+    hashes: np.ndarray
+    #: For each length of items that allow no edit, their run keys in order with the items.
+    exact: dict[int, tuple[np.ndarray, np.ndarray]]
+
 
+def walk_keys(words: np.ndarray, starts: np.ndarray, turns: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """The sampled steps of the CGK walks from starts, hashed.
 
-def walk_keys(ids: np.ndarray, starts: np.ndarray, bits: np.ndarray, samples: np.ndarray) -> np.ndarray:
-    """The sampled steps of the CGK walks from starts, hashed; bits: (2, vocabulary)."""
+    words: the words' hashes.  A step's random bit of a word is the top bit of their hash times the step's multiplier.
+    """
     at = starts.copy()
-    last = len(ids) - 1
+    last = len(words) - 1
     key = np.zeros(len(starts), np.uint64)
     wanted = set(samples.tolist())
     with np.errstate(over="ignore"):
         for step in range(int(samples.max()) + 1):
-            word = ids[np.minimum(at, last)]
+            word = words[np.minimum(at, last)]
             if step in wanted:
-                key = (key ^ word.astype(np.uint64)) * K1
+                key = (key ^ word) * K1
                 key ^= key >> np.uint64(32)
-            at += ((bits[step >> 6][word] >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
+            at += ((word * turns[step]) >> np.uint64(63)).view(np.int64)
     return key
 
 
-def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+def edited_spread(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     words = item.tolist()
     for _ in range(edits):
         at, kind = int(rng.integers(len(words))), int(rng.integers(3))
@@ -112,54 +136,77 @@ def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(words, np.int64)
 
 
-def prepare(rows: list[tuple], *, share: float = 0.2, recall: float = 0.95, least_words: int = 5, seed: int = 5) -> Benchmark:
-    """The block's tables, from (item_id, text) rows.
+def edited_at_head(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The first words replaced or missing."""
+    return np.concatenate([np.zeros(edits * int(rng.integers(2)), np.int64), item[edits:]])
 
-    Items of fewer than least_words words say too little to be looked for.
-    """
+
+def edited_at_tail(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The last words replaced or missing."""
+    return np.concatenate([item[: len(item) - edits], np.zeros(edits * int(rng.integers(2)), np.int64)])
+
+
+def prepare(rows: list[tuple], *, share: float = 0.2, recall: float = 0.95, seed: int = 5) -> Benchmark:
+    """The block's tables, from (item_id, text) rows.  Items without words are no items."""
     split = [(i, WORDS((t or "").lower())) for i, t in rows]
-    split = [(i, w) for i, w in split if len(w) >= least_words]
+    split = [(i, w) for i, w in split if w]
     words: dict[str, int] = {}
-    items = [np.array([words.setdefault(x, len(words) + 1) for x in w], np.int64) for _, w in split]
-    bitmap = np.zeros(1 << 22, bool)
-    for ids in items:
-        bitmap[(triple_keys(ids) >> np.uint64(42)).astype(np.int64)] = True
+    items = [np.array([words.setdefault(x, len(words) + 1) for x in w], np.int32) for _, w in split]
     rng = np.random.Generator(np.random.PCG64(seed))
-    bits = rng.integers(0, 1 << 64, (MOST_REPEATS, 2, len(words) + 1), dtype=np.uint64)
-    classes, order = [], sorted(range(len(items)), key=lambda i: len(items[i]))
-    while order:
-        least = len(items[order[0]])
-        inside = [i for i in order if len(items[i]) <= max(least, int(least * 1.25))]
-        order = order[len(inside) :]
-        classes.append(_size_class(inside, items, least, bits, share, recall, rng))
-    return Benchmark([i for i, _ in split], words, items, share, bitmap, classes, bits)
-
-
-def _size_class(inside: list[int], items: list[np.ndarray], least: int, bits: np.ndarray, share: float, recall: float, rng: np.random.Generator) -> SizeClass:
-    steps = min(2 * least, MOST_STEPS)
-    out = SizeClass(inside, steps, MOST_REPEATS)
-    pad = np.zeros(MOST_STEPS, np.int64)
-
-    def laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.cumsum([0, *(len(t) + len(pad) for t in texts[:-1])])
-        return np.concatenate([x for t in texts for x in (t, pad)]), starts.astype(np.int64)
-
-    originals, at = laid([items[i] for i in inside])
-    tried = [i for i in inside for _ in range(max(1, 128 // len(inside)))][:512]
-    edited, edited_at = laid([_edited(items[i], edits_allowed(len(items[i]), share), rng) for i in tried])
-    where = {i: n for n, i in enumerate(inside)}
-    found = np.zeros(len(tried), bool)
-    for r in range(MOST_REPEATS):
+    hashes = rng.integers(0, 1 << 64, len(words) + 1, dtype=np.uint64)
+    bitmap = np.zeros(1 << 22, bool)
+    exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    order = sorted(range(len(items)), key=lambda i: len(items[i]))
+    near = [i for i in order if edits_allowed(len(items[i]), share)]
+    for n in {len(items[i]) for i in order} - {len(items[i]) for i in near}:
+        owners = np.array([i for i in order if len(items[i]) == n])
+        keys = np.concatenate([run_keys(hashes[items[i]], n) for i in owners])
+        exact[n] = np.sort(keys), owners[np.argsort(keys, kind="stable")]
+    for i in near:
+        bitmap[(triple_keys(items[i]) >> np.uint64(42)).astype(np.int64)] = True
+    classes = []
+    while near:
+        longest = max(len(items[near[0]]), int(len(items[near[0]]) * 1.25))
+        inside = [i for i in near if len(items[i]) <= longest]
+        near = near[len(inside) :]
+        classes.append(_size_class(inside, items, hashes, share, recall, rng))
+    return Benchmark([i for i, _ in split], words, items, share, bitmap, classes, hashes, exact)
+
+
+def _laid(texts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after another, with unknown words between them, and where each begins."""
+    pad = np.zeros(gap, np.int64)
+    starts = gap + np.cumsum([0, *(len(t) + gap for t in texts[:-1])])
+    return np.concatenate([pad, *(x for t in texts for x in (t, pad))]), starts.astype(np.int64)
+
+
+def _size_class(inside: list[int], items: list[np.ndarray], hashes: np.ndarray, share: float, recall: float, rng: np.random.Generator) -> SizeClass:
+    out, steps = SizeClass(inside), 2 * len(items[inside[0]])
+    widest = edits_allowed(len(items[inside[-1]]), share)
+    originals, at = _laid([items[i] for i in inside], steps)
+    # Items evenly over the class, each as often as TRIALS lets.
+    tried = np.linspace(0, len(inside) - 1, TRIALS).round().astype(np.int64)
+    copies = [edit(items[inside[k]], edits_allowed(len(items[inside[k]]), share), rng) for edit in (edited_spread, edited_at_head, edited_at_tail) for k in tried]
+    edited, begins = _laid(copies, steps + widest)
+    starts = (begins[:, None] + np.arange(-widest, widest + 1)).ravel()
+    original_words, edited_words = hashes[originals], hashes[edited]
+    found = np.zeros((3, len(tried)), bool)
+    for _ in range(MOST_REPEATS):
+        turns = rng.integers(0, 1 << 64, steps, dtype=np.uint64) | np.uint64(1)
         samples = np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False))
-        keys = walk_keys(originals, at, bits[r], samples)
+        keys = walk_keys(original_words, at, turns, samples)
         by_key = np.argsort(keys, kind="stable")
+        out.turns.append(turns)
         out.samples.append(samples)
         out.keys.append(keys[by_key])
         out.owners.append(np.asarray(inside)[by_key])
-        found |= walk_keys(edited, edited_at, bits[r], samples) == keys[[where[i] for i in tried]]
-        if found.mean() >= recall:
-            out.repeats = r + 1
-            break
+        met = walk_keys(edited_words, starts, turns, samples).reshape(3, len(tried), -1) == keys[tried][None, :, None]
+        found |= met.any(axis=2)
+        out.recall = float(found.mean(axis=1).min())
+        if out.recall >= recall:
+            return out
+    pairs = np.unique(np.concatenate([np.stack([triple_keys(items[i]), np.full(len(items[i]) - 2, i, np.uint64)]) for i in inside], axis=1), axis=1)
+    out.triples, out.triple_owners, out.recall = pairs[0], pairs[1].astype(np.int64), 1.0
     return out
 
 
@@ -198,47 +245,89 @@ def leaks_in(texts: list[str | None], bench: Benchmark) -> Iterator[tuple]:
         pieces.append(np.array(found, np.int64))
         pieces.append(np.zeros(gap, np.int64))
         at += len(found) + gap
-    ids = np.concatenate(pieces)
-    begins_at = np.array(begins)
-    hit = bench.bitmap[(triple_keys(ids) >> np.uint64(42)).astype(np.int64)]
+    ids, begins_at = np.concatenate(pieces), np.array(begins)
+    best: dict[tuple[int, int], tuple] = {}
+    _look_up(ids, begins_at, bench, best)
+    for cell in sorted(set(_candidates(ids, begins_at, bench))):
+        _verify(bench, begins, cell, best, pieces)
+    for (text, i), (distance, first, end) in sorted(best.items()):
+        size = len(bench.items[i])
+        yield text, bench.item_ids[i], size, distance, 1 - distance / size, first, end - first
+
+
+def _look_up(ids: np.ndarray, begins_at: np.ndarray, bench: Benchmark, best: dict) -> None:
+    """Puts the first place of each item that allows no edit into best."""
+    for n, (keys, owners) in bench.exact.items():
+        runs = run_keys(bench.hashes[ids], n)
+        low, high = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
+        for at in np.flatnonzero(high > low).tolist():
+            text = int(np.searchsorted(begins_at, at, "right")) - 1
+            for i in owners[low[at] : high[at]].tolist():
+                if (text, i) not in best and np.array_equal(ids[at : at + n], bench.items[i]):
+                    first = at - int(begins_at[text])
+                    best[text, i] = 0, first, first + n
+
+
+def _candidates(ids: np.ndarray, begins_at: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, int, int, int]]:
+    """(item, text, part, back): what to verify around the part-th stretch of the item's length, from `back` words before it."""
+    triples = triple_keys(ids)
+    hit = bench.bitmap[(triples >> np.uint64(42)).astype(np.int64)]
     hit &= (ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0)
-    if not hit.any() and all(_triples_needed(len(i), bench.share) > 0 for i in bench.items):
-        return
+    words = bench.hashes[ids]
     before = np.concatenate([[0], np.cumsum(hit)])
-    seen: set[tuple[int, int, int]] = set()
-    best: dict[tuple[int, int], tuple] = {}
+    text_at = lambda place: int(np.searchsorted(begins_at, place, "right")) - 1
     for c in bench.classes:
+        if c.triples is not None:
+            for i, place in _sharing(c, ids, triples, hit, bench):
+                size = len(bench.items[i])
+                yield i, text_at(place), place // size, size + 2 * edits_allowed(size, bench.share)
+            continue
         lengths = sorted({len(bench.items[i]) for i in c.items})
         ahead = lengths[-1] + edits_allowed(lengths[-1], bench.share) - 2
         need = min(_triples_needed(n, bench.share) for n in lengths)
         reach = np.minimum(np.arange(len(hit)) + ahead, len(hit))
         starts = np.flatnonzero(before[reach] - before[:-1] >= need)
-        for r in range(c.repeats if len(starts) else 0):
-            keys = walk_keys(ids, starts, bench.bits[r], c.samples[r])
+        for r in range(len(c.keys) if len(starts) else 0):
+            keys = walk_keys(words, starts, c.turns[r], c.samples[r])
             low, high = np.searchsorted(c.keys[r], keys, "left"), np.searchsorted(c.keys[r], keys, "right")
             for n in np.flatnonzero(high > low):
                 for i in c.owners[r][low[n] : high[n]].tolist():
                     size = len(bench.items[i])
-                    cell = (i, int(np.searchsorted(begins_at, starts[n], "right")) - 1, int(starts[n]) // size)
-                    if cell not in seen:
-                        seen.add(cell)
-                        _verify(bench, begins, cell, best, pieces)
-    for (text, i), (distance, first, end) in sorted(best.items()):
+                    yield i, text_at(starts[n]), int(starts[n]) // size, edits_allowed(size, bench.share)
+
+
+def _sharing(c: SizeClass, ids: np.ndarray, triples: np.ndarray, hit: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, int]]:
+    """(item, place) wherever a window from place shares as many triples with the item as the q-gram lemma asks for."""
+    places = np.flatnonzero(hit)
+    low, high = np.searchsorted(c.triples, triples[places], "left"), np.searchsorted(c.triples, triples[places], "right")
+    number = high - low
+    each = np.repeat(np.arange(len(places)), number)
+    owner = c.triple_owners[np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number) + low[each]]
+    order = np.lexsort((places[each], owner))
+    owner, place = owner[order], places[each][order]
+    for i in c.items:
         size = len(bench.items[i])
-        yield text, bench.item_ids[i], size, distance, 1 - distance / size, first, end - first
+        need = _triples_needed(size, bench.share)
+        if need <= 0:  # every stretch
+            yield from ((i, at) for at in range(0, len(ids), size))
+            continue
+        own = place[np.searchsorted(owner, i, "left") : np.searchsorted(owner, i, "right")]
+        if len(own) >= need:
+            near = own[need - 1 :] - own[: len(own) - need + 1] < size + edits_allowed(size, bench.share) - 2
+            yield from ((i, at) for at in own[: len(own) - need + 1][near].tolist())
 
 
 def _triples_needed(words: int, share: float) -> int:
     return max(0, words - 2 - 3 * edits_allowed(words, share))
 
 
-def _verify(bench: Benchmark, begins: list[int], cell: tuple[int, int, int], best: dict, pieces: list[np.ndarray]) -> None:
-    i, text, part = cell
+def _verify(bench: Benchmark, begins: list[int], cell: tuple[int, int, int, int], best: dict, pieces: list[np.ndarray]) -> None:
+    i, text, part, back = cell
     item, begin = bench.items[i], begins[text]
     size, allowed = len(item), edits_allowed(len(item), bench.share)
-    words = pieces[2 * text]
-    first = max(0, part * size - begin - allowed)
-    distance, a, b = best_run(item, words[first : part * size - begin + 2 * size + allowed])
+    first = max(0, part * size - begin - back)
+    run = pieces[2 * text][first : max(0, part * size - begin + 2 * (size + allowed))]
+    distance, a, b = best_run(item, run)
     if distance <= allowed and (distance, first + a) < best.get((text, i), (allowed + 1, 0))[:2]:
         best[text, i] = distance, first + a, first + b
 
@@ -259,8 +348,9 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.2
 
     first_word and n_words give the run of words (of letters, digits and underscores,
     in lower case) that is nearest to the item, distance its word edits.  Null and
-    empty texts leak nothing; nor do items under five words.  Null ids stay null;
-    repeated rows are reported each.  The benchmark is taken in blocks of
+    empty texts leak nothing, items without words are never leaked, and items of up to four
+    words are leaked by the same words only.  Null ids stay null; repeated rows are
+    reported each.  The benchmark is taken in blocks of
     block_bytes, each broadcast; documents aren't shuffled.
     """
     out, kind = None, docs.schema["doc_id"].dataType.simpleString()
