@@ -12,9 +12,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, decontam, fingerprint, mixing, neardup, ngram_lm, sharding, tokens, toxicity, url_reputation, warc
+from tidemark.llm import common, components, decontam, fingerprint, mixing, neardup, ngram_lm, sharding, tokens, toxicity, url_reputation, warc
 from tidemark.llm.queries import URL_RULES
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -160,14 +161,68 @@ def test_mix_takes_the_quotas(docs):
     assert max(by_shard.values()) - min(by_shard.values()) <= 1
 
 
-def test_mixed_documents_are_whole_but_for_the_last(docs, empty):
-    mixed = mixing.mix(docs, shards=5)
-    out = mixing.mixed_documents(mixed).collect()
-    texts = {r.text for r in docs.collect()}
-    assert sum(r.text not in texts for r in out) <= 6
-    words = lambda t: len((t or "").split())
-    assert sum(words(r.text) for r in out) == sum(r.taken for r in mixed.collect())
-    assert mixing.mix(empty).count() == 0 and mixing.mixed_pieces(mixed).agg(F.sum("n_words")).first()[0] == sum(r.taken for r in mixed.collect())
+def test_shards_get_what_the_tree_deals(docs):
+    shards, seed = 5, 23
+    rows = mixing.mix(docs, shards=shards, seed=seed).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes: Counter = Counter()
+    for r in rows:
+        sizes[r.source] += size(r.text)
+    goal = mixing.targets(dict(sizes))
+    dealt = mixing.deal_blocks([round(t) for t in goal.values()], shards, seed)
+    got = Counter()
+    for r in rows:
+        for p in r.pieces:
+            got[p.shard, r.source] += p.n_words
+    assert {(k, s): int(dealt[k, i]) for k in range(shards) for i, s in enumerate(goal) if dealt[k, i]} == dict(got)
+    # Nothing is taken twice in a pass, and a shard's order is a shuffled one.
+    for r in rows:
+        for p in {p["pass"] for p in r.pieces}:
+            cut = sorted((x.first_word, x.n_words) for x in r.pieces if x["pass"] == p)
+            assert all(a + n == b for (a, n), (b, _) in zip(cut, cut[1:]))
+    first = sorted((p.local_order, r.doc_id) for r in rows for p in r.pieces if p.shard == 0 and r.doc_id is not None)
+    order = [i for _, i in first]
+    assert order != sorted(order)
+
+
+def test_mixed_documents_are_whole(docs, empty):
+    mixed = mixing.mix(docs, shards=5, whole=True)
+    rows, out = mixed.collect(), mixing.mixed_documents(mixed).collect()
+    assert {r.text for r in out} <= {r.text for r in docs.collect()} and set(docs.columns) <= set(mixing.mixed_documents(mixed).columns)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    taken, longest, target = Counter(), Counter(), {}
+    for r in rows:
+        assert not size(r.text) or r.taken % size(r.text) == 0 and r.taken <= 2 * size(r.text)
+        taken[r.source] += r.taken
+        longest[r.source] = max(longest[r.source], size(r.text))
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1 for s in target)
+    assert sum(size(r.text) for r in out) == sum(taken.values())
+    assert {r.shard for r in out} == set(range(5))
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(mixing.mix(empty, whole=True)).count() == 0
+
+
+def test_mix_keeps_clashing_names_apart(spark):
+    odd = spark.createDataFrame([(i, "a b c", "s", 9, "x", 1) for i in range(20)], "doc_id bigint, text string, source string, Target int, bucket string, s int")
+    rows = mixing.mix(odd).collect()
+    assert {(r.target, r.bucket, r.s, r.taken <= 6) for r in rows} == {(90.0, "x", 1, True)}
+
+
+# Rows that are equal in all columns
+
+
+def test_equal_rows_are_spread(spark):
+    same = spark.range(6000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("copy of a text").alias("text"), F.lit("s").alias("source"))
+    rest = spark.range(3000).select("id", F.concat(F.lit("text "), "id"), F.lit("s"))
+    docs = same.union(rest).repartition(5).cache()
+    rows, counts = common.scattered(docs, [F.col("doc_id"), F.col("text")], common.root_buckets(9000), 1, "b", "o")
+    got = dict(map(tuple, counts.collect()))
+    assert sum(got.values()) == 9000 and max(got.values()) < 300
+    assert got == {r.b: r["count"] for r in rows.groupBy("b").count().collect()}
+    shards = sharding.shard_rows(docs, 7).collect()
+    assert sorted((r.shard, r.slot) for r in shards) == [(k, i) for k in range(7) for i in range(9000 // 7 + (k < 9000 % 7))]
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 9000 and sum(r.taken for r in mixed) == round(1.5 * (6000 * 4 + 3000 * 2)) and max(r.taken for r in mixed) <= 8
 
 
 # 4
@@ -188,6 +243,8 @@ def test_warc_index_selects_records(spark, tmp_path):
     index = warc.write_archives(warc.with_revisits(pages), str(tmp_path / "warc"), archive_bytes=900)
     assert index.select("file").distinct().count() > 2
     picked = warc.read_records(index.where("page_id % 7 = 3")).collect()
+    total = index.agg(F.sum("length")).first()[0]
+    assert warc.read_records(index, task_bytes=total // 6 + 1).rdd.getNumPartitions() == 6
     assert sorted((r.page_id, r.payload.decode()) for r in picked) == [(i, str(i) * 600) for i in range(3, 50, 7)]
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
@@ -215,7 +272,7 @@ def test_leaks_against_brute_force(spark):
     rng = random.Random(4)
     many = [f"w{i}" for i in range(400)]
     say = lambda n: [rng.choice(many) for _ in range(n)]
-    items = [(i, " ".join(say(rng.randint(8, 40)))) for i in range(25)] + [(90, "too short"), (91, None), (92, "")]
+    items = [(i, " ".join(say(rng.randint(8, 40)))) for i in range(25)] + [(90, "never said"), (91, None), (92, "")]
     rows = []
     for d in range(160):
         words = say(rng.randint(0, 120))
@@ -254,6 +311,57 @@ def test_leaks_against_brute_force(spark):
     assert decontam.benchmark_leaks(docs.limit(0), bench).count() == decontam.benchmark_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_leak_by_the_same_words(spark):
+    bench = [(1, "Alpha beta gamma delta"), (2, "solo"), (3, "beta gamma"), (4, " ?! "), (5, "one two three four five")]
+    texts = ["x alpha, BETA gamma delta y solo", "alpha beta gamma", "alpha beta x gamma delta", "soloist", "gamma beta", "say one two four five", "one two six four seven"]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.item_id, r.distance, r.first_word, r.n_words) for r in decontam.benchmark_leaks(docs, spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert got == {(0, 1, 0, 1, 4), (0, 2, 0, 6, 1), (0, 3, 0, 2, 2), (1, 3, 0, 1, 2), (5, 5, 1, 1, 4)}
+
+
+@pytest.mark.parametrize("length", [60, 150, 320])
+def test_long_items_without_their_head_or_tail(length):
+    rng = random.Random(length)
+    say = lambda n: [f"v{rng.randint(0, 2000)}" for _ in range(n)]
+    items = [say(length) for _ in range(30)]
+    bench = decontam.prepare([(i, " ".join(w)) for i, w in enumerate(items)])
+    assert all(c.recall >= 0.95 for c in bench.classes)
+    cut = length // 5
+    kinds = (lambda w: w[cut:], lambda w: w[:-cut], lambda w: say(cut) + w[cut:], lambda w: w[:-cut] + say(cut))
+    for kind in kinds:
+        texts = [" ".join(say(50) + kind(w) + say(30)) for w in items]
+        found = {(n, i) for n, i, *_ in decontam.leaks_in(texts, bench)}
+        assert len(found & {(i, i) for i in range(30)}) >= 27
+
+
+def test_searching_by_triples_loses_nothing(monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_REPEATS", 1)
+    rng = random.Random(8)
+    say = lambda n: [f"v{rng.randint(0, 60)}" for _ in range(n)]
+    items = [say(rng.choice((5, 20, 24, 30))) for _ in range(40)]
+    bench = decontam.prepare([(i, " ".join(w)) for i, w in enumerate(items)])
+    assert any(c.triples is not None for c in bench.classes)
+    texts, gen = [], np.random.default_rng(3)
+    for _ in range(60):
+        ids = decontam.edited_spread(bench.items[rng.randrange(40)].astype(np.int64), 5, gen)
+        names = {v: k for k, v in bench.words.items()} | {0: "new"}
+        texts.append(say(rng.randint(0, 30)) + [names[i] for i in ids.tolist()] + say(rng.randint(0, 30)))
+    lossless = {i for c in bench.classes if c.triples is not None for i in c.items}
+    want = {(n, i) for n, w in enumerate(texts) for i in lossless if edit_distance_to_run(items[i], w) <= len(items[i]) // 5}
+    assert want <= {(n, i) for n, i, *_ in decontam.leaks_in([" ".join(w) for w in texts], bench)}
+    assert want
+
+
+def test_leaks_in_awkward_texts(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, "y " * 40000 + item + " y" * 40000, "", "", 0), (2, item + " " + item, "", "", 0), (None, item, "", "", 0), (3, item, "", "", 0), (3, item, "", "", 0)]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], SCHEMA + ", item_id int")
+    got = sorted(((r.doc_id, r.item_id, r.distance, r.first_word) for r in decontam.benchmark_leaks(docs, spark.createDataFrame([(7, item), (7, item)], "item_id bigint, text string")).collect()), key=key)
+    each = [(None, 7, 0, 0), (1, 7, 0, 40000), (2, 7, 0, 0), (3, 7, 0, 0), (3, 7, 0, 0)]
+    assert got == sorted(each * 2, key=key)
+    assert decontam.drop_leaks(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string")).count() == 0
+
+
 def test_best_run_finds_the_place():
     item = np.array([1, 2, 3, 4, 5])
     assert decontam.best_run(item, np.array([0, 0, 1, 2, 9, 3, 4, 5, 0])) == (1, 2, 8)
@@ -281,9 +389,21 @@ def test_shards_are_shuffled_and_written(spark, tmp_path):
     out = sharding.shard_rows(docs, 3)
     order = [r.doc_id for r in out.orderBy("shard", "slot").collect()]
     assert abs(np.corrcoef(order, range(2000))[0, 1]) < 0.1 and order != sorted(order)
-    sharding.write_shards(out, str(tmp_path / "out"), 3)
+    sharding.write_shards(out, str(tmp_path / "out"))
     read = spark.read.parquet(str(tmp_path / "out"))
     assert read.count() == 2000 and {r.shard for r in read.select("shard").distinct().collect()} == {0, 1, 2} and "offset" in read.columns
+    # Each file holds a stretch of its shard, in slot order.
+    for file in (tmp_path / "out").glob("shard=*/*.parquet"):
+        slots = spark.read.parquet(str(file)).toPandas().slot.tolist()
+        assert slots == sorted(slots)
+    back = sharding.written_shards(out)
+    assert sorted(map(tuple, back.select("doc_id", "shard", "slot").collect())) == sorted(map(tuple, out.select("doc_id", "shard", "slot").collect()))
+
+
+def test_permutations_are_never_broadcast(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    plan = sharding.shard_rows(docs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
 # 7
@@ -329,31 +449,50 @@ def test_packed_numbers():
 # 8
 
 
-def test_fingerprints(spark, docs, empty):
-    rows = docs.collect()
-    got = fingerprint.document_fingerprints(docs).collect()
-    assert len(got) == len(rows) and fingerprint.document_fingerprints(empty).count() == 0
-    known = sorted((r for r in rows if r.doc_id is not None and r.doc_id not in (3,)), key=lambda r: -r.doc_id)
-    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
-    texts = [r.text or "" for r in known]
-    ids = [r.doc_id for r in known]
-    for i in range(len(ids) - 1):
-        if 3 in range(ids[i + 1], ids[i] + 1):
-            continue
-        a, b = texts[i], texts[i + 1]
-        k = len(a) // 3
-        edited = a[: len(a) - k] + b[:k] if k else a
-        r = by_id[ids[i]]
-        assert r.n_chars == len(a) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
-    same = defaultdict(set)
-    text_of = defaultdict(set)
-    for r in rows:
-        text_of[r.doc_id].add(r.text or "")
-    for r in got:
-        if r.doc_id is not None:
-            same[next(iter(text_of[r.doc_id]))].add(r.fingerprint)
-    assert all(len(s) == 1 for s in same.values()) and len({next(iter(s)) for s in same.values()}) == len(same)
+def fingerprint_by_hand(text: str) -> list[int]:
+    parts = [p for p in re.split(r"(?<=[\n.!?|])", text) if p]
+    words = [len(parts)]
+    for seed in fingerprint.SEEDS:
+        begin = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+        hashes = [xxhash.xxh64_intdigest(p.encode(), begin) for p in parts]
+        words.append(sum(hashes) % (1 << 62))
+        for k in range(fingerprint.PER_HASH):
+            words.append(sum(sum((h >> k + at & 1) << at for at in (0, 21, 42)) for h in hashes) % (1 << 62))
+    return words
+
+
+def likeness_by_hand(a: str, b: str) -> float:
+    def signs(text: str) -> list[int]:
+        n, *words = fingerprint_by_hand(text)
+        kept = [w for i, w in enumerate(words) if i % (1 + fingerprint.PER_HASH)]
+        return [2 * (w >> at & (1 << 21) - 1) - n for w in kept for at in (0, 21, 42)]
+
+    x, y = signs(a), signs(b)
+    if x == y:
+        return 1.0
+    square = sum(v * v for v in x) * sum(v * v for v in y)
+    return max(0.0, min(1.0, sum(map(math.prod, zip(x, y, strict=True))) / math.sqrt(square))) if square else 0.0
+
+
+def spark_hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_fingerprints_against_brute_force(docs, empty):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    # Null ids last; rows of one id by the hash of their text.
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), -spark_hash(r[1])))
+    want = []
+    for (i, text), (_, following) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        third = len(text) // 3
+        edited = text[: len(text) - third] + following[:third] if third else text
+        of = lambda t: "".join(f"{w:016X}" for w in fingerprint_by_hand(t))
+        near = [round(likeness_by_hand(text, other), 9) for other in (edited, following)]
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), of(text), of(edited), *near))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprint.document_fingerprints(docs).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert fingerprint.document_fingerprints(empty).count() == 0
 
 
 def test_the_row_after_the_last_is_the_first(spark):
@@ -394,6 +533,14 @@ def test_urls_and_rules(spark):
     assert url_reputation.judge_urls(pages.limit(0), none, URL_RULES).count() == 0
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "x.y.com": ("y.com", "com"), "y.com": ("y.com", "com"), "com": ("com", "com"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_reputation.registered_domain(F.col("host")), url_reputation.suffix(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == hosts
+    own = spark.range(1).select(url_reputation.registered_domain(F.lit("a.b.pages.dev"), ("pages.dev",))).first()[0]
+    assert own == "b.pages.dev"
+
+
 def test_reputation_shrinks_to_the_parents(spark):
     pages = [(i, f"http://h{i % 20}.{'bad' if i % 20 < 6 else 'good'}.com/") for i in range(800)] + [(900, "http://new.bad.com/"), (901, "http://new.good.com/"), (901, "http://new.good.com/"), (None, "http://new.bad.com/")]
     labels = [(i, 1, int(i % 20 < 6 and i % 3 > 0)) for i in range(800)] + [(None, 0, 1), (5, None, None)]
@@ -449,11 +596,29 @@ def copies():
 
 def test_near_duplicates_against_brute_force(spark, copies):
     docs = spark.createDataFrame(copies, "doc_id bigint, text string").repartition(3)
-    df, n = neardup.word_frequencies(docs)
-    want = classes_by_hand(copies, neardup.damped_idf(df, n))
+    want = classes_by_hand(copies, neardup.word_weights(docs))
     for small in (64, 6):
-        got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(docs, small=small, block=16).collect()), key=key)
-        assert len(got) == len(want) and sum(a != b for a, b in zip(got, want, strict=True)) <= (1 if small == 64 else 2)
+        got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(docs, limits=neardup.Limits(small=small, block=16)).collect()), key=key)
+        assert got == want
+
+
+def test_word_weights_are_exact(spark, copies):
+    docs = spark.createDataFrame(copies, "doc_id bigint, text string").repartition(3)
+    n = Counter(w for _, t in copies for w in set(re.findall(r"\w+", (t or "").lower())))
+    known, weights = neardup.WordHashes(), neardup.word_weights(docs)
+    got = weights.of(np.array([known[w] for w in n], np.uint64))
+    assert got == pytest.approx([1 + math.log(len(copies) / x) / math.log(1000) for x in n.values()], abs=1e-5)
+    assert weights.of(np.array([known["never seen"]], np.uint64)).tolist() == [2.0]
+    few = neardup.WordWeights(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    assert few.of(np.array([7], np.uint64)).tolist() == [2.0]
+
+
+def test_classes_are_the_same_for_all_limits(spark, copies):
+    docs = spark.createDataFrame(copies, "doc_id bigint, text string").repartition(3)
+    want = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(docs).collect()), key=key)
+    for limits in (neardup.Limits(small=4, block=6, leaders=1), neardup.Limits(block_bytes=600), neardup.Limits(small=10, block=8, broadcast_nodes=0)):
+        assert sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(docs, limits=limits).collect()), key=key) == want
+
     kept = [r.doc_id for r in neardup.keep_one_of_each(docs).collect()]
     assert sorted(x for x in kept if x is not None) == sorted({c for d, c in want if d is not None})
 
@@ -470,7 +635,7 @@ def test_large_buckets_lose_no_link(spark):
                 words[at] = f"odd{rng.randint(0, 10**6)}"
             rows.append((len(rows), " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    idf = neardup.damped_idf(*neardup.word_frequencies(docs))
+    idf = neardup.word_weights(docs)
     sets = [neardup.weighted_shingles(neardup.word_hashes(t, neardup.WordHashes()), idf) for _, t in rows]
     keys = neardup.band_keys(sets)
     assert max(Counter(map(tuple, zip(np.tile(range(neardup.BANDS), len(rows)), keys.ravel(), strict=True))).values()) > 64
@@ -480,8 +645,8 @@ def test_large_buckets_lose_no_link(spark):
             if (keys[i] == keys[j]).any() and neardup.similarity(sets[i], sets[j]) >= 0.8:
                 top = [top[j] if x == top[i] else x for x in top]
     want = {i: min(j for j in range(len(rows)) if top[j] == top[i]) for i in range(len(rows))}
-    for sizes in ({}, {"small": 10, "block": 16, "leaders": 2}, {"small": 1000}):
-        assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs, **sizes).collect()} == want
+    for sizes in ({}, {"small": 10, "block": 16, "leaders": 2}, {"small": 1000}, {"block_bytes": 20_000}):
+        assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs, limits=neardup.Limits(**sizes)).collect()} == want
 
 
 def test_one_row_of_each_class_stays(spark):

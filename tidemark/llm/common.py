@@ -19,13 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the session names in ``spark.checkpoint.dir``; only where nothing is
-    set (as in tests on one machine) is a folder of our own set.
+    It is what the session names in ``spark.checkpoint.dir``.  Where nothing is set, a
+    local session (as in tests) gets a folder of its own; a cluster is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -56,6 +58,29 @@ def root_buckets(rows: int) -> int:
     return max(1, math.isqrt(max(0, rows - 1)) + 1)
 
 
+def scattered(docs: DataFrame, key: list[Column], buckets: int, seed: int, bucket: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """docs with the columns bucket (0 to buckets - 1) and order, both hashes of key, and a table (bucket, n) of the buckets' rows.
+
+    Rows that share a key share a bucket.  Only where a bucket has far more rows than it
+    should are the keys of its rows counted; rows of a key that would fill a bucket alone
+    are written once, with the bucket that a number of the row draws, so that every
+    later reading finds them in the same one.
+    """
+    rows = docs.select("*", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).alias(bucket), F.xxhash64(F.lit(seed + 1), *key).alias(order))
+    count_of = lambda df: written(df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")), "buckets")
+    counts = count_of(rows)
+    full = counts.where(F.col("n") > 8 * max(2, buckets)).select(bucket)
+    if full.isEmpty():
+        return rows, counts
+    # At most rows / buckets of them, about as many as buckets.
+    keys = rows.select(bucket, order).join(F.broadcast(full), bucket).groupBy(order).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > buckets)
+    keys = F.broadcast(written(keys.select(order), "hot-keys"))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), order, F.monotonically_increasing_id()), F.lit(buckets))
+    hot = written(rows.join(keys, order).withColumn(bucket, drawn), "hot-rows")
+    spread = rows.join(keys, order, "left_anti").unionByName(hot)
+    return spread, count_of(spread)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

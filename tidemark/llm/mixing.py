@@ -1,15 +1,16 @@
 """Mixing sources to target weights, in DataFrame operations alone.
 
-The documents of a source, in a seeded random order, form one line of words.  The
-mix takes the first words of the line, as many as the source's quota; a quota above
-the source's size goes on to a second pass of the line.  The line is cut into blocks
-of equal numbers of words.  A splitting tree deals the blocks to output shards: at
+The documents of a source, in a seeded random order, form one line of words, which is cut
+into blocks of equal numbers of words: permuted blocks.  The mix takes the first blocks of
+the line, as many as the source's quota; a quota above the source's size goes on to a
+second pass of the line.  A splitting tree deals the blocks to output shards: at
 each node a multivariate hypergeometric draw says how many blocks of each source go
 to the left half of the shards, so that each shard gets its exact number of blocks and
-the numbers are those of a random deal.  Each shard takes its own interval of
-every source's line, and shuffles what it got.
+the numbers are those of a random deal.  Each shard draws the next so many blocks of every
+source's line, disjoint from all others', and shuffles what it got by a hash.
 
-Only the sources' totals reach the driver, which draws the tree.
+So the quotas alone decide what is taken, and the tree decides who gets it.  Only the
+sources' totals reach the driver, which draws the tree.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, root_buckets, text_or_empty, written
+from tidemark.llm.common import WORD, root_buckets, scattered, written
 
 #: Sources are summarised on the driver; more are refused.
 MOST_SOURCES = 200_000
@@ -104,13 +105,15 @@ def _table(spark: SparkSession, rows: list[SourceQuota]) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind))).select("s", F.col("source").alias("_tidemark_source"), "source_size", "target", "ends")
 
 
-def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 23) -> DataFrame:
+def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 23, whole: bool = False) -> DataFrame:
     """docs with source_size, target, taken and pieces, one row for each of its rows.
 
     size: a column that holds the words of each row; without it they are counted in
-    text.  pieces is an array of (pass, shard, first_word, n_words): what the mix takes of
-    the document; `taken` is the sum.  Whole documents are taken but where a shard or the
-    quota ends.  Documents without words and null texts give none.  A null
+    text.  pieces is an array of (pass, shard, first_word, n_words, local_order): what the mix
+    takes of the document, for which shard, and a hash whose order is the shard's shuffled
+    one; `taken` is the sum of words.  Quotas are met to the word: where a shard or the quota
+    ends, a document is taken in part.  With `whole` documents are taken whole or not at
+    all: that at which a quota ends if half of it or more is within.  Documents without words and null texts give none.  A null
     source is a source.  Reruns take the same: the order is a hash of doc_id and size,
     and rows that share both can stand for each other.  Columns of docs with the names
     of new ones are replaced.  Empty tables give empty results.
@@ -119,13 +122,8 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
     new = ("source_size", "target", "taken", "pieces")
     own = [c for c in docs.columns if c.lower() not in new]
     counted = F.col(f"`{size}`").cast("long") if size else word_count(F.col("text"))
-    buckets = root_buckets(docs.count())
-    key = [F.col("doc_id"), F.col("_tidemark_size")]
-    rows = (
-        docs.select(*(F.col(f"`{c}`") for c in own), counted.alias("_tidemark_size"))
-        .withColumn("_tidemark_bucket", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).cast("int"))
-        .withColumn("_tidemark_order", F.xxhash64(F.lit(seed + 1), *key))
-    )
+    sized = docs.select(*(F.col(f"`{c}`") for c in own), counted.alias("_tidemark_size"))
+    rows, _ = scattered(sized, [F.col("doc_id"), F.col("_tidemark_size")], root_buckets(docs.count()), seed, "_tidemark_bucket", "_tidemark_order")
     totals = written(rows.groupBy(F.col("source").alias("_tidemark_source"), F.col("_tidemark_bucket").alias("bucket")).agg(F.sum("_tidemark_size").alias("words")), "mix-totals")
     found = totals.groupBy("_tidemark_source").agg(F.sum("words").alias("words")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -149,35 +147,32 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
     start, end_of = F.col("_tidemark_start") + F.col("_tidemark_words"), F.element_at("ends", -1)
     passes = F.when((F.col("_tidemark_size") > 0) & (end_of > 0), F.sequence(F.lit(0), F.ceil(end_of / F.col("source_size")).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
-    def of_pass(p: Column) -> Column:
+    def local_order(p: Column, first_word: Column) -> Column:
+        return F.xxhash64(F.lit(seed + 2), p, F.col("doc_id"), F.col("_tidemark_size"), first_word).alias("local_order")
+
+    def cut_at_shards(p: Column) -> Column:
         first = start + p * F.col("source_size")
-        of_shard = lambda k: F.struct(
-            p.alias("pass"), (k - 1).alias("shard"), (F.greatest(first, F.get("ends", k - 1)) - first).alias("first_word"),
-            (F.least(first + F.col("_tidemark_size"), F.get("ends", k)) - F.greatest(first, F.get("ends", k - 1))).alias("n_words"),
-        )
+
+        def of_shard(k: Column) -> Column:
+            begin, end = F.greatest(first, F.get("ends", k - 1)), F.least(first + F.col("_tidemark_size"), F.get("ends", k))
+            return F.struct(p.alias("pass"), (k - 1).alias("shard"), (begin - first).alias("first_word"), (end - begin).alias("n_words"), local_order(p, begin - first))
+
         return F.filter(F.transform(F.sequence(F.lit(1), F.lit(shards)), of_shard), lambda x: x["n_words"] > 0)
 
-    return lined.select(*(F.col(f"`{c}`") for c in own), "source_size", "target", F.flatten(F.transform(passes, of_pass)).alias("pieces")).select(
+    def of_first_word(p: Column) -> Column:
+        first = start + p * F.col("source_size")
+        zero = F.lit(0).cast("long")
+        shard = F.size(F.filter(F.slice("ends", F.lit(2), F.lit(shards - 1)), lambda e: e <= first)) if shards > 1 else F.lit(0)
+        piece = F.struct(p.alias("pass"), shard.cast("int").alias("shard"), zero.alias("first_word"), F.col("_tidemark_size").alias("n_words"), local_order(p, zero))
+        within = (end_of - first) * 2 >= F.col("_tidemark_size")
+        return F.filter(F.array(piece), lambda x: within)
+
+    pieces = F.flatten(F.transform(passes, of_first_word if whole else cut_at_shards)).alias("pieces")
+    return lined.select(*(F.col(f"`{c}`") for c in own), "source_size", "target", pieces).select(
         "*", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n_words"]).alias("taken")
     )
 
 
-def mixed_pieces(mixed: DataFrame, *, seed: int = 23) -> DataFrame:
-    """One row for each piece of `mix`'s rows, with pass, shard, first_word, n_words and its place in the shard's shuffled order."""
-    rows = mixed.select("*", F.inline("pieces")).drop("pieces")
-    return rows.withColumn("local_order", F.xxhash64(F.lit(seed + 2), "shard", "pass", "doc_id", "first_word"))
-
-
 def mixed_documents(mixed: DataFrame) -> DataFrame:
-    """The mix as documents: one row for each time a document is taken, with docs' columns.
-
-    A text of which only the first words are taken (the one at which a source's quota
-    ends) is cut after them.
-    """
-    by_pass = F.transform(F.array_distinct(F.transform("pieces", lambda x: x["pass"])), lambda p: F.aggregate(
-        F.filter("pieces", lambda x: x["pass"] == p), F.lit(0).cast("long"), lambda s, x: s + x["n_words"]))
-    rows = mixed.select("*", F.explode(by_pass).alias("_tidemark_words"))
-    words = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_tidemark_words").cast("int")), "")
-    text = F.when(F.col("_tidemark_words") >= word_count(F.col("text")), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).drop("source_size", "target", "taken", "pieces", "_tidemark_words")
+    """The mix as documents: one row for each time that `mix(whole=True)` takes a document, with docs' columns and the shard and local_order of the row."""
+    return mixed.select("*", F.inline("pieces")).drop("source_size", "target", "taken", "pieces", "pass", "first_word", "n_words")

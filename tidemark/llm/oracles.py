@@ -1,5 +1,8 @@
 """SQL twins of the corpus queries that SQL can express."""
 
+from tidemark.llm.url_reputation import SUFFIXES
+
+_SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES)
 _HOST = "translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
 
@@ -20,8 +23,9 @@ OP4_WARC = """with p as (select page_id, url, coalesce(html, '') as html from pa
 
 OP9_URL_FILTER = f"""with parsed as (select page_id, {_HOST} as host, {_PATH} as path from pages),
     known as (select doc_id as page_id, coalesce(max((toxic = 1 or quality = 0)::int), 0) as bad from labels where doc_id is not null group by 1),
-    h as (select host, case when len(string_split(host, '.')) > 2 then array_to_string(string_split(host, '.')[-2:], '.') else host end as domain, string_split(host, '.')[-1] as suffix,
-        count(bad)::double as n, coalesce(sum(bad), 0)::double as bad from parsed left join known using (page_id) group by 1, 2, 3),
+    labels_of as (select page_id, host, string_split(host, '.') as l, array_to_string(string_split(host, '.')[-2:], '.') as two from parsed),
+    h as (select host, case when two in ({_SUFFIXES}) then array_to_string(l[-3:], '.') else two end as domain, case when two in ({_SUFFIXES}) then two else l[-1] end as suffix,
+        count(bad)::double as n, coalesce(sum(bad), 0)::double as bad from labels_of left join known using (page_id) group by 1, 2, 3),
     root as (select (coalesce(sum(bad), 0) + 0.1::double) / (coalesce(sum(n), 0) + 1) as prior from h),
     suf as (select suffix, sum(n) as n, sum(bad) as bad, any_value(prior) as prior from h, root group by 1), {_level("suf", "suf", "suffix")},
     dom as (select domain, sum(h.n) as n, sum(h.bad) as bad, any_value(mean) as prior from h join suf_post using (suffix) group by 1, suffix), {_level("dom", "dom", "domain")},

@@ -31,7 +31,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "mix-sizes")
-    return mixing.mix(sized, size="size").select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(sized, size="size").select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,10 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The texts themselves needn't move: their sizes and hashes do.
-    crc = F.crc32(text_or_empty("text").cast("binary"))
-    slim = table(spark, sf_dir, "documents").select("doc_id", sharding.record_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.xxhash64("text").alias("mark"))
-    sharded = sharding.shard_rows(slim, 24, key=("doc_id", "mark"))
-    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = sharding.written_shards(sharding.shard_rows(docs, 24))
+    crc = F.crc32(text_or_empty("text").cast("binary")).alias("text_crc32")
+    return shards.select("doc_id", sharding.record_size(F.col("text")).alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

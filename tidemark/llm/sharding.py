@@ -3,8 +3,9 @@
 The first pass scatters the rows by a seeded hash into buckets that fit in memory.
 The second shuffles each bucket: its rows are numbered by a second hash, and a
 Fisher-Yates shuffle of those numbers (Spark's ``shuffle``) gives their places.  The
-buckets in order, each in its shuffled order, are one permutation of all rows; row
-number r of it goes to shard r mod n.  The counts of shards differ by one at most.
+buckets in order, each in its shuffled order, are one permutation of all rows.  It is cut
+into shards of equal numbers of rows (or one more); so a bucket goes to one shard,
+seldom to two, and the task that shuffled it writes it.
 """
 
 from __future__ import annotations
@@ -12,24 +13,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import root_buckets, text_or_empty
+from tidemark.llm.common import free_name, root_buckets, scattered, scratch_path, text_or_empty
 
+#: Buckets that a task permutes at once.
+BUCKETS_A_TASK = 256
 
-def bucket_permutations(counts: DataFrame, seed: int) -> DataFrame:
+
+def bucket_permutations(counts: DataFrame, buckets: int, seed: int) -> DataFrame:
     """(bucket, offset, perm) from (bucket, n): where the bucket starts and the shuffled numbers 0 to n - 1.
 
-    ``shuffle`` draws from one generator for each partition.  With a fixed number of
-    partitions, each sorted by bucket, reruns draw the same.  (The bucket is dealt by
-    another type than it is returned in: a join then deals these few rows like the documents
-    instead of the documents like them.)
+    ``shuffle`` draws from one generator for each partition.  With a number of partitions that
+    depends on the number of buckets alone, each sorted by bucket, reruns draw the same.  (The
+    bucket is dealt by another type than it is returned in: a join then deals these rows like the
+    documents instead of the documents like them.)
     """
     # One row for each bucket, about the square root of the row count.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return (
-        placed.withColumn("bucket", F.col("bucket").cast("int")).repartition(64, "bucket").sortWithinPartitions("bucket")
-        .select(F.col("bucket").cast("long").alias("bucket"), "offset", F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(seed)).alias("perm"))
-    )
+    numbers = F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))
+    dealt = placed.withColumn("bucket", F.col("bucket").cast("int")).repartition(max(8, -(-buckets // BUCKETS_A_TASK)), "bucket")
+    return dealt.sortWithinPartitions("bucket").select(F.col("bucket").cast("long").alias("bucket"), "offset", F.shuffle(numbers, F.lit(seed)).alias("perm"))
 
 
 def record_size(text: Column) -> Column:
@@ -43,31 +46,41 @@ def shard_rows(docs: DataFrame, shards: int, *, seed: int = 17, key: tuple[str,
     Slots count from 0 without gaps in each shard.  Rows scatter by the hash of the key
     columns, which should tell rows apart: null ids are as good as others, and
     equal rows are kept, each in a slot of its own.  Columns of docs with the new names
-    are replaced.  Empty tables give empty results.
+    are replaced.  Empty tables give empty results.  Reruns give the same rows the same
+    places; equal rows can stand for each other, and where thousands of them are dealt to
+    several buckets, the places of all rows depend on how the input is cut into tasks.
     """
-    buckets = root_buckets(docs.count())
-    by = [F.col(f"`{c}`") for c in key]
-    rows = docs.select(
-        "*", F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(buckets)).alias("_tidemark_bucket"), F.xxhash64(F.lit(seed + 1), *by).alias("_tidemark_order")
-    )
-    counts = rows.groupBy(F.col("_tidemark_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    perms = bucket_permutations(counts, seed).select(F.col("bucket").alias("_tidemark_bucket"), F.col("offset").alias("_tidemark_offset"), F.col("perm").alias("_tidemark_perm"))
-    number = F.row_number().over(Window.partitionBy("_tidemark_bucket").orderBy("_tidemark_order")) - 1
-    place = F.col("_tidemark_offset") + F.get(F.col("_tidemark_perm"), F.col("_tidemark_number"))
-    return (
-        rows.withColumn("_tidemark_number", number).join(perms, "_tidemark_bucket")
-        .select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")), place.alias("_tidemark_place"))
-        .select("*", (F.col("_tidemark_place") % shards).cast("int").alias("shard"), F.floor(F.col("_tidemark_place") / shards).cast("long").alias("slot"))
-        .drop("_tidemark_place")
-    )
-
-
-def write_shards(sharded: DataFrame, path: str, shards: int) -> None:
-    """Writes each shard as a directory shard=N of Parquet files, rows in slot order.
-
-    Rows reach the writers by (shard, part of the shard), so that a shard can be
-    larger than a task.  The file commit protocol keeps retried tasks from
-    writing rows twice.
+    n = docs.count()
+    buckets = root_buckets(n)
+    number_, bucket_, order_, place_, perm_, offset_ = (free_name(docs, f"_tidemark_{x}") for x in ("number", "bucket", "order", "place", "perm", "offset"))
+    rows, counts = scattered(docs, [F.col(f"`{c}`") for c in key], buckets, seed, bucket_, order_)
+    counts = counts.withColumnRenamed(bucket_, "bucket")
+    perms = bucket_permutations(counts, buckets, seed).select(F.col("bucket").alias(bucket_), F.col("offset").alias(offset_), F.col("perm").alias(perm_))
+    number = F.row_number().over(Window.partitionBy(bucket_).orderBy(order_)) - 1
+    # The permutations hold as many numbers as there are rows: they are merged with the buckets, not broadcast.
+    joined = rows.withColumn(number_, number).join(perms.hint("merge"), bucket_)
+    placed = joined.withColumn(place_, F.col(offset_) + F.get(F.col(perm_), F.col(number_)))
+    # The first `longer` shards have a row more than the others.
+    each, longer = divmod(n, shards)
+    place, edge = F.col(place_), longer * (each + 1)
+    short = max(1, each)
+    shard = F.when(place < edge, F.floor(place / (each + 1))).otherwise(longer + F.floor((place - edge) / short)).cast("int")
+    slot = F.when(place < edge, place % (each + 1)).otherwise((place - edge) % short).cast("long")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*kept, shard.alias("shard"), slot.alias("slot"))
+
+
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """Writes each shard of `shard_rows`' result as a directory shard=N of Parquet files, rows in slot order.
+
+    The tasks that shuffled the buckets write them: nothing is shuffled again.  The file
+    commit protocol keeps retried tasks from writing rows twice.
     """
-    part = F.floor(F.col("slot") / 100_000)
-    sharded.withColumn("_tidemark_part", part).repartition(F.col("shard"), F.col("_tidemark_part")).sortWithinPartitions("shard", "_tidemark_part", "slot").drop("_tidemark_part").write.partitionBy("shard").parquet(path)
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def written_shards(sharded: DataFrame) -> DataFrame:
+    """The rows of `shard_rows`, written to the shared folder as shards and read again."""
+    path = scratch_path(sharded.sparkSession, "shards")
+    write_shards(sharded, path)
+    return sharded.sparkSession.read.schema(sharded.schema).parquet(path)

@@ -62,13 +62,27 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host (the host, if it has fewer)."""
-    return F.substring_index(host, ".", -2)
+# Suffixes of two labels below which domains are registered, as public lists have them.
+SUFFIXES = (
+    "ac.at", "co.at", "or.at", "com.au", "edu.au", "gov.au", "net.au", "org.au", "com.br", "gov.br", "net.br", "org.br", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.co", "com.eg", "com.es", "com.hk", "edu.hk", "org.hk", "ac.id", "co.id", "or.id", "ac.il", "co.il", "org.il", "ac.in", "co.in", "gov.in", "net.in", "org.in",
+    "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "ac.ke", "co.ke", "ac.kr", "co.kr", "go.kr", "or.kr", "com.mx", "gob.mx", "org.mx", "com.my", "com.ng", "ac.nz", "co.nz",
+    "govt.nz", "net.nz", "org.nz", "com.pe", "com.ph", "com.pk", "com.pl", "edu.pl", "org.pl", "com.pt", "com.ru", "com.sa", "com.sg", "edu.sg", "ac.th", "co.th", "go.th",
+    "com.tr", "edu.tr", "gov.tr", "org.tr", "com.tw", "edu.tw", "org.tw", "com.ua", "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk",
+    "sch.uk", "com.ve", "com.vn", "edu.vn", "ac.za", "co.za", "gov.za", "org.za",
+)
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The last label of a host, or its last two if they are one of suffixes."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The label before the suffix with the suffix (the host, if it has fewer labels)."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _shrunk(units: DataFrame, keys: list[str], *, least_strength: float, most_strength: float) -> DataFrame:
@@ -87,15 +101,15 @@ def _shrunk(units: DataFrame, keys: list[str], *, least_strength: float, most_st
     return units.select(*keys, "n", "bad", F.lit(s).alias("s"), ((F.col("bad") + s * F.col("prior")) / (F.col("n") + s)).alias("mean"))
 
 
-def host_reputation(outcomes: DataFrame, *, z: float = 1.645, least_strength: float = 1.0, most_strength: float = 1000.0) -> DataFrame:
+def host_reputation(outcomes: DataFrame, *, z: float = 1.645, least_strength: float = 1.0, most_strength: float = 1000.0, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(host, n, bad, mean, lower) of every host in outcomes (host, n, bad).
 
     outcomes has one row for each host with its counts of labelled and bad pages.
     mean is the posterior mean share of bad pages and lower its bound, z standard
     deviations of the beta posterior below; hosts without labelled pages have what their
-    domain's posterior gives them.
+    domain's posterior gives them.  suffixes: those of several labels that the hosts may have.
     """
-    keyed = outcomes.select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad")
+    keyed = outcomes.select("host", registered_domain(F.col("host"), suffixes).alias("domain"), suffix(F.col("host"), suffixes).alias("suffix"), "n", "bad")
     total = keyed.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     prior = F.lit((total.bad + PRIOR_BAD) / (total.n + 1))
     bounds = {"least_strength": least_strength, "most_strength": most_strength}
@@ -107,7 +121,7 @@ def host_reputation(outcomes: DataFrame, *, z: float = 1.645, least_strength: fl
     return hosts.select("host", "n", "bad", "mean", F.greatest(F.lit(0.0), F.col("mean") - z * sd).alias("lower"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], *, limit: float = 0.25, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], *, limit: float = 0.25, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's lower bound, one row for each page.
 
     A page is bad if a label of its id says toxic = 1 or quality = 0; a page with
@@ -122,7 +136,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], *, limit:
     bad = F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int"))
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.coalesce(bad, F.lit(0)).alias("bad"))
     outcomes = parsed.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    blocked = host_reputation(written(outcomes, "hosts"), z=z).select("host", F.round("lower", 9).alias("lower"))
+    blocked = host_reputation(written(outcomes, "hosts"), z=z, suffixes=suffixes).select("host", F.round("lower", 9).alias("lower"))
     fits = matching_rule(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumn("fits", fits).join(blocked, "host", "left")
     method = F.when(F.col("lower") > limit, "block").otherwise("allow")

@@ -178,11 +178,13 @@ def ranges(rows: list[tuple[str, int, int]], gap: int, most: int) -> Iterator[tu
         first = i
 
 
-def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 16 << 20) -> DataFrame:
     """The records that the rows of index point to, read from the archives.
 
-    Rows are dealt by file and offset; ranges less than gap bytes apart are read at
-    once, up to `most` bytes.  A record whose bytes don't give its digest is an error.
+    Rows are dealt by file and offset to as many tasks as the selected records have
+    task_bytes: the index itself is small, and Spark would give all of it to one.
+    Ranges less than gap bytes apart are read at once, up to `most` bytes.  A record whose
+    bytes don't give its digest is an error.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +205,8 @@ def read_records(index: DataFrame, *, gap: int = 64 << 10, most: int = 8 << 20)
             f.close()
 
     where = index.select("file", "offset", "length")
-    return where.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
+    tasks = max(1, -(-(where.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    return where.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
 
 
 RECORD_NAMES = [c.split()[0] for c in RECORDS.split(", ")]
