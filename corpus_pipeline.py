@@ -28,12 +28,12 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the target weights of their sources ask for."""
-    return mixing.mixed_documents(mixing.mix(docs)).select(*docs.columns)
+    return mixing.mixed_documents(mixing.mix(docs, whole=True)).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard of 24 and their place in it."""
-    return sharding.shard_rows(docs, 24)
+    """The documents with their shard of 24 and their place in it, read from the shards as they were written."""
+    return sharding.written_shards(sharding.shard_rows(docs, 24))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
