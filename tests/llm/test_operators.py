@@ -64,6 +64,16 @@ def test_token_counts_are_the_librarys(spark, docs):
         assert all(r.over_limit == (r.n_tokens > 512) for r in got)
 
 
+def test_frequent_words_come_from_all_texts(spark):
+    rows = [(f"w{i % 50} " * (1 + i % 7) + f"rare{i}",) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (None,), ("",)], "t string").repartition(4)
+    want = Counter(w for (t,) in rows for w in t.split())
+    got = tokens.frequent_words(docs, "t", 50)
+    # Tasks pass on their most frequent words: a rare word's number can come out lower.
+    assert len(got) == 50 and all(w.startswith("w") and 0.9 * want[w] <= n <= want[w] for w, n in got.items())
+    assert tokens.frequent_words(docs, "t", 450) == dict(want)
+
+
 def test_token_counts_replace_clashing_columns_and_take_empty_tables(spark, empty):
     assert tokens.token_counts(empty, TOKENIZER).count() == 0
     odd = spark.createDataFrame([(1, "one two", 9, "x")], "doc_id bigint, text string, N_Tokens int, text_to_count string")
@@ -118,10 +128,45 @@ def test_toxicity_without_labels_and_on_awkward_rows(spark, docs, empty):
 
 
 def test_the_risk_stays_non_negative():
-    flagged, other = ([2, 4], [1, 1]), ([4], [1])
-    model = toxicity.fit_nnpu([flagged] * 100, [flagged] * 40 + [other] * 360, 0.1)
+    # Each text has a word of its own, so that all are distinct.
+    flagged, other = (lambda n: ([2, 4, 100 + 2 * n], [1, 1, 1])), (lambda n: ([4, 100 + 2 * n], [1, 1]))
+    model = toxicity.fit_nnpu([flagged(n) for n in range(100)], [flagged(n) for n in range(100, 140)] + [other(n) for n in range(140, 500)], 0.1)
     z = lambda f: model.bias + sum(model.weights.get(k, 0.0) for k in f[0])
-    assert z(flagged) > 0 > z(other)
+    assert z(flagged(999)) > 0 > z(other(999))
+
+
+def test_copies_of_a_text_make_no_feature():
+    copied, other = ([2, 4], [1, 1]), (lambda n: ([4, 100 + 2 * n], [1, 1]))
+    model = toxicity.fit_nnpu([copied] * 100 + [other(n) for n in range(50)], [other(n) for n in range(50, 450)], 0.1)
+    assert 2 not in model.weights
+
+
+def test_toxic_words_that_are_rare_each(spark):
+    rng = random.Random(6)
+    bad = [f"zz{a}{b}" for a in "abcdefghij" for b in "klmnopqrstuvwxyz"]
+    rows, labels = [], []
+    for i in range(5000):
+        words, toxic = sentence(rng, 30).split() + [f"name{rng.randint(0, 4000)}" for _ in range(5)], i % 6 == 0
+        words[10:10] = [rng.choice(bad) for _ in range(3 * toxic)]
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    model = toxicity.train_toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, model).collect()}
+    held = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    # Each word is in about 2 % of the toxic texts.
+    assert np.mean([found[i] for i in held if i % 6 == 0]) > 0.95 and np.mean([found[i] for i in held if i % 6]) < 0.02
+
+
+def test_toxicity_of_very_long_and_repeated_texts(spark):
+    rows, labels = toxic_corpus(800)
+    long = "calm words " * 60000
+    rows += [(5000, long, "en", "s", 0), (5001, long + "vexgrol snarkum blutzig", "en", "s", 0), (5001, long + "vexgrol snarkum blutzig", "en", "s", 0), (None, None, None, None, None), (5002, "", None, None, 0)]
+    docs = spark.createDataFrame([(*r, 0.5, 1) for r in rows], SCHEMA + ", score double, predicted int").repartition(4)
+    model = toxicity.train_toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    got = [(r.doc_id, r.predicted) for r in toxicity.toxicity_scores(docs, model).where("doc_id >= 5000 or doc_id is null").collect()]
+    assert sorted(got, key=key) == [(None, 0), (5000, 0), (5001, 1), (5001, 1), (5002, 0)]
+    assert sorted(r.doc_id for r in toxicity.keep_clean(docs, model).where("doc_id >= 5000").collect()) == [5000, 5002]
 
 
 # 3

@@ -2,8 +2,8 @@
 
 A byte-level BPE never merges across pre-tokens, so the number of tokens of a text
 is the sum of the numbers of its pre-tokens.  The first tier is a compact table of
-frequent pre-tokens and their lengths, broadcast to the workers; pre-tokens that it
-lacks are encoded by the tokenizer library once and kept in a cache of the worker.
+frequent pre-tokens and their lengths, those of the words that a count over the whole
+corpus finds most frequent, broadcast to the workers; pre-tokens that it lacks are encoded by the tokenizer library once and kept in a cache of the worker.
 Nothing is shuffled, and which pre-tokens either tier holds never changes a count.
 """
 
@@ -84,17 +84,36 @@ def unpack_table(packed: tuple[str, np.ndarray]) -> dict[str, int]:
     return dict(zip(keys.split("\0"), lengths.tolist(), strict=True)) if len(lengths) else {}
 
 
-def frequent_lengths(docs: DataFrame, tokenizer_path: str, text: str, sample_rows: int, table_entries: int) -> dict[str, int]:
-    """The most frequent pre-tokens of at most sample_rows texts (of at most 64 KB each) with their lengths.
+def frequent_words(docs: DataFrame, text: str, entries: int) -> dict[str, int]:
+    """The most frequent words between white space of all texts, with their numbers.
 
-    The sample only decides which pre-tokens are cheap to look up.
+    Each task counts its whole texts; when it holds eight times as many words as are
+    asked for, it drops the rarer half.  A word kept by its tasks has nearly its true
+    number, and no task sends more than twice the words asked for.
     """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in slices(batches, 0):
+            for t in batch.column(0).to_pylist():
+                seen.update((t or "").split())
+                if len(seen) > 8 * entries:
+                    seen = Counter(dict(seen.most_common(4 * entries)))
+        top = [(w, n) for w, n in seen.most_common(2 * entries) if len(w) < LONGEST_KEPT]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+
+    words = docs.select(F.col(f"`{text}`")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(entries).collect()}
+
+
+def frequent_lengths(docs: DataFrame, tokenizer_path: str, text: str, table_entries: int) -> dict[str, int]:
+    """The most frequent pre-tokens with their lengths: those of the corpus' most frequent words, each after a space."""
     seen: Counter[str] = Counter()
     split = regex.compile(PATTERN).findall
-    for row in docs.select(F.col(text).alias("t")).where(F.octet_length("t") <= 65536).take(sample_rows):
-        if not SETTLED.search(row.t):
-            seen.update(split(row.t))
-    pieces = [p for p, _ in seen.most_common(table_entries) if len(p) <= LONGEST_KEPT and "\0" not in p]
+    for word, n in frequent_words(docs, text, table_entries).items():
+        for piece in split(f" {word}"):
+            seen[piece] += n
+    pieces = [p for p, _ in seen.most_common(table_entries) if "\0" not in p]
     found = load_tokenizer(tokenizer_path).encode_batch(pieces, add_special_tokens=False) if pieces else []
     return {p: len(e.ids) for p, e in zip(pieces, found, strict=True)}
 
@@ -105,7 +124,6 @@ def token_counts(
     *,
     text: str = "text",
     limit: int = 512,
-    sample_rows: int = 512,
     table_entries: int = 32768,
     cache_entries: int = 200_000,
 ) -> DataFrame:
@@ -116,7 +134,7 @@ def token_counts(
     column of docs that has one of the three names is replaced.
     tokenizer_path: a byte-level BPE file that every executor can open by this path.
     """
-    table = docs.sparkSession.sparkContext.broadcast(pack_table(frequent_lengths(docs, tokenizer_path, text, sample_rows, table_entries)))
+    table = docs.sparkSession.sparkContext.broadcast(pack_table(frequent_lengths(docs, tokenizer_path, text, table_entries)))
 
     kept = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
     inner = docs.select(*(F.col(f"`{c}`") for c in kept))

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
 
+#: A feature that the model may use is in as many distinct toxic texts of the sample.
+LEAST_TEXTS = 6.0
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -65,25 +67,33 @@ class ToxicityModel:
 def precise_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_precision: float, least_texts: float) -> np.ndarray:
     """Features whose precision, the share of toxic texts among all that have them, is surely above least_precision.
 
-    By positive-unlabelled data it is prior P(feature | toxic) / P(feature); both
-    shares are taken a standard deviation to the safe side.
+    By positive-unlabelled data it is prior P(feature | toxic) / P(feature).  The share of the
+    toxic texts is taken a standard deviation lower, that of all with one text more.
     """
     toxic_keys, in_toxic = np.unique(np.concatenate(positive), return_counts=True)
     all_keys, counts = np.unique(np.concatenate(unlabelled), return_counts=True)
     at = np.minimum(np.searchsorted(all_keys, toxic_keys), max(0, len(all_keys) - 1))
     in_all = np.where(all_keys[at] == toxic_keys, counts[at], 0) if len(all_keys) else np.zeros(len(toxic_keys))
     low = prior * (in_toxic - np.sqrt(in_toxic)) / len(positive)
-    high = (in_all + np.sqrt(in_all + 1)) / len(unlabelled)
+    high = (in_all + 1) / len(unlabelled)
     return toxic_keys[(low > least_precision * high) & (in_toxic >= least_texts)]
 
 
+def distinct(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """One of each set of features."""
+    return list({np.sort(f).tobytes(): f for f in texts}.values())
+
+
 def telling_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_precision: float) -> np.ndarray:
     """Precise whole words, and beginnings that are precise among the texts without any of those.
 
-    So a beginning isn't taken for what one of its words explains.  Features of fewer than 2 %
-    of the toxic texts (or of five) are left out: they may come from a few copies.
+    So a beginning isn't taken for what one of its words explains.  Distinct texts count, so
+    that copies can't make a feature.  A feature needs LEAST_TEXTS of them, or a quarter of
+    the toxic ones where there are few, but two at least: by then hardly any neutral word is
+    in so many toxic texts and next to no others by chance, whatever the size of the sample.
     """
-    least = max(5.0, 0.02 * len(positive))
+    positive, unlabelled = distinct(positive), distinct(unlabelled)
+    least = min(LEAST_TEXTS, max(2.0, len(positive) / 4))
     words = precise_features([f[f & 1 == 0] for f in positive], [f[f & 1 == 0] for f in unlabelled], prior, least_precision, least)
     toxic_rest = [f for f in positive if not np.isin(f, words).any()]
     rest = [f for f in unlabelled if not np.isin(f, words).any()]
