@@ -100,7 +100,7 @@ def test_expressions(spark):
 )
 def test_rules(spark, change, issues):
     record = {k: v for k, v in (GOOD | change).items() if v is not ...}
-    row = spark.createDataFrame([(json.dumps(record),)], "raw string").select(validation.validation_issues(F.col("raw"), RIVER).alias("i")).first()
+    row = spark.createDataFrame([(json.dumps(record),)], "raw string").select(validation.validation_issues(F.try_parse_json("raw"), RIVER).alias("i")).first()
     assert sorted((i.error_type, ".".join(i.location)) for i in row.i) == sorted(issues)
 
 
@@ -131,7 +131,8 @@ def test_runs_are_processed_once(spark, lake):
     assert first == [("007", RIVER, "observations", 3), ("s1", RIVER_STATIONS, "observations", 1), ("s1", RIVER_STATIONS, "stations", 2)]
     assert sorted(map(tuple, runs.process_runs_idempotent(spark, str(lake)).collect())) == first
     assert L.scan_processed(spark, str(lake), "observations").count() == 4
-    report = spark.read.json(f"{lake}/quality").where("run_id = 's1'").first()
+    kind = "station_summary struct<total_rows: bigint>, current_data_health struct<total_stations: bigint>"
+    report = runs.read_reports(spark, str(lake), kind).where("run_id = 's1'").first().report
     assert report.station_summary.total_rows == 2 and report.current_data_health.total_stations == 2
     state = runs.committed_runs(L.scan_manifests(spark, str(lake)), runs.commit_log(spark, str(lake)).where("dataset <> 'stations'"), L.scan_processed(spark, str(lake), "stations").select("run_id", F.lit("stations").alias("dataset")))
     assert {(r.run_id, r.dataset): r.state for r in state.collect()} == {("007", "observations"): "complete", ("s1", "observations"): "complete", ("s1", "stations"): "incomplete"}
@@ -139,6 +140,54 @@ def test_runs_are_processed_once(spark, lake):
     assert spark.read.parquet(f"{lake}/compact").count() == 4
 
 
+@pytest.mark.parametrize("step", ["write_processed", "second table", "write_reports", "commits"])
+def test_a_writer_that_died_is_taken_up(spark, lake, monkeypatch, step):
+    calls = []
+
+    def dies(f, at):
+        def run(*args, **named):
+            calls.append(1)
+            if len(calls) == at:
+                raise OSError("the machine is gone")
+            return f(*args, **named)
+
+        return run
+
+    with monkeypatch.context() as m:
+        if step in ("write_processed", "second table"):
+            m.setattr(runs.L, "write_processed", dies(L.write_processed, 1 if step == "write_processed" else 2))
+        elif step == "write_reports":
+            m.setattr(runs, "write_reports", dies(runs.write_reports, 1))
+        else:
+            m.setattr(runs, "committed_runs", dies(runs.committed_runs, 1))
+        with pytest.raises(OSError):
+            runs.process_runs_idempotent(spark, str(lake))
+    assert runs.commit_log(spark, str(lake)).count() == 0
+    done = sorted(map(tuple, runs.process_runs_idempotent(spark, str(lake)).collect()))
+    assert done == [("007", RIVER, "observations", 3), ("s1", RIVER_STATIONS, "observations", 1), ("s1", RIVER_STATIONS, "stations", 2)]
+    assert L.scan_processed(spark, str(lake), "observations").count() == 4 and L.scan_processed(spark, str(lake), "stations").count() == 2
+    assert runs.read_reports(spark, str(lake), "report_version int").count() == 2
+
+
+def test_a_report_that_differs_is_an_error(spark, lake):
+    spark.createDataFrame([("s1", "{}", RIVER_STATIONS)], runs.REPORTS).write.partitionBy("endpoint").parquet(f"{lake}/quality")
+    with pytest.raises(ValueError, match="reports differ"):
+        runs.process_runs_idempotent(spark, str(lake))
+
+
+def test_runs_go_in_batches_and_read_their_own_pages(spark, lake):
+    put(lake, RIVER, "unlisted", 1, [GOOD])
+    todo = L.scan_manifests(spark, str(lake))
+    pages = L.scan_listed_pages(spark, todo, RIVER)
+    assert {(r.run_id, r.page_index) for r in pages.collect()} == {("007", 1), ("007", 2)}
+    assert not any("unlisted" in f for f in pages.inputFiles())
+    assert L.scan_listed_pages(spark, todo.limit(0), RIVER).count() == 0
+    assert runs.process_runs_idempotent(spark, str(lake), runs_at_once=1).count() == 3
+    hours = [(RIVER, 2026, 9, 1, 0)]
+    assert L.scan_hours(spark, str(lake), "observations", hours).count() == 3
+    assert L.scan_hours(spark, str(lake), "observations", [(RIVER, 2020, 1, 1, 0)]).count() == 0
+
+
 def test_rows_without_a_commit_are_an_error(spark, lake):
     L.write_processed(spark.createDataFrame([("007", RIVER, datetime(2026, 9, 1))], "run_id string, endpoint string, ingested_at timestamp"), str(lake), "observations")
     with pytest.raises(ValueError, match="without a commit"):

@@ -98,3 +98,13 @@ def test_latest_per_key_is_the_first_of_the_order(spark, rows):
         rank = (a is None, -(a or 0), b is None, b or 0, i)
         want[k] = min(want.get(k, rank), rank)
     assert {r.k: r.i for r in views.latest_per_key(df, ["k"], order).collect()} == {k: v[-1] for k, v in want.items()}
+
+
+def test_the_network_has_one_summary(spark):
+    from tidemark.operators.reads import get_network_summary
+
+    one = spark.createDataFrame([(3, None)], "total_stations int, latest_observed_at timestamp")
+    assert get_network_summary(one).collect() == one.collect()
+    for odd in (one.limit(0), one.union(one)):
+        with pytest.raises(Exception, match="one summary"):
+            get_network_summary(odd).collect()

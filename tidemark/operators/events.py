@@ -11,12 +11,16 @@ UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]
 ZONED = r"^\d{4}-\d\d-\d\d[T ].*(Z|[+-]\d\d:?\d\d)$"
 
 
-def decode_events(lines: DataFrame, value: str = "value") -> DataFrame:
+def decode_events(lines: DataFrame, value: str = "value", types: tuple[str, ...] | None = None) -> DataFrame:
     """Envelopes from JSON texts, with the list of what is wrong; rows without errors are events.
 
-    data keeps scalars only, as texts.
+    data keeps scalars only, as texts.  types: only texts that may hold events of these types
+    are decoded; the others are left out before.
     """
-    v = F.try_parse_json(value)
+    if types:
+        lines = lines.where(F.get_json_object(value, "$.event_type").isin(*types))
+    # A column of its own: each use of an expression would parse the text again.
+    v = F.col("_parsed")
     text = lambda name: F.try_variant_get(v, f"$.{name}", "string")
     data = F.try_variant_get(v, "$.data", "variant")
     pairs = F.try_variant_get(v, "$.data", "map<string,variant>")
@@ -29,8 +33,8 @@ def decode_events(lines: DataFrame, value: str = "value") -> DataFrame:
         bad(data.isNotNull() & pairs.isNotNull() & scalar, "data"),
     ]
     texts = F.transform_values(pairs, lambda _, x: F.try_variant_get(x, "$", "string"))
-    return lines.select(
-        "*", text("event_id").alias("event_id"), text("event_type").alias("event_type"), at.alias("occurred_at"), text("correlation_id").alias("correlation_id"),
+    return lines.withColumn("_parsed", F.try_parse_json(value)).select(
+        *lines.columns, text("event_id").alias("event_id"), text("event_type").alias("event_type"), at.alias("occurred_at"), text("correlation_id").alias("correlation_id"),
         version.alias("schema_version"), texts.alias("data"), F.filter(F.array(*errors), lambda x: x.isNotNull()).alias("errors"),
     )
 
@@ -109,8 +113,9 @@ def completion_receipts(ingested: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def receipt_violations(receipts: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """Receipts that differ from the recomputed ones in anything but their time, or that nothing gives."""
+    """Receipts that differ from the recomputed ones in anything but their time (kind: changed), or that nothing gives (unknown)."""
     said = F.to_json(F.struct("event_type", "correlation_id", "schema_version", F.map_from_entries(F.array_sort(F.map_entries("data"))).alias("data")))
     a = receipts.select("event_id", said.alias("said"))
     b = recomputed.select("event_id", said.alias("expected"))
-    return a.join(b, "event_id", "left").where(~F.col("said").eqNullSafe(F.col("expected")))
+    kind = F.when(F.col("expected").isNull(), "unknown").otherwise("changed").alias("kind")
+    return a.join(b, "event_id", "left").where(~F.col("said").eqNullSafe(F.col("expected"))).select("event_id", kind, "said", "expected")

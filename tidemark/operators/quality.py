@@ -46,6 +46,16 @@ def outside(c: Column, most: float) -> Column:
     return c.isNotNull() & ((c < -most) | (c > most))
 
 
+def missing_pair(a: Column, b: Column) -> Column:
+    """Either of two values that belong together is missing."""
+    return a.isNull() | b.isNull()
+
+
+def above(low: Column, high: Column) -> Column:
+    """A limit that is above the one it should be below; where one is missing, it isn't."""
+    return F.coalesce(low > high, F.lit(False))
+
+
 def stale(limit_hours: float) -> Column:
     """A row of a snapshot older than the limit.  History is never stale, and future rows aren't either."""
     age = F.unix_timestamp("ingested_at") - F.unix_timestamp("observed_at")
@@ -68,8 +78,8 @@ def observation_quality(observations: DataFrame, policy: Policy = Policy()) -> D
         ("missing_run_id", is_blank(c("run_id"))), ("invalid_latitude", outside(c("latitude"), 90)), ("invalid_longitude", outside(c("longitude"), 180)), ("duplicate_source_record_id", c("_same_record")),
     ]
     warnings = [
-        ("missing_water_level", c("water_level_m").isNull()), ("missing_coordinates", c("latitude").isNull() | c("longitude").isNull()),
-        ("suspicious_water_level", F.abs("water_level_m") >= policy.suspicious_level_m), ("warning_above_danger", c("warning_level_m") > c("danger_level_m")),
+        ("missing_water_level", c("water_level_m").isNull()), ("missing_coordinates", missing_pair(c("latitude"), c("longitude"))),
+        ("suspicious_water_level", F.abs("water_level_m") >= policy.suspicious_level_m), ("warning_above_danger", above(c("warning_level_m"), c("danger_level_m"))),
         ("stale_current_observation", stale(policy.max_age_hours)), ("duplicate_station_observed_at", c("_same_time")),
     ]
     return graded(rows, errors, warnings, keep)
@@ -85,7 +95,7 @@ def station_quality(stations: DataFrame) -> DataFrame:
     ]
     warnings = [
         ("missing_station_series_id", is_blank(c("station_series_id"))), ("missing_basin_name", is_blank(c("basin_name"))),
-        ("missing_coordinates", c("latitude").isNull() | c("longitude").isNull()), ("duplicate_station_series_id", c("_same_series")),
+        ("missing_coordinates", missing_pair(c("latitude"), c("longitude"))), ("duplicate_station_series_id", c("_same_series")),
     ]
     return graded(rows, errors, warnings, keep)
 

@@ -54,8 +54,10 @@ def get_basin_summaries(basins: DataFrame) -> DataFrame:
 
 
 def get_network_summary(network: DataFrame) -> DataFrame:
-    """The one row of the network; the table has one by its making."""
-    return network
+    """The one row of the network; a table that has none or several is an error."""
+    whole = network.agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("*")).alias("row"))
+    said = F.concat(F.lit("the network has one summary, not "), F.col("n").cast("string"))
+    return whole.select(F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(said)).alias("row")).select("row.*")
 
 
 def recent_observations(history: DataFrame, station_id: str, n: int = 20) -> DataFrame:

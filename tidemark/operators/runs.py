@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,8 @@ from tidemark.operators import quality, transforms
 from tidemark.schemas import RIVER, RIVER_STATIONS
 from tidemark.sources import lake as L
 
+DATASETS = ("stations", "observations")
+REPORTS = "run_id string, report string, endpoint string"
 COMMITS = "run_id string, endpoint string, dataset string, row_count bigint, committed_at timestamp"
 
 
@@ -53,13 +56,16 @@ class Processed:
     stations: DataFrame
     observations: DataFrame
 
+    def __getitem__(self, dataset: str) -> DataFrame:
+        return getattr(self, dataset)
 
-def process(spark: SparkSession, lake: str, manifests: DataFrame) -> Processed:
-    """Typed rows of all the manifests' runs in one job for each endpoint."""
+
+def process(spark: SparkSession, manifests: DataFrame) -> Processed:
+    """Typed rows of all the manifests' runs in one job for each endpoint; only the pages that they list are read."""
     runs = manifests.select("run_id", "captured_at")
     of = {}
     for endpoint in (RIVER, RIVER_STATIONS):
-        pages = L.scan_raw_pages(spark, lake, endpoint, typed=False).join(runs.select("run_id"), "run_id", "left_semi")
+        pages = L.scan_listed_pages(spark, manifests, endpoint)
         of[endpoint] = L.parse_records(L.explode_records(pages, runs), endpoint)
     history = transforms.transform_historical_observations(of[RIVER]).withColumn("endpoint", F.lit(RIVER))
     current = transforms.transform_station_observations(of[RIVER_STATIONS]).withColumn("endpoint", F.lit(RIVER_STATIONS))
@@ -77,39 +83,94 @@ def quality_reports(manifests: DataFrame, stations: DataFrame, observations: Dat
     return joined.withColumn("report_version", F.lit(1))
 
 
-def process_runs_idempotent(spark: SparkSession, lake: str) -> DataFrame:
+def process_runs_idempotent(spark: SparkSession, lake: str, *, runs_at_once: int = 1000) -> DataFrame:
     """Processes every completed run that isn't committed, and returns what each run has.
 
-    Order: tables, then reports, then commits.  A rerun finds nothing to do.  A run whose
-    rows are there without a commit (a writer died between the two) is an error, as
-    runs are immutable.
+    Up to runs_at_once runs, the oldest first, go together: their rows are staged, and then
+    tables, reports and commits are written in this order.  Whatever a writer that died has
+    left is taken up: a run's table that has all its rows is kept, one that has none is
+    written, and one that has others is an error, as runs are immutable.  So is a report that
+    isn't the one found again.  A rerun finds nothing to do.
     """
-    manifests = L.scan_manifests(spark, lake)
-    commits = commit_log(spark, lake)
-    todo = pending_runs(manifests, commits)
-    if not todo.isEmpty():
-        held = set()
-        for dataset in ("stations", "observations"):
-            try:
-                rows = L.scan_processed(spark, lake, dataset)
-            except L.MissingDataset:
-                continue
-            if not rows.join(todo.select("run_id"), "run_id", "left_semi").isEmpty():
-                held.add(dataset)
-        if held:
-            raise ValueError(f"rows without a commit in {sorted(held)}")
-        found = process(spark, lake, todo)
-        L.write_processed(found.stations, lake, "stations")
-        L.write_processed(found.observations, lake, "observations")
-        stations, observations = (L.scan_processed(spark, lake, d).join(todo.select("run_id"), "run_id", "left_semi") for d in ("stations", "observations"))
-        quality_reports(todo, stations, observations).write.mode("append").partitionBy("endpoint").json(f"{lake}/quality")
-        counts = [df.groupBy("run_id").agg(F.count(F.lit(1)).alias("row_count")).withColumn("dataset", F.lit(n)) for n, df in (("stations", stations), ("observations", observations))]
-        planned = committed_runs(todo, commits, spark.createDataFrame([], "run_id string, dataset string")).drop("row_count", "state")
-        done = planned.join(counts[0].unionByName(counts[1]), ["run_id", "dataset"], "left").select("run_id", "endpoint", "dataset", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.current_timestamp().alias("committed_at"))
-        done.coalesce(1).write.mode("append").parquet(f"{lake}/commits")
+    while True:
+        todo = pending_runs(L.scan_manifests(spark, lake), commit_log(spark, lake)).orderBy("captured_at", "run_id").limit(runs_at_once)
+        # Manifests are small: one row for each run.  Written, so that all steps see the same runs.
+        path = f"{lake}/staging/{uuid.uuid4().hex}"
+        todo.write.parquet(f"{path}/manifests")
+        todo = spark.read.schema(todo.schema).parquet(f"{path}/manifests")
+        if todo.isEmpty():
+            break
+        _process_batch(spark, lake, todo, path)
+        _remove(spark, path)
+    _remove(spark, path)
     return commit_log(spark, lake).select("run_id", "endpoint", "dataset", "row_count")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _counts(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+
+
+def _process_batch(spark: SparkSession, lake: str, todo: DataFrame, staging: str) -> None:
+    """Stages, publishes, reports and commits the runs of todo."""
+    at = [F.year("captured_at"), F.month("captured_at"), F.day("captured_at"), F.hour("captured_at")]
+    hours = [tuple(r) for r in todo.select("endpoint", *at).distinct().collect()]
+    found, staged, counts = process(spark, todo), {}, {}
+    for dataset in DATASETS:
+        found[dataset].write.parquet(f"{staging}/{dataset}")
+        staged[dataset] = spark.read.schema(found[dataset].schema).parquet(f"{staging}/{dataset}")
+        counts[dataset] = _publish(spark, lake, dataset, todo, staged[dataset], hours)
+    write_reports(spark, lake, quality_reports(todo, staged["stations"], staged["observations"]), todo)
+    planned = committed_runs(todo, commit_log(spark, lake), spark.createDataFrame([], "run_id string, dataset string")).drop("row_count", "state")
+    done = planned.join(counts["stations"].unionByName(counts["observations"]), ["run_id", "dataset"], "left")
+    commits = done.select("run_id", "endpoint", "dataset", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.current_timestamp().alias("committed_at"))
+    commits.coalesce(1).write.mode("append").parquet(f"{lake}/commits")
+
+
+def _publish(spark: SparkSession, lake: str, dataset: str, todo: DataFrame, staged: DataFrame, hours: list[tuple]) -> DataFrame:
+    """Writes the staged rows of the runs that have none in the lake; (run_id, dataset, row_count) of all."""
+    wanted = _counts(staged, "row_count")
+    held = L.scan_hours(spark, lake, dataset, hours).join(todo.select("run_id"), "run_id", "left_semi")
+    both = wanted.join(_counts(held, "held"), "run_id", "full").select("run_id", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.coalesce("held", F.lit(0)).alias("held"))
+    odd = both.where("held > 0 and held <> row_count").limit(10).collect()
+    if odd:
+        raise ValueError(f"{dataset} without a commit have other rows than their run: {[(r.run_id, r.held, r.row_count) for r in odd]}")
+    missing = both.where("held = 0 and row_count > 0").select("run_id")
+    if not missing.isEmpty():
+        L.write_processed(staged.join(missing, "run_id", "left_semi"), lake, dataset)
+    return wanted.withColumn("dataset", F.lit(dataset))
+
+
+def write_reports(spark: SparkSession, lake: str, reports: DataFrame, todo: DataFrame) -> None:
+    """Appends the reports of runs that have none; a report that is there must be the same, or it is an error."""
+    text = F.to_json(F.struct(*sorted(reports.columns)), {"ignoreNullFields": "false"}).alias("report")
+    said = reports.select("endpoint", "run_id", text)
+    try:
+        there = spark.read.schema(REPORTS).parquet(f"{lake}/quality")
+        there = there.join(todo.select("endpoint", "run_id"), ["endpoint", "run_id"], "left_semi")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        there = spark.createDataFrame([], REPORTS)
+    known = there.select("endpoint", "run_id", F.col("report").alias("known"))
+    compared = said.join(known, ["endpoint", "run_id"], "left")
+    changed = compared.where("known is not null and known <> report").limit(10).collect()
+    if changed:
+        raise ValueError(f"reports differ from those that are there: {[r.run_id for r in changed]}")
+    new = compared.where("known is null").drop("known")
+    if not new.isEmpty():
+        new.write.mode("append").partitionBy("endpoint").parquet(f"{lake}/quality")
+
+
+def read_reports(spark: SparkSession, lake: str, schema: str) -> DataFrame:
+    """(endpoint, run_id, report): the reports as structs of the schema."""
+    return spark.read.schema(REPORTS).parquet(f"{lake}/quality").select("endpoint", "run_id", F.from_json("report", schema).alias("report"))
+
+
 def run_catalog(paths: DataFrame, manifests: DataFrame) -> DataFrame:
     """For each idempotency prefix (event-<uuid>) of run ids in paths (path): its next attempt, and its completed run.
 

@@ -95,9 +95,8 @@ def _field_issues(v: Column, field: Field, at: list[str] | None = None) -> list[
     ]
 
 
-def validation_issues(raw: Column, endpoint: str) -> Column:
-    """The issues of a record's JSON text; none: it is valid."""
-    v = F.try_parse_json(raw)
+def validation_issues(v: Column, endpoint: str) -> Column:
+    """The issues of a record, as a variant that is null for a text that is no JSON; none: it is valid."""
     is_object = F.coalesce(_kind(v) == "OBJECT", F.lit(False))
     found = [F.when(is_object, c) for f in RULES[endpoint] for c in _field_issues(v, f)]
     return F.filter(F.array(_issue(~is_object, "model_type", [], "an object is wanted"), *found), lambda x: x.isNotNull()).cast(f"array<{ISSUE}>")
@@ -116,8 +115,10 @@ def validate_records(pages: DataFrame, endpoint: str, start_index: int = 0) -> D
     offsets = counted.select("run_id", "page_index", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     rows = pages.select("endpoint", "provider", "run_id", "page_index", F.posexplode("results").alias("pos", "raw")).join(offsets, ["run_id", "page_index"])
     raw = F.coalesce("raw", F.lit("null"))
-    return rows.select(
-        "endpoint", "provider", "run_id", "page_index", (F.col("offset") + F.col("pos") + start_index).alias("record_index"), raw.alias("raw"), validation_issues(raw, endpoint).alias("issues")
+    # A column of its own: each use of an expression would parse the text again.
+    parsed = rows.withColumn("parsed", F.try_parse_json(raw))
+    return parsed.select(
+        "endpoint", "provider", "run_id", "page_index", (F.col("offset") + F.col("pos") + start_index).alias("record_index"), raw.alias("raw"), validation_issues(F.col("parsed"), endpoint).alias("issues")
     ).withColumn("record", F.when(F.size("issues") == 0, F.from_json("raw", record_schema(endpoint))))
 
 

@@ -338,12 +338,12 @@ def freshness_status(spark, sf_dir):
     return D.observations(spark, sf_dir).select("event_id", age.alias("age_hours"), C.freshness_status(F.col("observed_at").isNotNull(), age).alias("freshness"))
 
 
-@query("select event_id, longitude as lon, latitude as lat, case when event_id % 3 = 0 then null else observed_at end as parsed from obs where latitude is not null")
+@query("select event_id, longitude as lon, latitude as lat, case when event_id % 3 = 0 then null else observed_at end as parsed from obs")
 def point_coordinates(spark, sf_dir):
     """point_lon, point_lat and safe_timestamp of all observations."""
     point = F.struct(F.array("longitude", "latitude").alias("coordinates"))
     text = F.when(F.col("event_id") % 3 == 0, "soon").otherwise(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ssXXX"))
-    return D.observations(spark, sf_dir).where("latitude is not null").select("event_id", C.point_lon(point).alias("lon"), C.point_lat(point).alias("lat"), C.safe_timestamp(text).alias("parsed"))
+    return D.observations(spark, sf_dir).select("event_id", C.point_lon(point).alias("lon"), C.point_lat(point).alias("lat"), C.safe_timestamp(text).alias("parsed"))
 
 
 @query("select station_id, run_id, nullif(trim(station_name), '') as name from sta")
@@ -416,14 +416,20 @@ def rule_flags(spark, sf_dir):
     return D.observations(spark, sf_dir).select("event_id", F.array_join(C.rule_flags(rules), ",").alias("flags"))
 
 
-@query("select event_id, latitude is not null and (latitude < -90 or latitude > 90) as bad_latitude, longitude < -180 or longitude > 180 as bad_longitude, latitude is null or longitude is null as no_pair, coalesce(warning_level_m > danger_level_m, false) as odd_levels from obs")
+@query("select event_id, latitude is not null and (latitude < -90 or latitude > 90) as bad_latitude, longitude < -180 or longitude > 180 as bad_longitude from obs")
 def range_rule(spark, sf_dir):
-    """The range, pair and cross-field rules of all observations."""
     c = F.col
-    return D.observations(spark, sf_dir).select(
-        "event_id", Q.outside(c("latitude"), 90).alias("bad_latitude"), Q.outside(c("longitude"), 180).alias("bad_longitude"), (c("latitude").isNull() | c("longitude").isNull()).alias("no_pair"),
-        F.coalesce(c("warning_level_m") > c("danger_level_m"), F.lit(False)).alias("odd_levels"),
-    )
+    return D.observations(spark, sf_dir).select("event_id", Q.outside(c("latitude"), 90).alias("bad_latitude"), Q.outside(c("longitude"), 180).alias("bad_longitude"))
+
+
+@query("select event_id, latitude is null or longitude is null as no_pair from obs")
+def missing_pair_rule(spark, sf_dir):
+    return D.observations(spark, sf_dir).select("event_id", Q.missing_pair(F.col("latitude"), F.col("longitude")).alias("no_pair"))
+
+
+@query("select event_id, coalesce(warning_level_m > danger_level_m, false) as odd_levels from obs")
+def cross_field_rule(spark, sf_dir):
+    return D.observations(spark, sf_dir).select("event_id", Q.above(F.col("warning_level_m"), F.col("danger_level_m")).alias("odd_levels"))
 
 
 @query(f"select event_id, endpoint = '{RIVER_STATIONS}' and epoch(ingested_at) - epoch(observed_at) > 86400 as stale from obs")
@@ -520,14 +526,14 @@ def explode_records(spark, sf_dir):
 _TREND = "case cast(event_id % 4 as integer) when 0 then 'RISING' when 1 then 'STABLE' when 2 then 'FALLING' else 'UNKNOWN' end as trend"
 
 
-@query(f"""select case when not bad_id then cast(event_id as varchar) end as source_record_id, station_id, case when event_id % 29 <> 0 then ' Gauge ' || station_id end as station_name, case when event_id % 37 <> 0 then latitude end as latitude, longitude,
+@query(f"""select case when not bad_id then cast(event_id as varchar) end as source_record_id, station_id, case when event_id % 29 <> 0 then ' Gauge ' || station_id end as station_name, case when event_id % 37 <> 0 then latitude end as latitude, case when latitude is not null then longitude end as longitude,
     case when not bad_time then observed_at end as observed_at, water_level_m, warning_level_m, {_TREND}, ingested_at, run_id, cast(page as integer) as source_page_index from raw where endpoint = '{RIVER}' and not no_object""")
 def transform_historical_observations(spark, sf_dir):
     rows = transforms.transform_historical_observations(records(spark, sf_dir, RIVER))
     return rows.select("source_record_id", "station_id", "station_name", "latitude", "longitude", "observed_at", "water_level_m", "warning_level_m", "trend", "ingested_at", "run_id", "source_page_index")
 
 
-@query(f"""select case when not bad_id then cast(event_id as varchar) end as station_id, case when event_id % 3 <> 0 then 'Upper ' end as basin_name, longitude, event_id % 7 as province_id, observed_at as source_created_at, ingested_at, run_id, cast(page as integer) as source_page_index
+@query(f"""select case when not bad_id then cast(event_id as varchar) end as station_id, case when event_id % 3 <> 0 then 'Upper ' end as basin_name, case when latitude is not null then longitude end as longitude, event_id % 7 as province_id, observed_at as source_created_at, ingested_at, run_id, cast(page as integer) as source_page_index
     from raw where endpoint = '{RIVER_STATIONS}' and not no_object""")
 def transform_stations(spark, sf_dir):
     rows = transforms.transform_stations(records(spark, sf_dir, RIVER_STATIONS))
@@ -551,7 +557,7 @@ def all_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _INDEXED = "select *, row_number() over (partition by endpoint, run_id order by event_id) - 1 as record_index from raw"
 _ISSUES = f"""select endpoint, run_id, record_index, case when no_object then 'model_type@' else concat_ws(';', case when bad_id then 'int_type@id' end, case when event_id % 29 = 0 then 'missing@title' end,
-    case when event_id % 37 = 0 then 'missing@point.coordinates' end, case when bad_time then 'datetime_type@waterLevelOn' end) end as issues from ({_INDEXED})"""
+    case when latitude is null then 'missing@point' when event_id % 37 = 0 then 'missing@point.coordinates' end, case when bad_time then 'datetime_type@waterLevelOn' end) end as issues from ({_INDEXED})"""
 
 
 def _issue_texts(rows: DataFrame) -> DataFrame:
@@ -589,14 +595,27 @@ def ingestion_metrics(spark, sf_dir):
     return validation.ingestion_metrics(all_validated(spark, sf_dir))
 
 
-@query(f"select endpoint, run_id from ({_METRICS}) where records_valid + records_invalid <> records_received")
+@query(f"""select endpoint, run_id, case when endpoint = '{RIVER}' then 'valid_plus_invalid' else 'observations_above_valid,quarantined_not_invalid' end as violations from ({_METRICS}) where records_valid > 0""")
 def metrics_invariants(spark, sf_dir):
-    """No run contradicts itself: no rows."""
-    return validation.metrics_invariants(validation.ingestion_metrics(all_validated(spark, sf_dir))).select("endpoint", "run_id")
+    """The runs' numbers, of which some are changed: history lacks a valid record, snapshots have observations and quarantined records too many."""
+    river = F.col("endpoint") == RIVER
+    said = validation.ingestion_metrics(all_validated(spark, sf_dir)).where("records_valid > 0").withColumns({
+        "records_valid": F.col("records_valid") - river.cast("int"), "observations_emitted": F.when(river, F.col("observations_emitted") - 1).otherwise(F.col("records_valid") + 1),
+        "quarantined": F.col("records_invalid") + F.when(river, 0).otherwise(2),
+    })
+    return validation.metrics_invariants(said).select("endpoint", "run_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query(f"select endpoint, run_id from ({_METRICS})")
+def metrics_without_violations(spark, sf_dir):
+    """The runs whose own numbers contradict nothing: all of them."""
+    metrics = validation.ingestion_metrics(all_validated(spark, sf_dir))
+    metrics = metrics.withColumn("quarantined", F.col("records_invalid"))
+    return metrics.join(validation.metrics_invariants(metrics).select("endpoint", "run_id"), ["endpoint", "run_id"], "left_anti").select("endpoint", "run_id")
 
 
 @query(f"""select cast(event_id as varchar) as source_record_id, station_id, 'Gauge ' || station_id as station_name, case when event_id % 3 <> 0 then 'Upper' end as basin_name, observed_at, {_TREND}
-    from raw where endpoint = '{RIVER}' and not (no_object or bad_id or bad_time or event_id % 29 = 0 or event_id % 37 = 0)""")
+    from raw where endpoint = '{RIVER}' and not (no_object or bad_id or bad_time or event_id % 29 = 0 or event_id % 37 = 0 or latitude is null)""")
 def map_domain(spark, sf_dir):
     valid = validation.split_valid(validated(spark, sf_dir, RIVER))[0].join(D.captures(spark, sf_dir).withColumnRenamed("captured_at", "ingested_at"), "run_id").withColumnRenamed("page_index", "source_page_index")
     return transforms.map_domain(valid, RIVER)["observations"].select("source_record_id", "station_id", "station_name", "basin_name", "observed_at", "trend")
@@ -717,7 +736,7 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decoded(spark, sf_dir).where("size(errors) = 0").drop("errors")
+    return D.decoded_events(spark, sf_dir).where("size(errors) = 0").drop("errors")
 
 
 @query("""select line, event_id, event_type, occurred_at, case when event_type = 'page.viewed' then 'event_type' else '' end as errors from ev
@@ -758,7 +777,9 @@ def dead_letter_split(spark, sf_dir):
 
 @query("select line, event_id from ev where event_type = 'ingestion.requested'")
 def pending_by_type(spark, sf_dir):
-    return E.pending_by_type(valid_events(spark, sf_dir), EVENT_TYPES[0]).select("line", "event_id")
+    """One type's events, of which alone the lines are decoded."""
+    lines = E.decode_events(D.pipeline_lines(spark, sf_dir), types=EVENT_TYPES[:1])
+    return E.pending_by_type(lines.where("size(errors) = 0"), EVENT_TYPES[0]).select("line", "event_id")
 
 
 @query("""select r.event_id as request_event_id, i.event_id as ingestion_event_id, p.event_id as processing_event_id from (select * from ev where event_type = 'ingestion.requested') r
@@ -767,8 +788,9 @@ def pipeline_trace(spark, sf_dir):
     return E.pipeline_trace(valid_events(spark, sf_dir)).select("request_event_id", "ingestion_event_id", "processing_event_id")
 
 
-def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = E.pending_by_type(valid_events(spark, sf_dir), EVENT_TYPES[1]).select("event_id", "correlation_id", F.concat(F.lit("run-"), (F.col("line") % 3).cast("string")).alias("run_id"), F.lit(RIVER).alias("endpoint"))
+def _receipts(spark: SparkSession, sf_dir: str, run: Column | None = None, kept: str = "true") -> DataFrame:
+    run = F.col("line") % 3 if run is None else run
+    done = E.pending_by_type(valid_events(spark, sf_dir), EVENT_TYPES[1]).where(kept).select("event_id", "correlation_id", F.concat(F.lit("run-"), run.cast("string")).alias("run_id"), F.lit(RIVER).alias("endpoint"))
     counts = D.observations(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("row_count"), F.max("ingested_at").alias("completed_at"))
     return E.completion_receipts(done, counts)
 
@@ -779,11 +801,15 @@ def completion_receipts(spark, sf_dir):
     return rows.select(*(F.element_at("data", c).alias(c) for c in ("ingestion_event_id", "run_id", "row_count")))
 
 
-@query("select event_id from ev where false")
+@query("""select event_id as ingestion_event_id, case when line % 11 = 0 then 'unknown' else 'changed' end as kind, 'run-' || cast(case when line % 7 = 0 then line + 1 else line end % 3 as varchar) as said_run
+    from ev where event_type = 'ingestion.completed' and (line % 7 = 0 or line % 11 = 0)""")
 def receipt_violations(spark, sf_dir):
-    """Receipts against recomputed ones: none differs."""
-    rows = _receipts(spark, sf_dir)
-    return E.receipt_violations(rows, rows).select("event_id")
+    """Receipts, of which some name another run and all another time, against recomputed ones, of which some are missing."""
+    line = F.col("line")
+    said = _receipts(spark, sf_dir, F.when(line % 7 == 0, line + 1).otherwise(line) % 3).withColumn("occurred_at", F.expr("occurred_at + interval 1 hour"))
+    found = E.receipt_violations(said, _receipts(spark, sf_dir, kept="line % 11 <> 0"))
+    of = lambda name: F.get_json_object("said", f"$.data.{name}")
+    return found.select(of("ingestion_event_id").alias("ingestion_event_id"), "kind", of("run_id").alias("said_run"))
 
 
 # Streams
@@ -801,6 +827,17 @@ def dedupe_events_stream(spark, sf_dir):
     return S.run_to_table(S.dedupe_stream(twice), D.shared_path(spark, "stream"), D.shared_path(spark, "stream-state")).select("event_id", "event_type")
 
 
+@query(f"""select r.event_id as request_event_id, i.event_id as ingestion_event_id, i.ts as ingested_at from events r join events i on {D.event_uuid_sql('i.event_id - i.event_id % 5')} = {D.event_uuid_sql('r.event_id')}
+    where r.event_type = 'click' and i.event_type = 'signup' and i.ts between r.ts - interval 7 days and r.ts + interval 7 days""")
+def trace_stream(spark, sf_dir):
+    """Requests and their completions while both streams run; requests without one wait for it."""
+    of = lambda kind: event_stream(spark, sf_dir).where(F.col("event_type") == kind)
+    asked = of("click").select(D.event_uuid(F.col("event_id")).alias("request_event_id"), F.col("event_id").alias("request"), F.col("ts").cast("timestamp").alias("requested_at"))
+    done = of("signup").select(D.event_uuid(F.col("event_id") - F.col("event_id") % 5).alias("for_request"), F.col("event_id").alias("ingestion_event_id"), F.col("ts").cast("timestamp").alias("ingested_at"))
+    traced = S.run_to_table(S.trace_stream(asked, done), D.shared_path(spark, "stream"), D.shared_path(spark, "stream-state"))
+    return traced.where("ingestion_event_id is not null").select(F.col("request").alias("request_event_id"), "ingestion_event_id", "ingested_at")
+
+
 @query(f"select request_id, attempts, last_failed_at from ({_RETRY})")
 def retry_state_stream(spark, sf_dir):
     rows = event_stream(spark, sf_dir).selectExpr("cast(user_id as string) as request_id", "cast(ts as timestamp) as at", "event_type not in ('error', 'view') as ok", "event_type as error_type", "props as error_message")
@@ -811,10 +848,14 @@ def retry_state_stream(spark, sf_dir):
 
 @query(_DONE)
 def process_stream(spark, sf_dir):
-    """The runs' manifests as a stream: what is there is processed once."""
-    lake = D.raw_lake(spark, sf_dir)
-    done = S.process_stream(spark, lake, D.shared_path(spark, "stream-state"))
-    done.awaitTermination()
-    if done.exception():
-        raise done.exception()
+    """The runs' manifests as a stream into a lake of its own, in two batches: each run is processed once."""
+    history = F.col("endpoint") == RIVER
+    lake, state = D.new_lake(spark, sf_dir, history), D.shared_path(spark, "stream-state")
+    for batch in range(2):
+        if batch:
+            D.add_manifests(spark, sf_dir, lake, ~history)
+        done = S.process_stream(spark, lake, state)
+        done.awaitTermination()
+        if done.exception():
+            raise done.exception()
     return runs.commit_log(spark, lake).select("run_id", "endpoint", "dataset", "row_count")

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import events as E
 from tidemark.schemas import RIVER, RIVER_STATIONS
 from tidemark.sources import lake as L
 
@@ -18,9 +19,14 @@ PAGE_EVENTS = 2000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (spark.checkpoint.dir; a local one where it isn't set)."""
+    """A new path below the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it isn't set a local session gets a folder of its own; a cluster is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/network-{name}-{uuid.uuid4().hex}"
@@ -33,9 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str, share: float = 0.4) -> DataFrame:
     """Observations from events.  share: of the events' number, how many record ids there are."""
     events = table(spark, sf_dir, "events")
-    m = int(events.count() * share)
-    return events.selectExpr(
-        "event_id", "event_id as tie", f"concat('rec-', cast(event_id % {m} as string)) as source_record_id", "cast(user_id as string) as station_id", "date_trunc('hour', ts) as observed_at",
+    ids = events.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).cast("bigint")).scalar()
+    return events.withColumn("rec", F.col("event_id") % ids).selectExpr(
+        "event_id", "event_id as tie", "concat('rec-', cast(rec as string)) as source_record_id", "cast(user_id as string) as station_id", "date_trunc('hour', ts) as observed_at",
         "case when event_type <> 'error' then value end as water_level_m", "cast(event_id % 100 as double) as warning_level_m", "cast((event_id * 7) % 100 as double) as danger_level_m",
         "case when event_id % 17 <> 0 then cast(event_id % 200 - 100 as double) end as latitude", "cast(event_id % 400 - 200 as double) as longitude",
         f"case when event_type in ('click', 'signup') then '{RIVER_STATIONS}' else '{RIVER}' end as endpoint", "concat('run-', cast(least((day(ts) - 1) div 10, 2) as string)) as run_id",
@@ -54,9 +60,8 @@ def observations_sql(share: float = 0.4) -> str:
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations from customers, a copy for each of the three runs."""
-    last = table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
-    rows = table(spark, sf_dir, "customer").where(F.col("c_custkey") * 3 < (last + 1) * 4).join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+    """Stations from all customers, a copy for each of the three runs."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
     return rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(2)))).selectExpr(
         "cast(c_custkey as string) as station_id", "case when c_custkey % 11 <> 0 then concat('series-', cast(c_custkey % 50 as string)) end as station_series_id",
         "case when c_custkey % 13 <> 0 then c_name else '  ' end as station_name", "case when n_nationkey = 3 then '' when n_nationkey = 7 then '  ' else n_name end as basin_name",
@@ -69,19 +74,21 @@ STATIONS_SQL = f"""select cast(c_custkey as varchar) as station_id, case when c_
         case when c_custkey % 13 <> 0 then c_name else '  ' end as station_name, case when n_nationkey = 3 then '' when n_nationkey = 7 then '  ' else n_name end as basin_name,
         cast(c_custkey % 200 - 100 as double) as latitude, case when c_custkey % 19 <> 0 then cast(c_custkey % 360 - 180 as double) end as longitude,
         '{RIVER_STATIONS}' as endpoint, 'run-' || cast(run as varchar) as run_id, timestamp '2024-01-01 00:00:00' + to_days(cast(10 * (run + 1) as integer)) - interval 12 hours as ingested_at
-        from customer join nation on c_nationkey = n_nationkey cross join (values (0), (1), (2)) r(run) where c_custkey * 3 < ((select max(user_id) from events) + 1) * 4"""
+        from customer join nation on c_nationkey = n_nationkey cross join (values (0), (1), (2)) r(run)"""
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(endpoint, run_id, ingested_at, page, event_id, record): each event as a record's JSON text, some of them damaged.
 
     By event_id: multiples of 23 have an unreadable time, of 29 no title, of 31 an id
-    that is no number, of 37 a point with one coordinate, of 41 are no objects.
+    that is no number, of 37 a point with one coordinate, of 41 are no objects; those
+    without a latitude have no point.
     """
-    rows = observations(spark, sf_dir).where("latitude is not null")
+    rows = observations(spark, sf_dir)
     iso = "yyyy-MM-dd'T'HH:mm:ssXXX"
     e = F.col("event_id")
     point = F.struct(F.lit("Point").alias("type"), F.when(e % 37 == 0, F.array("longitude")).otherwise(F.array("longitude", "latitude")).alias("coordinates"))
+    point = F.when(F.col("latitude").isNotNull(), point)
     when = F.when(e % 23 == 0, "no time").otherwise(F.date_format("observed_at", iso))
     record = F.struct(
         e.alias("id"), F.when(F.col("endpoint") == RIVER, F.col("station_id").cast("bigint")).alias("station"), F.date_format("observed_at", iso).alias("createdOn"), F.date_format("ingested_at", iso).alias("modifiedOn"),
@@ -95,12 +102,24 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_records_sql() -> str:
-    return f"select * replace (run_id || '-' || endpoint as run_id), event_id // {PAGE_EVENTS} as page, event_id % 41 = 0 as no_object, event_id % 31 = 0 as bad_id, event_id % 23 = 0 as bad_time from ({observations_sql()}) where latitude is not null"
+    return f"select * replace (run_id || '-' || endpoint as run_id), event_id // {PAGE_EVENTS} as page, event_id % 41 = 0 as no_object, event_id % 31 = 0 as bad_id, event_id % 23 = 0 as bad_time from ({observations_sql()})"
 
 
 _lakes: dict[tuple[str, str], str] = {}
 
 
+def new_lake(spark: SparkSession, sf_dir: str, runs: Column) -> str:
+    """A lake with the manifests of some runs of `raw_lake`, which name its pages, and nothing processed."""
+    lake = shared_path(spark, "lake")
+    add_manifests(spark, sf_dir, lake, runs)
+    return lake
+
+
+def add_manifests(spark: SparkSession, sf_dir: str, lake: str, runs: Column) -> None:
+    rows = L.scan_manifests(spark, raw_lake(spark, sf_dir)).where(runs).drop("modified_at")
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{lake}/manifests")
+
+
 def raw_lake(spark: SparkSession, sf_dir: str) -> str:
     """A lake with the raw pages and manifests of all runs, made once for a session and input."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -138,6 +157,19 @@ def pipeline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("line"), F.when(F.col("event_type") == "error", F.col("props")).otherwise(line).alias("value"))
 
 
+_events: dict[tuple[str, str], str] = {}
+
+
+def decoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pipeline_lines`, decoded once for a session and input and kept as a table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _events:
+        path = shared_path(spark, "events")
+        E.decode_events(pipeline_lines(spark, sf_dir)).drop("value").write.parquet(path)
+        _events[key] = path
+    return spark.read.parquet(_events[key])
+
+
 def event_uuid(n: Column) -> Column:
     h = F.md5(n.cast("string").cast("binary"))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))

@@ -40,6 +40,26 @@ def _files(spark: SparkSession, root: str, fmt: str, schema=None, **options) ->
         raise
 
 
+def pages_of_files(files: DataFrame, endpoint: str) -> DataFrame:
+    """The pages' fields, and provider, run_id, page_index and file from their paths."""
+    file = F.col("_metadata.file_path")
+    return files.select("*", F.lit(endpoint).alias("endpoint"), F.regexp_extract(file, r"provider=([^/]+)/", 1).alias("provider"), F.regexp_extract(file, r"run_id=([^/]+)/", 1).alias("run_id"), F.regexp_extract(file, PAGE_IN_PATH, 1).cast("int").alias("page_index"), file.alias("file"))
+
+
+def scan_listed_pages(spark: SparkSession, manifests: DataFrame, endpoint: str) -> DataFrame:
+    """The pages of the endpoint that the manifests list, records as JSON texts.  Only these runs' directories are read.
+
+    The driver gets one path for each run.
+    """
+    keys = manifests.where(F.col("endpoint") == endpoint).select("run_id", F.explode("raw_pages.payload_key").alias("key"))
+    at = sorted(r.at for r in keys.select(F.regexp_extract("key", r"^(.*/run_id=[^/]+)/", 1).alias("at")).distinct().collect())
+    if not at:
+        return spark.createDataFrame([], f"{TEXT_PAGE}, endpoint string, provider string, run_id string, page_index int, file string")
+    pages = pages_of_files(spark.read.schema(TEXT_PAGE).option("recursiveFileLookup", True).json(at), endpoint)
+    listed = keys.select("run_id", F.regexp_extract("key", PAGE_IN_PATH, 1).cast("int").alias("page_index")).distinct()
+    return pages.join(listed, ["run_id", "page_index"], "left_semi").select(pages.columns)
+
+
 def scan_raw_pages(spark: SparkSession, lake: str, endpoint: str, run_id: str | None = None, *, typed: bool = True) -> DataFrame:
     """Pages of an endpoint (of one run, if it is named): the page's fields, and provider, run_id, page_index and file from its path.
 
@@ -49,9 +69,7 @@ def scan_raw_pages(spark: SparkSession, lake: str, endpoint: str, run_id: str |
     runs = f"run_id={run_id}" if run_id is not None else "run_id=*"
     at = f"{lake}/raw/provider=*/endpoint={endpoint}/*/*/*/*/{runs}"
     schema = page_schema(endpoint) if typed else TEXT_PAGE
-    pages = _files(spark, at, "json", schema, recursiveFileLookup=True)
-    file = F.col("_metadata.file_path")
-    return pages.select("*", F.lit(endpoint).alias("endpoint"), F.regexp_extract(file, r"provider=([^/]+)/", 1).alias("provider"), F.regexp_extract(file, r"run_id=([^/]+)/", 1).alias("run_id"), F.regexp_extract(file, PAGE_IN_PATH, 1).cast("int").alias("page_index"), file.alias("file"))
+    return pages_of_files(_files(spark, at, "json", schema, recursiveFileLookup=True), endpoint)
 
 
 def require_pages(pages: DataFrame) -> DataFrame:
@@ -89,6 +107,16 @@ def scan_processed(spark: SparkSession, lake: str, dataset: str) -> DataFrame:
     return df.select("*", *(F.lit(None).cast(t).alias(n) for n, t in fields(PROCESSED[dataset]).items() if n.lower() not in have))
 
 
+def scan_hours(spark: SparkSession, lake: str, dataset: str, hours: list[tuple[str, int, int, int, int]]) -> DataFrame:
+    """Rows of a data set in some (endpoint, year, month, day, hour): only their directories are listed and read."""
+    root, kinds = f"{lake}/processed", ", ".join((PROCESSED[dataset], "endpoint string, year int, month int, day int, hour int"))
+    at = ",".join("endpoint={}/year={}/month={}/day={}/hour={}".format(*h) for h in sorted(set(hours)))
+    try:
+        return _files(spark, f"{root}/dataset={dataset}/{{{at}}}", "parquet", kinds, basePath=f"{root}/dataset={dataset}")
+    except MissingDataset:
+        return spark.createDataFrame([], kinds)
+
+
 def scan_manifests(spark: SparkSession, lake: str) -> DataFrame:
     """Completed run manifests that have what a manifest must have."""
     rows = _files(spark, f"{lake}/manifests", "json", MANIFEST, recursiveFileLookup=True).withColumn("modified_at", F.col("_metadata.file_modification_time"))
@@ -102,14 +130,14 @@ def latest_manifest(manifests: DataFrame, by: str = "captured_at") -> DataFrame:
 
 
 def raw_lineage(spark: SparkSession, lake: str, endpoint: str) -> DataFrame:
-    """Size, SHA-256 and number of records of each raw page."""
+    """Size, SHA-256 and number of records of each raw page, from one reading of its bytes."""
     files = _files(spark, f"{lake}/raw/provider=*/endpoint={endpoint}/*/*/*/*/run_id=*", "binaryFile", None, recursiveFileLookup=True)
-    hashed = files.select(F.col("path").alias("file"), F.col("length").alias("payload_size_bytes"), F.sha2("content", 256).alias("payload_sha256"))
-    counts = scan_raw_pages(spark, lake, endpoint, typed=False).select("file", "endpoint", "run_id", "page_index", F.coalesce(F.size("results"), F.lit(0)).cast("long").alias("record_count"))
-    key = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return counts.withColumn("key", key(F.col("file"))).join(hashed.withColumn("key", key(F.col("file"))).drop("file"), "key").select(
-        "endpoint", "run_id", "page_index", "record_count", F.col("key").alias("payload_key"), "payload_size_bytes", "payload_sha256"
-    )
+    page = F.from_json(F.col("content").cast("string"), TEXT_PAGE)
+    return files.select(
+        F.lit(endpoint).alias("endpoint"), F.regexp_extract("path", r"run_id=([^/]+)/", 1).alias("run_id"), F.regexp_extract("path", PAGE_IN_PATH, 1).cast("int").alias("page_index"),
+        F.coalesce(F.size(page["results"]), F.lit(0)).cast("long").alias("record_count"), F.regexp_replace("path", "^file:/+", "/").alias("payload_key"),
+        F.col("length").alias("payload_size_bytes"), F.sha2("content", 256).alias("payload_sha256"),
+    )
 
 
 def verify_lineage(manifests: DataFrame, files: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def dedupe_stream(events: DataFrame, late: str = "1 day", time: str = "occurred_
 def retry_state_stream(outcomes: DataFrame) -> DataFrame:
     """The retry state of a request after each batch that has outcomes of it (request_id, at, ok, error_type, error_message).
 
-    attempts is 0 after a success.  Outcomes of a request must come in batches in
+    attempts is 0 after a success, and nothing is kept of the request then.  Outcomes of a request must come in batches in
     their order; within a batch they are sorted.
     """
 
@@ -37,7 +37,10 @@ def retry_state_stream(outcomes: DataFrame) -> DataFrame:
                 attempts, first, last, kind, message = 0, None, None, None, None
             else:
                 attempts, first, last, kind, message = attempts + 1, first or at, at, error_type, error_message
-        state.update((attempts, first, last, kind, message))
+        if attempts:
+            state.update((attempts, first, last, kind, message))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({
             "request_id": [key[0]], "attempts": [attempts], "first_failed_at": pd.to_datetime(pd.Series([first])), "last_failed_at": pd.to_datetime(pd.Series([last])),
             "last_error_type": [kind], "last_error_message": [message], "changed_at": [rows["at"].max()],
@@ -66,13 +69,19 @@ def process_stream(spark: SparkSession, lake: str, checkpoint: str) -> Streaming
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now, through the stream, as a table."""
+    """Everything that is there now, through the stream, as a table.
+
+    In other modes than append each batch has a directory of its own (column _batch), which
+    a batch that is tried again overwrites.
+    """
     spark = stream.sparkSession
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     else:
-        query = stream.writeStream.foreachBatch(lambda b, n: b.withColumn("_batch", F.lit(n)).write.mode("append").parquet(path)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/_batch_of={n}")).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.read.parquet(path)
+    if mode == "append":
+        return spark.read.parquet(path)
+    return spark.read.schema(f"{stream._jdf.schema().toDDL()}, _batch_of bigint").parquet(path).withColumnRenamed("_batch_of", "_batch")
