@@ -264,6 +264,12 @@ def test_equal_rows_are_spread(spark):
     got = dict(map(tuple, counts.collect()))
     assert sum(got.values()) == 9000 and max(got.values()) < 300
     assert got == {r.b: r["count"] for r in rows.groupBy("b").count().collect()}
+    rows, merged = common.merged_copies(docs)
+    assert merged and rows.count() == 3001 and rows.agg(F.max("times")).first()[0] == 6000
+    again = common.repeated(rows, at_once=500)
+    assert again.columns == ["doc_id", "text"] and again.count() == 9000 and again.where("doc_id is null").count() == 6000
+    scores = ngram_lm.backoff_scores(docs).groupBy("doc_id", "log_score").count().where("doc_id is null").collect()
+    assert [(r["count"], round(r.log_score, 5)) for r in scores] == [(6000, backoff_by_hand([(r.doc_id, r.text) for r in docs.collect()], 3)[0][2])]
     shards = sharding.shard_rows(docs, 7).collect()
     assert sorted((r.shard, r.slot) for r in shards) == [(k, i) for k in range(7) for i in range(9000 // 7 + (k < 9000 % 7))]
     mixed = mixing.mix(docs).collect()
@@ -543,11 +549,33 @@ def test_fingerprints_against_brute_force(docs, empty):
 def test_the_row_after_the_last_is_the_first(spark):
     ids = [5, 900, 17, 33, 2, 10**12, -4]
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string")
-    got = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, ["text"], cells=3).collect()}
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, ["text"]).collect()}
     order = sorted(ids, reverse=True)
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_the_next_row_in_spite_of_hot_ids(spark):
+    rng = random.Random(2)
+    # Clustered ids, one id and no id of hundreds of texts each, and many repeated rows.
+    rows = [(rng.choice((1, 10**9, 10**15)) * 1000 + rng.randint(0, 400), f"t{i}") for i in range(900)] + [(5000, f"h{i}") for i in range(700)] + [(None, f"n{i}") for i in range(600)]
+    rows += [(5000, "same")] * 1500 + [(None, "")] * 1300 + [(4999, "below"), (5001, "above")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -spark_hash(r[1])))
+    want = Counter((i, t, u) for (i, t), (_, u) in zip(order, [*order[1:], order[0]], strict=True))
+    got = Counter((r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(docs, ["text"]).collect())
+    assert got == want
+    n = len(rows)
+    cell, edges, hot = fingerprint.id_ranges(docs, n)
+    assert {r.hot_id for r in hot.collect()} == {5000, None}
+    out = fingerprint.document_fingerprints(docs)
+    shas = Counter((r.doc_id, r.edited_sha256) for r in out.collect())
+    edited = lambda t, u: t[: len(t) - len(t) // 3] + u[: len(t) // 3]
+    wanted: Counter = Counter()
+    for (i, t, u), m in want.items():
+        wanted[i, hashlib.sha256(edited(t, u).encode()).hexdigest()] += m
+    assert shas == wanted
+
+
 def test_fingerprints_are_homomorphic(spark):
     text = F.lit("one.\ntwo! three\nfour|five")
     parts = fingerprint.parts(text)

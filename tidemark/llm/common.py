@@ -81,6 +81,37 @@ def scattered(docs: DataFrame, key: list[Column], buckets: int, seed: int, bucke
     return spread, count_of(spread)
 
 
+def merged_copies(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The doc_id and text of docs with the column times, and whether any isn't 1: rows of one id and text that are very many are one row.
+
+    Only ids that very many rows share (a null id counts as one) are looked at closer; where there are
+    none, all rows come as they are, once each.
+    """
+    n = docs.count()
+    most = max(1000, 8 * root_buckets(n))
+    rows = docs.select("doc_id", "text", F.lit(1).cast("long").alias("times"))
+    # Of ids and copies together at most n / most, fewer than the square root of n.
+    ids = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("doc_id").alias("its_id")), "hot-ids")
+    if ids.isEmpty():
+        return rows, False
+    mark = F.xxhash64("text").alias("mark")
+    marked = docs.select("doc_id", "text", mark)
+    held = marked.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("its_id"))).groupBy("its_id", F.col("mark").alias("its_mark")).agg(F.count(F.lit(1)).alias("n"))
+    copies = F.broadcast(written(held.where(F.col("n") > most).select("its_id", "its_mark"), "copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark"))
+    merged = marked.join(copies, same, "left_semi").groupBy("doc_id", "mark").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    return marked.join(copies, same, "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("times")).unionByName(merged.select("doc_id", "text", "times")), True
+
+
+def repeated(rows: DataFrame, times: str = "times", at_once: int = 10_000) -> DataFrame:
+    """Each row as often as its column times says, without the column; no task makes all copies of a row that has very many."""
+    rows = written(rows, "once")
+    parts = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / at_once)), lambda i: F.least(F.lit(at_once).cast("long"), F.col(times) - i * at_once)))
+    few, many = rows.where(F.col(times) <= at_once), rows.where(F.col(times) > at_once)
+    dealt = many.withColumn(times, parts).repartition(64)
+    return few.unionByName(dealt).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(times)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -15,12 +15,13 @@ counters estimates how many parts the texts share; `likeness` is its cosine.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, root_buckets, text_or_empty
+from tidemark.llm.common import merged_copies, repeated, root_buckets, text_or_empty, written
 
 #: Parts end after any of these.
 PART_ENDS = r"(?<=[\n.!?|])"
@@ -107,42 +108,68 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(square <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(square))))
 
 
-def with_next(docs: DataFrame, carried: list[str], *, cells: int = 64) -> DataFrame:
+def id_ranges(docs: DataFrame, n: int) -> tuple[Column, DataFrame, DataFrame]:
+    """How n rows are cut into about sqrt(n) ranges of doc_id with about as many rows each.
+
+    A column that numbers coarse cells of ids (quantiles of all ids; 0 below the first), a
+    table (cell, edges) of the quantiles in each cell, and a table (hot_id, pieces) of ids that have
+    far more rows than a range should.  The edges set those ids apart from their neighbours.
+    All of these are small: about sqrt(n) numbers together.
+    """
+    k = math.isqrt(root_buckets(n) - 1) + 1
+    shares = [i / k for i in range(k + 1)]
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
+    outer = ids.agg(F.percentile_approx("id", shares, 10_000).alias("q")).first().q if n else None
+    coarse = F.array(*(F.lit(x).cast("long") for x in sorted(set(outer or [0]))))
+    cell_of = lambda c: F.size(F.filter(coarse, lambda e: e <= c))
+
+    fair = max(1, n // (k * k))
+    counts = docs.groupBy(F.col("doc_id").cast("long").alias("hot_id")).agg(F.count(F.lit(1)).alias("n"))
+    hot = written(counts.where(F.col("n") > 8 * fair).select("hot_id", F.ceil(F.col("n") / fair).alias("pieces")), "hot-ids")
+    inner = ids.groupBy(cell_of(F.col("id")).alias("cell")).agg(F.percentile_approx("id", shares, 10_000).alias("q"))
+    alone = hot.where("hot_id is not null").groupBy(cell_of(F.col("hot_id")).alias("cell")).agg(F.flatten(F.collect_list(F.array("hot_id", F.col("hot_id") + 1))).alias("h"))
+    edges = F.array_sort(F.array_distinct(F.concat("q", F.coalesce("h", F.array().cast("array<bigint>"))))).alias("edges")
+    return cell_of(F.col("doc_id").cast("long")), written(inner.join(alone, "cell", "left").select("cell", edges), "id-edges"), hot
+
+
+def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """docs with next_<c> for each carried column c: its value in the next row by descending doc_id.
 
     The row after the last is the first.  Null ids come last; rows of one id are
-    ordered by a hash of their text.  A window over all rows would be one task.
-    Ids are therefore cut into about sqrt(n) ranges (quantiles, evenly divided), and the
-    first row of each range is also sent, as its end, to the range before; so each
-    range is ordered by itself and texts are shuffled once.
+    ordered by a hash of their text.  A window over all rows would be one task.  Rows are
+    therefore cut into ranges of ids, sized by their counts, and rows of a hot id (or of
+    none) further by the hash.  The first row of each range is also sent, as its end, to the
+    range before; so each range is ordered by itself and texts are shuffled once.
     """
     n = docs.count()
-    ids = docs.select(F.col("doc_id").cast("double").alias("v")).where("v is not null")
-    bounds = ids.agg(F.percentile_approx("v", [i / cells for i in range(cells + 1)], 10_000).alias("q")).first().q if n else None
-    edges = sorted(set(bounds or [0.0]))
-    each = -(-root_buckets(n) // max(1, len(edges)))
-    v = F.col("doc_id").cast("double")
-    edge = F.array(*map(F.lit, edges))
-    cell = F.size(F.filter(edge, lambda e: e <= v))  # 0: below the first
-    low, high = F.get(edge, cell - 1), F.coalesce(F.get(edge, cell), F.lit(edges[-1] + 1))
-    within = F.coalesce(F.least(F.lit(each - 1), F.floor((v - low) / (high - low) * each).cast("int")), F.lit(0))
-    # Range numbers descend with ids: the first range has the largest ids, the last the null ones.
-    span = F.when(v.isNull(), F.lit((len(edges) + 2) * each)).otherwise((len(edges) + 1 - cell) * each + (each - 1 - within)).cast("int")
+    cell, edges, hot = id_ranges(docs, n)
+    i = F.col("doc_id").cast("long")
     mark = F.xxhash64("text")
-    at = docs.select("*", span.alias("_tidemark_span"), mark.alias("_tidemark_mark"))
-    first = at.groupBy("_tidemark_span").agg(F.max(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.col("_tidemark_mark").alias("mark"))).alias("f"))
-    # One row for each range: about sqrt(n) of them.
-    everything = Window.orderBy(F.desc("_tidemark_span"))
-    last = Window.partitionBy(F.lit(0))
-    ends = first.withColumn("_tidemark_end_of", F.coalesce(F.lead("_tidemark_span").over(everything), F.max("_tidemark_span").over(last))).select(F.col("f.id").alias("_tidemark_id"), F.col("f.mark").alias("_tidemark_fmark"), F.col("_tidemark_span").alias("_tidemark_fspan"), "_tidemark_end_of")
-    if n <= 1 << 40:  # at most about 2^20 + 2 cells rows of 28 bytes
+    marked = docs.select("*", i.alias("_tidemark_id"), mark.alias("_tidemark_mark"), F.when(i.isNotNull(), cell).otherwise(-1).alias("_tidemark_cell"))
+    edges = F.broadcast(edges.select(F.col("cell").alias("_tidemark_cell"), F.col("edges").alias("_tidemark_edges")))
+    hot = F.broadcast(hot)
+    ranged = marked.join(edges, "_tidemark_cell", "left").join(hot, F.col("_tidemark_id").eqNullSafe(F.col("hot_id")), "left")
+    # Spans in order: large ids first, null ids last; of a hot id large hashes first.
+    within = F.coalesce(F.size(F.filter("_tidemark_edges", lambda e: e <= F.col("_tidemark_id"))), F.lit(0))
+    piece = F.coalesce(F.col("pieces") - 1 - F.floor((F.col("_tidemark_mark") / F.lit(2.0**64) + 0.5) * F.col("pieces")), F.lit(0)).cast("int")
+    span = F.struct((-F.col("_tidemark_cell")).alias("cell"), (-within).alias("range"), piece.alias("piece"))
+    at = ranged.select(*docs.columns, "_tidemark_mark", F.coalesce("_tidemark_id", F.lit(-(1 << 63))).alias("_tidemark_id"), span.alias("_tidemark_span"))
+
+    first = at.groupBy("_tidemark_span").agg(F.max(F.struct(F.col("_tidemark_id").alias("id"), F.col("_tidemark_mark").alias("mark"))).alias("f"))
+    # One row for each span: about sqrt(n) of them.
+    everything, last = Window.orderBy("_tidemark_span"), Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.lag("_tidemark_span").over(everything), F.max("_tidemark_span").over(last))
+    ends = first.select(F.col("f.id").alias("first_id"), F.col("f.mark").alias("first_mark"), F.col("_tidemark_span").alias("first_span"), before.alias("end_of"))
+    if n <= 1 << 40:  # at most a few million rows of 40 bytes
         ends = F.broadcast(ends)
-    same = (at["_tidemark_span"] == ends["_tidemark_fspan"]) & (at["_tidemark_mark"] == ends["_tidemark_fmark"]) & (F.coalesce(at["doc_id"], F.lit(-(1 << 63))) == ends["_tidemark_id"])
-    spread = at.join(ends, same, "left").withColumn("_tidemark_sent", F.explode(F.when(F.col("_tidemark_end_of").isNull(), F.array(F.struct(F.col("_tidemark_span").alias("span"), F.lit(False).alias("end")))).otherwise(
-        F.array(F.struct(F.col("_tidemark_span").alias("span"), F.lit(False).alias("end")), F.struct(F.col("_tidemark_end_of").alias("span"), F.lit(True).alias("end")))
-    ))).withColumn("_tidemark_at", F.col("_tidemark_sent.span")).withColumn("_tidemark_is_end", F.col("_tidemark_sent.end"))
+    same = (F.col("_tidemark_span") == F.col("first_span")) & (F.col("_tidemark_mark") == F.col("first_mark")) & (F.col("_tidemark_id") == F.col("first_id"))
+    own = F.struct(F.col("_tidemark_span").alias("span"), F.lit(False).alias("end"))
+    sent = F.when(F.col("end_of").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("end_of").alias("span"), F.lit(True).alias("end"))))
+    spread = at.join(ends, same, "left").select(*docs.columns, "_tidemark_mark", F.explode(sent).alias("_tidemark_sent"))
+    dealt = spread.select("*", F.col("_tidemark_sent.span").alias("_tidemark_at"), F.col("_tidemark_sent.end").alias("_tidemark_is_end"))
     order = Window.partitionBy("_tidemark_at").orderBy("_tidemark_is_end", F.desc_nulls_last("doc_id"), F.desc("_tidemark_mark"))
-    return spread.select(*docs.columns, "_tidemark_is_end", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried)).where(~F.col("_tidemark_is_end")).drop("_tidemark_is_end")
+    led = dealt.select(*docs.columns, "_tidemark_is_end", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried))
+    return led.where(~F.col("_tidemark_is_end")).drop("_tidemark_is_end")
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -150,17 +177,29 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third replaced by the beginning of the next
     document's.  Null texts count as empty.  Rows of equal text have equal
-    fingerprints; an empty text's is that of no parts.  Empty tables give empty results.
+    fingerprints; an empty text's is that of no parts.  Ids are whole numbers or null.
+    Repeated rows are returned each; other columns of docs are left out.  Empty tables give
+    empty results.
     """
     text = text_or_empty("text")
-    base = docs.select("doc_id", text.alias("text"), F.char_length(text).alias("n_chars"), fingerprint(text).alias("fp"))
+    rows, merged = merged_copies(docs.select("doc_id", text.alias("text")))
+    base = rows.select("doc_id", "text", "times", F.char_length("text").alias("n_chars"), fingerprint(F.col("text")).alias("fp"))
     near = with_next(base, ["text", "fp"])
+    if merged:
+        # The row after a copy is another one, but after the last.
+        turns = F.when(F.col("times") > 1, F.array(F.struct(F.lit(False).alias("copy"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(True).alias("copy"), (F.col("times") - 1).alias("n"))))
+        turns = turns.otherwise(F.array(F.struct(F.lit(False).alias("copy"), F.lit(1).cast("long").alias("n"))))
+        near = near.withColumn("turn", F.explode(turns)).withColumns({
+            "times": F.col("turn.n"), "next_text": F.when(F.col("turn.copy"), F.col("text")).otherwise(F.col("next_text")), "next_fp": F.when(F.col("turn.copy"), F.col("fp")).otherwise(F.col("next_fp")),
+        })
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    changed = near.select("doc_id", "n_chars", "fp", "next_fp", F.when(third > 0, edited).otherwise(F.col("text")).alias("edited"))
-    hashed = changed.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", "next_fp", fingerprint(F.col("edited")).alias("edited_fp"))
-    spread = hashed.select("*", centred(F.col("fp")).alias("c"), centred(F.col("edited_fp")).alias("e"), centred(F.col("next_fp")).alias("x"))
-    return spread.select(
+    changed = near.select("doc_id", "times", "n_chars", "fp", "next_fp", F.when(third > 0, edited).otherwise(F.col("text")).alias("edited"))
+    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    hashed = changed.select("doc_id", "times", "n_chars", sha, "fp", "next_fp", fingerprint(F.col("edited")).alias("edited_fp"))
+    counted = hashed.select("*", centred(F.col("fp")).alias("c"), centred(F.col("edited_fp")).alias("e"), centred(F.col("next_fp")).alias("x"))
+    out = counted.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("c"), F.col("e")).alias("near_edited"), likeness(F.col("c"), F.col("x")).alias("near_next"),
+        likeness(F.col("c"), F.col("e")).alias("near_edited"), likeness(F.col("c"), F.col("x")).alias("near_next"), "times",
     )
+    return repeated(out) if merged else out.drop("times")

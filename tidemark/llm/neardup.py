@@ -411,7 +411,8 @@ def _join_large(large: DataFrame, shared: DataFrame, links: DataFrame, banded: D
     ranked = written(_ranked_leaders(large, shared, limits.leaders), "leaders")
     for places in (F.col("place") == 1, F.col("place") > 1):
         led = open_.join(ranked.where(places), ["band", "key"]).where("node <> leader")
-        pairs = led.select("node", "leader", limits.blocks("n", "bucket_bytes").alias("parts"))
+        # Members are compared with one text only: small blocks spread a hot bucket at no cost.
+        pairs = led.select("node", "leader", limits.blocks("n", "bucket_bytes", 8).alias("parts"))
         found = written(_links_with(pairs, texts, idf, threshold), "verified")
         verified.append(found)
         done = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
