@@ -10,8 +10,14 @@ chunks of a few MB by a hash, and a chunk asks for each of its distinct n-grams
    joins its totals to what each chunk asked, in the chunk's order;
 3. a chunk meets its totals, scores the words of its documents and sums them.
 
-Parts and chunks have sizes that don't grow with the corpus; their numbers do.  An
+A row for each chunk and part is what keeps the numbers small: as plain rows (n-gram,
+chunk, number) they would be several times as many bytes.  That there is one for each
+pair must not make them many, so the sizes of chunks and parts grow with the square root
+of the corpus, from 16 GB of text on, up to 16 times (then a task needs about 1.5 GB).  An
 n-gram that is in every document comes once from each chunk.
+
+Hashes have as many bits as keep the chance that an n-gram meets another's hash near one in
+a million, at every size of the corpus.
 """
 
 from __future__ import annotations
@@ -27,12 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, merged_copies, repeated
 
 find_words = re.compile(WORD).findall
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Bits of an n-gram's hash.
-BITS = 56
+#: Bits of an n-gram's hash beyond those that number all n-grams.
+SPARE_BITS = 20
+#: Bytes of text from which on chunks and parts grow.
+GROWS_FROM = 16 << 30
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,7 +77,12 @@ class ChunkGrams:
     at: list[np.ndarray]
 
 
-def grams_of(texts: list[str | None], order: int) -> ChunkGrams:
+def hash_bits(words: int, order: int) -> int:
+    return min(64, (max(1, words) * order).bit_length() + SPARE_BITS)
+
+
+def grams_of(texts: list[str | None], order: int, bits: int, times: np.ndarray) -> ChunkGrams:
+    """times: how often each text counts."""
     found = [find_words(t.lower()) if t else [] for t in texts]
     lengths = np.array([len(w) for w in found], np.int64)
     hashes: dict[str, int] = {}
@@ -79,6 +92,7 @@ def grams_of(texts: list[str | None], order: int) -> ChunkGrams:
     get = hashes.__getitem__
     words = np.fromiter((h for w in found for h in map(get, w)), np.uint64, int(lengths.sum()))
     ahead = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    weight = np.repeat(times, lengths)
     distinct, numbers, at = [], [], []
     gram = mixed(words)
     for o in range(1, order + 1):
@@ -87,7 +101,8 @@ def grams_of(texts: list[str | None], order: int) -> ChunkGrams:
             longer[o - 1 :] = mixed(gram[o - 2 : -1] * np.uint64(3) + words[o - 1 :]) if len(gram) >= o else 0
             gram = longer
         whole = ahead >= o - 1
-        keys, inverse, n = np.unique(gram[whole] >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
+        keys, inverse = np.unique(gram[whole] >> np.uint64(64 - bits), return_inverse=True)
+        n = np.bincount(inverse, weight[whole], len(keys)).astype(np.int64)
         where = np.full(len(words), -1, np.int64)
         where[whole] = inverse
         distinct.append(keys)
@@ -96,9 +111,9 @@ def grams_of(texts: list[str | None], order: int) -> ChunkGrams:
     return ChunkGrams(lengths, distinct, numbers, at)
 
 
-def part_bounds(parts: int) -> np.ndarray:
-    """Where the hash space is cut into parts."""
-    return np.array([(p << BITS) // parts for p in range(parts + 1)], np.uint64)
+def part_bounds(parts: int, bits: int) -> np.ndarray:
+    """Where the hash space is cut into parts: the first hash of each."""
+    return np.array([-(-(p << bits) // parts) for p in range(parts)], np.uint64)
 
 
 def score_chunk(grams: ChunkGrams, totals: list[np.ndarray], corpus_words: int, alpha: float, min_count: int) -> np.ndarray:
@@ -129,30 +144,36 @@ def backoff_scores(
     for each longer one that doesn't; a single word's is log(c / words of the corpus).
     log_score is the sum, mean_log the mean (null without words).  Null and empty texts
     have 0 words and a score of 0.  Repeated rows count and are scored each; null ids
-    stay null.
+    stay null; other columns of docs are left out.  Empty tables give empty results.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.regexp_count("text", F.lit(WORD))).alias("words")).first()
     words, n_bytes = size.words or 0, size.bytes or 0
-    chunks = max(1, -(-n_bytes // chunk_bytes))
-    parts = max(1, -(-words // part_keys))
-    bounds = part_bounds(parts)
-    chunked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
-    # One order of the rows for both times that a chunk is read.
-    text_of = lambda t: t.column("text").to_pylist()
+    growth = min(16.0, max(1.0, math.sqrt(n_bytes / GROWS_FROM)))
+    chunks = max(1, math.ceil(n_bytes / (chunk_bytes * growth)))
+    parts = max(1, math.ceil(words / (part_keys * growth)))
+    bits = hash_bits(words, order)
+    rows, merged = merged_copies(docs)
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+
+    def grams(rows: pa.Table) -> ChunkGrams:
+        return grams_of(rows.column("text").to_pylist(), order, bits, rows.column("times").to_numpy())
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        grams, out = grams_of(text_of(rows), order), []
+        found, bounds, out = grams(rows), part_bounds(parts, bits), []
         for o in range(order):
-            cuts = np.searchsorted(grams.distinct[o], bounds)
+            cuts = [*np.searchsorted(found.distinct[o], bounds).tolist(), len(found.distinct[o])]
             for p in range(parts):
-                a, b = int(cuts[p]), int(cuts[p + 1])
+                a, b = cuts[p], cuts[p + 1]
                 if a < b:
-                    gaps = np.diff(grams.distinct[o][a:b], prepend=bounds[p])
-                    out.append((o * parts + p, key[0].as_py(), b - a, pack(gaps), pack(grams.numbers[o][a:b])))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "chunk", "n", "gaps", "numbers"])
+                    gaps = np.diff(found.distinct[o][a:b], prepend=bounds[p])
+                    out.append((o * parts + p, key[0].as_py(), b - a, pack(gaps), pack(found.numbers[o][a:b])))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "chunk", "n", "gaps", "numbers"])
 
     def total(key: tuple, rows: pa.Table) -> pa.Table:
+        # Gaps count from the part's first hash: that is the same for all cells and needn't be added.
         sizes = rows.column("n").to_pylist()
         keys = np.concatenate([np.cumsum(unpack(g, n), dtype=np.uint64) for g, n in zip(rows.column("gaps").to_pylist(), sizes, strict=True)])
         numbers = np.concatenate([unpack(c, n) for c, n in zip(rows.column("numbers").to_pylist(), sizes, strict=True)])
@@ -167,14 +188,17 @@ def backoff_scores(
         return pa.Table.from_arrays([rows.column("part"), rows.column("chunk"), rows.column("n"), pa.array(answers, pa.binary())], ["part", "chunk", "n", "totals"])
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = grams_of(text_of(rows), order)
-        by_part = {p: unpack(t, n) for p, n, t in zip(*(answers.column(c).to_pylist() for c in ("part", "n", "totals")), strict=True)}
+        found = grams(rows)
+        by_order: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(order)]
+        for p, n, t in zip(*(answers.column(c).to_pylist() for c in ("part", "n", "totals")), strict=True):
+            by_order[p // parts].append((p, unpack(t, n)))
         none = np.zeros(0, np.uint64)
-        totals = [np.concatenate([none, *(by_part[p] for p in range(o * parts, (o + 1) * parts) if p in by_part)]) for o in range(order)]
-        logs = score_chunk(grams, totals, words, alpha, min_count)
-        return pa.Table.from_arrays([rows.column("doc_id"), pa.array(grams.lengths), pa.array(logs)], ["doc_id", "n_words", "log_score"])
+        totals = [np.concatenate([none, *(t for _, t in sorted(cells, key=lambda x: x[0]))]) for cells in by_order]
+        logs = score_chunk(found, totals, words, alpha, min_count)
+        return pa.Table.from_arrays([rows.column("doc_id"), rows.column("times"), pa.array(found.lengths), pa.array(logs)], ["doc_id", "times", "n_words", "log_score"])
 
     asked = chunked.groupBy("chunk").applyInArrow(ask, "part bigint, chunk bigint, n bigint, gaps binary, numbers binary")
     answered = asked.groupBy("part").applyInArrow(total, "part bigint, chunk bigint, n bigint, totals binary")
-    scored = chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_words bigint, log_score double")
-    return scored.withColumn("mean_log", F.try_divide(F.col("log_score"), F.col("n_words")))
+    scored = chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, times bigint, n_words bigint, log_score double")
+    every = repeated(scored) if merged else scored.drop("times")
+    return every.withColumn("mean_log", F.try_divide(F.col("log_score"), F.col("n_words")))

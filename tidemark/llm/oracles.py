@@ -21,6 +21,15 @@ OP4_WARC = """with p as (select page_id, url, coalesce(html, '') as html from pa
     select q.page_id, q.payload_bytes, q.payload_digest, case when kept is not null and page_id is distinct from kept then 'revisit' else 'response' end as record_type,
     case when kept is not null and page_id is distinct from kept then kept end as refers_to, q.url from q left join g using (payload_digest, payload_bytes)"""
 
+OP7_BACKOFF_SCORES = r"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') as l from documents),
+    t as (select r, unnest(generate_series(1, len(l))) as i, unnest(l) as w from d where len(l) > 0),
+    g as (select r, i, w as g1, lag(w, 1) over o || ' ' || w as g2, lag(w, 2) over o || ' ' || lag(w, 1) over o || ' ' || w as g3 from t window o as (partition by r order by i)),
+    c1 as (select g1, count(*) as n1 from g group by 1), c2 as (select g2, count(*) as n2 from g where g2 is not null group by 1), c3 as (select g3, count(*) as n3 from g where g3 is not null group by 1),
+    n as (select r, i, n1, n2, n3 from g join c1 using (g1) left join c2 using (g2) left join c3 using (g3)),
+    x as (select *, lag(n1) over o as before1, lag(n2) over o as before2, (select count(*) from t) as words from n window o as (partition by r order by i)),
+    s as (select r, sum(case when n3 >= 2 then ln(n3 / before2) when n2 >= 2 then ln(n2 / before1) + (i >= 3)::int * ln(0.4::double) else ln(n1 / words) + ((i >= 2)::int + (i >= 3)::int) * ln(0.4::double) end) as score from x group by 1)
+    select doc_id, len(l)::bigint as n_words, round(coalesce(score, 0), 5) as log_score, round(score / len(l), 7) as mean_log from d left join s using (r)"""
+
 OP9_URL_FILTER = f"""with parsed as (select page_id, {_HOST} as host, {_PATH} as path from pages),
     known as (select doc_id as page_id, coalesce(max((toxic = 1 or quality = 0)::int), 0) as bad from labels where doc_id is not null group by 1),
     labels_of as (select page_id, host, string_split(host, '.') as l, array_to_string(string_split(host, '.')[-2:], '.') as two from parsed),
