@@ -247,8 +247,27 @@ def test_mixed_documents_are_whole(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(mixing.mix(empty, whole=True)).count() == 0
 
 
+def test_many_sources_are_mixed_alike(spark, docs, monkeypatch):
+    rng = random.Random(13)
+    more = [(1000 + i, sentence(rng, rng.randint(0, 20)), "en", f"m{rng.randint(0, 40)}", 0) for i in range(300)]
+    docs = docs.union(spark.createDataFrame(more, SCHEMA))
+    takes = lambda rows: sorted(((r.doc_id, r.text, r.source, r.source_size, round(r.target, 6), r.taken) for r in rows), key=key)
+    few = {w: mixing.mix(docs, shards=5, whole=w).collect() for w in (False, True)}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "GROUPS", 4)
+    for whole in (False, True):
+        many = mixing.mix(docs, shards=5, whole=whole).collect()
+        assert takes(many) == takes(few[whole])
+        by_shard = Counter()
+        for r in many:
+            for p in r.pieces:
+                by_shard[p.shard] += p.n_words
+        assert set(by_shard) == set(range(5)) and (whole or max(by_shard.values()) - min(by_shard.values()) <= 1)
+        assert all(sum(p.n_words for p in r.pieces) == r.taken for r in many)
+
+
 def test_mix_keeps_clashing_names_apart(spark):
-    odd = spark.createDataFrame([(i, "a b c", "s", 9, "x", 1) for i in range(20)], "doc_id bigint, text string, source string, Target int, bucket string, s int")
+    odd = spark.createDataFrame([(i, "a b c", "s", 9, "x", 1, 2) for i in range(20)], "doc_id bigint, text string, source string, Target int, bucket string, s int, ends int")
     rows = mixing.mix(odd).collect()
     assert {(r.target, r.bucket, r.s, r.taken <= 6) for r in rows} == {(90.0, "x", 1, True)}
 

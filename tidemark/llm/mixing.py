@@ -10,7 +10,9 @@ the numbers are those of a random deal.  Each shard draws the next so many block
 source's line, disjoint from all others', and shuffles what it got by a hash.
 
 So the quotas alone decide what is taken, and the tree decides who gets it.  Only the
-sources' totals reach the driver, which draws the tree.
+sources' totals reach the driver, which draws the tree.  If there are too many sources for
+that, their targets are found by aggregates, and the tree deals the blocks of groups of
+sources: the words that the mix takes of a group's sources, one source after another, are a line.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, root_buckets, scattered, written
 
-#: Sources are summarised on the driver; more are refused.
-MOST_SOURCES = 200_000
+#: As many sources are summarised on the driver.  More are dealt in groups, of which there are as many as GROUPS.
+MOST_SOURCES = 100_000
+GROUPS = 4096
 #: The library's hypergeometric draw takes fewer than 1e9 blocks.
 MOST_BLOCKS = 1 << 29
 
@@ -99,10 +102,48 @@ def quotas(sizes: dict[str | None, int], goal: dict[str | None, float], shards:
 
 
 def _table(spark: SparkSession, rows: list[SourceQuota]) -> DataFrame:
-    """The quotas as a DataFrame made of a literal: one row for each source."""
+    """The quotas as a DataFrame made of a literal: one row for each source.
+
+    s numbers the sources, quota says how many words of it the mix takes, offset where
+    they begin in the line of the source's group (here each source is one), ends where the shards end in it.
+    """
     text = json.dumps([{"s": i, "source": q.source, "source_size": q.size, "target": q.target, "ends": [0, *q.ends]} for i, q in enumerate(rows)])
     kind = "array<struct<s:int,source:string,source_size:bigint,target:double,ends:array<bigint>>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind))).select("s", F.col("source").alias("_tidemark_source"), "source_size", "target", "ends")
+    listed = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+    return listed.select("s", F.col("source").alias("_tidemark_source"), "source_size", "target", F.element_at("ends", -1).alias("quota"), F.lit(0).cast("long").alias("offset"), "ends")
+
+
+def _grouped_table(totals: DataFrame, shards: int, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+    """What `_table` gives, for any number of sources, from totals (_tidemark_source, bucket, words)."""
+    source = F.col("_tidemark_source")
+    sized = totals.groupBy(source).agg(F.sum("words").cast("long").alias("source_size"))
+    dealt = sized.repartitionByRange(source.isNull(), source).withColumn("range", F.spark_partition_id())
+    ranged = written(dealt, "mix-sources")
+    in_range = Window.partitionBy("range").orderBy(source.isNull(), source)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task's range
+    firsts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    numbered = ranged.withColumn("place", F.row_number().over(in_range)).join(firsts, "range").withColumn("s", F.col("place") - 1 + F.col("earlier"))
+    each = F.array(*(F.lit(float(w)) for w in weights))
+    weighed = written(numbered.select("s", source, "source_size", F.get(each, (F.col("s") % len(weights)).cast("int")).alias("weight")), "mix-weights")
+
+    # The share of a weight rises until no open source would give more than it may.
+    unit, above = 0.0, F.lit(False)
+    while True:
+        closed, open_ = F.when(above, F.col("source_size")).otherwise(0), F.when(above, 0.0).otherwise(F.col("weight"))
+        found = weighed.agg(F.sum("source_size").alias("all"), F.sum(closed).alias("closed"), F.sum(open_).alias("open")).first()
+        higher = (share * found["all"] - most * found["closed"]) / found["open"] if found["open"] else unit
+        if higher <= unit:
+            break
+        unit = higher
+        above = F.lit(unit) * F.col("weight") > most * F.col("source_size")
+    target = F.when(above, most * F.col("source_size")).otherwise(unit * F.col("weight"))
+    aimed = weighed.withColumn("target", target.cast("double")).withColumn("quota", F.rint("target").cast("long")).withColumn("g", F.pmod(F.xxhash64("s"), F.lit(GROUPS)).cast("int"))
+    earlier = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = written(aimed.withColumn("offset", F.coalesce(F.sum("quota").over(earlier), F.lit(0))), "mix-quotas")
+    lines = {r.g: r.words for r in placed.groupBy("g").agg(F.sum("quota").alias("words")).orderBy("g").collect()}
+    groups = quotas({str(g): w for g, w in lines.items()}, {str(g): float(w) for g, w in lines.items()}, shards, seed)
+    ends = _table(totals.sparkSession, groups).select(F.col("_tidemark_source").cast("int").alias("g"), "ends")
+    return placed.join(F.broadcast(ends), "g").select("s", source, "source_size", "target", "quota", "offset", "ends")
 
 
 def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 23, whole: bool = False) -> DataFrame:
@@ -127,9 +168,10 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
     totals = written(rows.groupBy(F.col("source").alias("_tidemark_source"), F.col("_tidemark_bucket").alias("bucket")).agg(F.sum("_tidemark_size").alias("words")), "mix-totals")
     found = totals.groupBy("_tidemark_source").agg(F.sum("words").alias("words")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
-    sizes = {r[0]: r[1] for r in found}
-    dealt = F.broadcast(_table(spark, quotas(sizes, targets(sizes, weights, share, most), shards, seed)))  # one row a source, at most MOST_SOURCES
+        dealt = written(_grouped_table(totals, shards, weights, share, most, seed), "mix-dealt")
+    else:
+        sizes = {r[0]: r[1] for r in found}
+        dealt = F.broadcast(_table(spark, quotas(sizes, targets(sizes, weights, share, most), shards, seed)))  # one row a source, at most MOST_SOURCES
 
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -142,9 +184,10 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
         .drop("_tidemark_source")
         .withColumn("_tidemark_words", F.coalesce(F.sum("_tidemark_size").over(inside), F.lit(0)))
         .join(starts, ["_tidemark_s", "_tidemark_bucket"])
-        .join(dealt.drop("_tidemark_source").withColumnRenamed("s", "_tidemark_s"), "_tidemark_s")
-    )
-    start, end_of = F.col("_tidemark_start") + F.col("_tidemark_words"), F.element_at("ends", -1)
+        .join(dealt.select(F.col("s").alias("_tidemark_s"), "source_size", "target", F.col("quota").alias("_tidemark_quota"), F.col("offset").alias("_tidemark_offset"), F.col("ends").alias("_tidemark_group_ends")), "_tidemark_s")
+    )
+    start, end_of = F.col("_tidemark_start") + F.col("_tidemark_words"), F.col("_tidemark_quota")
+    ends = F.transform("_tidemark_group_ends", lambda e: F.least(F.greatest(e - F.col("_tidemark_offset"), F.lit(0).cast("long")), end_of))
     passes = F.when((F.col("_tidemark_size") > 0) & (end_of > 0), F.sequence(F.lit(0), F.ceil(end_of / F.col("source_size")).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
     def local_order(p: Column, first_word: Column) -> Column:
@@ -154,7 +197,7 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
         first = start + p * F.col("source_size")
 
         def of_shard(k: Column) -> Column:
-            begin, end = F.greatest(first, F.get("ends", k - 1)), F.least(first + F.col("_tidemark_size"), F.get("ends", k))
+            begin, end = F.greatest(first, F.get("_tidemark_ends", k - 1)), F.least(first + F.col("_tidemark_size"), F.get("_tidemark_ends", k))
             return F.struct(p.alias("pass"), (k - 1).alias("shard"), (begin - first).alias("first_word"), (end - begin).alias("n_words"), local_order(p, begin - first))
 
         return F.filter(F.transform(F.sequence(F.lit(1), F.lit(shards)), of_shard), lambda x: x["n_words"] > 0)
@@ -162,11 +205,12 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
     def of_first_word(p: Column) -> Column:
         first = start + p * F.col("source_size")
         zero = F.lit(0).cast("long")
-        shard = F.size(F.filter(F.slice("ends", F.lit(2), F.lit(shards - 1)), lambda e: e <= first)) if shards > 1 else F.lit(0)
+        shard = F.size(F.filter(F.slice("_tidemark_ends", F.lit(2), F.lit(shards - 1)), lambda e: e <= first)) if shards > 1 else F.lit(0)
         piece = F.struct(p.alias("pass"), shard.cast("int").alias("shard"), zero.alias("first_word"), F.col("_tidemark_size").alias("n_words"), local_order(p, zero))
         within = (end_of - first) * 2 >= F.col("_tidemark_size")
         return F.filter(F.array(piece), lambda x: within)
 
+    lined = lined.withColumn("_tidemark_ends", ends)
     pieces = F.flatten(F.transform(passes, of_first_word if whole else cut_at_shards)).alias("pieces")
     return lined.select(*(F.col(f"`{c}`") for c in own), "source_size", "target", pieces).select(
         "*", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n_words"]).alias("taken")
