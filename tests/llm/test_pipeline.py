@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, VOCABULARY, sentence
@@ -46,3 +47,28 @@ def test_run(spark, planted):
     ids = {r.doc_id for r in rows}
     assert not ids & {*range(1000, 1080), *range(2000, 2010), *range(3000, 3005)}
     assert len(ids & set(range(400))) > 300 and {r.shard for r in rows} == set(range(24))
+
+
+def test_empty_tables(spark, planted, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{planted}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+    # Documents alone, without labels and a benchmark: nothing is toxic or leaked.
+    docs = spark.read.parquet(f"{planted}/documents.parquet").where("doc_id < 20").withColumn("doc_id", F.col("doc_id"))
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= set(range(20))
+
+
+def test_columns_with_the_names_of_ours(spark, planted, tmp_path):
+    odd = ["size", "score", "predicted", "target", "taken", "node", "class", "band", "times", "mark", "bucket", "order", "n", "component", "slot", "first", "toxic", "cell"]
+    docs = spark.read.parquet(f"{planted}/documents.parquet").withColumns({c: F.lit(i) for i, c in enumerate(odd)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{planted}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    wanted = sorted((r.doc_id, r.text, r.shard, r.slot) for r in corpus_pipeline.run(spark, planted).collect() if r.doc_id is not None)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    assert sorted((r.doc_id, r.text, r.shard, r.slot) for r in got if r.doc_id is not None) == wanted
+    assert all(r["size"] == 0 and r.cell == len(odd) - 1 and r["class"] == odd.index("class") for r in got)
+    assert set(out.columns) == {*docs.columns, "shard"}
