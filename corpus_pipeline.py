@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, mixing, neardup, sharding, toxicity
 from tidemark.llm.common import written
@@ -28,7 +29,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the target weights of their sources ask for."""
-    return mixing.mixed_documents(mixing.mix(docs, whole=True)).select(*docs.columns)
+    # Whole rows in a column of their own: whatever names they have, the mix adds and replaces none.
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    return mixing.mixed_documents(mixing.mix(rows, size="size", whole=True)).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
