@@ -747,7 +747,10 @@ def test_one_row_of_each_class_stays(spark):
     # Repeated rows, null ids of one text, copies of a text with an id, and an id with two texts, one of them a copy.
     rows = [(1, a, "x"), (1, a, "w"), (2, b, "x"), (2, a, "x"), (None, c, "x"), (None, c, "x"), (None, c, "y"), (None, b + " more", "x"), (3, d, "x"), (None, e, "x"), (4, None, "x"), (5, "", "x"), (4, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
-    got = sorted(((r.doc_id, r.text or "", r.lang) for r in neardup.keep_one_of_each(docs).collect()), key=key)
+    docs = docs.withColumns({c: F.lit(7) for c in ("its_id", "Its_Node", "stays", "row", "class")})
+    out = neardup.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "", r.lang) for r in out.collect()), key=key)
     assert got == sorted([(1, a, "w"), (2, b, "x"), (None, c, "x"), (3, d, "x"), (None, e, "x"), (4, "", "x")], key=key)
 
 

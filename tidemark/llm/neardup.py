@@ -44,7 +44,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, text_or_empty, written
+from tidemark.llm.common import free_name, slices, text_or_empty, written
 from tidemark.llm.components import connected_components
 from tidemark.llm.ngram_lm import mixed
 
@@ -446,7 +446,8 @@ def keep_one_of_each(docs: DataFrame, *, threshold: float = 0.8, limits: Limits
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first")
     chosen = written(ids.groupBy("class").agg(first), "chosen")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
-    judged = rows.join(chosen, "class").select(F.col("doc_id").alias("its_id"), F.col("node").alias("its_node"), stays.alias("stays"), "times")
+    its_id, its_node = free_name(docs, "its_id"), free_name(docs, "its_node")
+    judged = rows.join(chosen, "class").select(F.col("doc_id").alias(its_id), F.col("node").alias(its_node), stays.alias("stays"), "times")
     # Only what isn't kept as it is: others' copies, and kept ones that are repeated.
     touched = written(judged.where(~F.col("stays") | (F.col("times") > 1)).drop("times"), "duplicates")
     few = touched.count() <= broadcast_ids
@@ -454,8 +455,8 @@ def keep_one_of_each(docs: DataFrame, *, threshold: float = 0.8, limits: Limits
 
     def among(marks: DataFrame, how: str) -> DataFrame:
         marks = F.broadcast(marks) if few else marks
-        return docs.join(marks, docs["doc_id"].eqNullSafe(marks["its_id"]) & (node == marks["its_node"]), how)
+        return docs.join(marks, docs["doc_id"].eqNullSafe(marks[its_id]) & (node == marks[its_node]), how)
 
-    whole = among(touched, "left_anti")
-    repeated = among(touched.where("stays"), "inner").groupBy("its_id", "its_node").agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("row"))
+    whole = among(touched.select(its_id, its_node), "left_anti")
+    repeated = among(touched.where("stays").select(its_id, its_node), "inner").groupBy(its_id, its_node).agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("row"))
     return whole.unionByName(repeated.select("row.*"))
