@@ -19,7 +19,7 @@ def decode_events(lines: DataFrame, value: str = "value", types: tuple[str, ...]
     """
     if types:
         lines = lines.where(F.get_json_object(value, "$.event_type").isin(*types))
-    # A column of its own: each use of an expression would parse the text again.
+    # Generated: each use of an expression would parse the text again, also in filters pushed below.
     v = F.col("_parsed")
     text = lambda name: F.try_variant_get(v, f"$.{name}", "string")
     data = F.try_variant_get(v, "$.data", "variant")
@@ -33,7 +33,7 @@ def decode_events(lines: DataFrame, value: str = "value", types: tuple[str, ...]
         bad(data.isNotNull() & pairs.isNotNull() & scalar, "data"),
     ]
     texts = F.transform_values(pairs, lambda _, x: F.try_variant_get(x, "$", "string"))
-    return lines.withColumn("_parsed", F.try_parse_json(value)).select(
+    return lines.select("*", F.explode(F.array(F.try_parse_json(value))).alias("_parsed")).select(
         *lines.columns, text("event_id").alias("event_id"), text("event_type").alias("event_type"), at.alias("occurred_at"), text("correlation_id").alias("correlation_id"),
         version.alias("schema_version"), texts.alias("data"), F.filter(F.array(*errors), lambda x: x.isNotNull()).alias("errors"),
     )

@@ -115,8 +115,8 @@ def validate_records(pages: DataFrame, endpoint: str, start_index: int = 0) -> D
     offsets = counted.select("run_id", "page_index", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     rows = pages.select("endpoint", "provider", "run_id", "page_index", F.posexplode("results").alias("pos", "raw")).join(offsets, ["run_id", "page_index"])
     raw = F.coalesce("raw", F.lit("null"))
-    # A column of its own: each use of an expression would parse the text again.
-    parsed = rows.withColumn("parsed", F.try_parse_json(raw))
+    # Generated: each use of an expression would parse the text again, also in filters pushed below.
+    parsed = rows.select("*", F.explode(F.array(F.try_parse_json(raw))).alias("parsed"))
     return parsed.select(
         "endpoint", "provider", "run_id", "page_index", (F.col("offset") + F.col("pos") + start_index).alias("record_index"), raw.alias("raw"), validation_issues(F.col("parsed"), endpoint).alias("issues")
     ).withColumn("record", F.when(F.size("issues") == 0, F.from_json("raw", record_schema(endpoint))))
