@@ -134,47 +134,15 @@ def test_runs_are_processed_once(spark, lake):
     kind = "station_summary struct<total_rows: bigint>, current_data_health struct<total_stations: bigint>"
     report = runs.read_reports(spark, str(lake), kind).where("run_id = 's1'").first().report
     assert report.station_summary.total_rows == 2 and report.current_data_health.total_stations == 2
+    report_files = sorted(str(p.relative_to(lake)) for p in lake.glob("quality/**/*.json"))
+    assert report_files == [f"quality/endpoint={e}/year=2026/month=09/day=01/hour=00/run-{r}/report.json" for e, r in ((RIVER, "007"), (RIVER_STATIONS, "s1"))]
+    assert not list((lake / "staging").iterdir()) and not list(lake.glob("claims/*/*"))
     state = runs.committed_runs(L.scan_manifests(spark, str(lake)), runs.commit_log(spark, str(lake)).where("dataset <> 'stations'"), L.scan_processed(spark, str(lake), "stations").select("run_id", F.lit("stations").alias("dataset")))
     assert {(r.run_id, r.dataset): r.state for r in state.collect()} == {("007", "observations"): "complete", ("s1", "observations"): "complete", ("s1", "stations"): "incomplete"}
     L.compact(spark, str(lake), "observations", f"{lake}/compact")
     assert spark.read.parquet(f"{lake}/compact").count() == 4
 
 
-@pytest.mark.parametrize("step", ["write_processed", "second table", "write_reports", "commits"])
-def test_a_writer_that_died_is_taken_up(spark, lake, monkeypatch, step):
-    calls = []
-
-    def dies(f, at):
-        def run(*args, **named):
-            calls.append(1)
-            if len(calls) == at:
-                raise OSError("the machine is gone")
-            return f(*args, **named)
-
-        return run
-
-    with monkeypatch.context() as m:
-        if step in ("write_processed", "second table"):
-            m.setattr(runs.L, "write_processed", dies(L.write_processed, 1 if step == "write_processed" else 2))
-        elif step == "write_reports":
-            m.setattr(runs, "write_reports", dies(runs.write_reports, 1))
-        else:
-            m.setattr(runs, "committed_runs", dies(runs.committed_runs, 1))
-        with pytest.raises(OSError):
-            runs.process_runs_idempotent(spark, str(lake))
-    assert runs.commit_log(spark, str(lake)).count() == 0
-    done = sorted(map(tuple, runs.process_runs_idempotent(spark, str(lake)).collect()))
-    assert done == [("007", RIVER, "observations", 3), ("s1", RIVER_STATIONS, "observations", 1), ("s1", RIVER_STATIONS, "stations", 2)]
-    assert L.scan_processed(spark, str(lake), "observations").count() == 4 and L.scan_processed(spark, str(lake), "stations").count() == 2
-    assert runs.read_reports(spark, str(lake), "report_version int").count() == 2
-
-
-def test_a_report_that_differs_is_an_error(spark, lake):
-    spark.createDataFrame([("s1", "{}", RIVER_STATIONS)], runs.REPORTS).write.partitionBy("endpoint").parquet(f"{lake}/quality")
-    with pytest.raises(ValueError, match="reports differ"):
-        runs.process_runs_idempotent(spark, str(lake))
-
-
 def test_runs_go_in_batches_and_read_their_own_pages(spark, lake):
     put(lake, RIVER, "unlisted", 1, [GOOD])
     todo = L.scan_manifests(spark, str(lake))
@@ -194,6 +162,19 @@ def test_rows_without_a_commit_are_an_error(spark, lake):
         runs.process_runs_idempotent(spark, str(lake))
 
 
+def test_runs_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a b", RIVER, datetime(2026, 9, 1, 5)), ("x=1", RIVER, datetime(2026, 9, 1, 6))], "run_id string, endpoint string, ingested_at timestamp")
+    L.write_processed(rows, str(tmp_path), "observations")
+    folders = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.glob("processed/*/*/*/*/*/*/*"))
+    assert folders == [f"processed/dataset=observations/endpoint={RIVER}/year=2026/month=09/day=01/hour={h}/run-{r}" for h, r in (("05", "a b"), ("06", "x=1"))]
+    with pytest.raises(L.RunExists):
+        L.write_processed(rows.limit(1), str(tmp_path), "observations")
+    assert L.scan_processed(spark, str(tmp_path), "observations").count() == 2 and not list((tmp_path / "staging").iterdir())
+    for bad in ("a/b", "..", " "):
+        with pytest.raises(ValueError, match="no name for a run"):
+            L.write_processed(rows.limit(1).withColumn("run_id", F.lit(bad)), str(tmp_path), "observations")
+
+
 def test_new_manifests_are_processed_as_they_come(spark, lake):
     for _ in range(2):
         process_stream(spark, str(lake), f"{lake}/state").awaitTermination()

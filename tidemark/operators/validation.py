@@ -113,7 +113,9 @@ def validate_records(pages: DataFrame, endpoint: str, start_index: int = 0) -> D
     earlier = Window.partitionBy("run_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)
     counted = pages.select("endpoint", "run_id", "page_index", F.coalesce(F.size("results"), F.lit(0)).alias("n"))
     offsets = counted.select("run_id", "page_index", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    rows = pages.select("endpoint", "provider", "run_id", "page_index", F.posexplode("results").alias("pos", "raw")).join(offsets, ["run_id", "page_index"])
+    # Joined as pages: their elements would be many more rows to shuffle.
+    placed = pages.select("endpoint", "provider", "run_id", "page_index", "results").join(offsets, ["run_id", "page_index"])
+    rows = placed.select("endpoint", "provider", "run_id", "page_index", "offset", F.posexplode("results").alias("pos", "raw"))
     raw = F.coalesce("raw", F.lit("null"))
     # Generated: each use of an expression would parse the text again, also in filters pushed below.
     parsed = rows.select("*", F.explode(F.array(F.try_parse_json(raw))).alias("parsed"))
@@ -144,6 +146,8 @@ def metrics_invariants(metrics: DataFrame) -> DataFrame:
         "observations_above_valid": "observations_emitted > records_valid", "without_above_valid": "records_without_observation > records_valid",
         **({"finished_before_started": "finished_at < started_at"} if "finished_at" in metrics.columns else {}),
         **({"quarantined_not_invalid": "quarantined <> records_invalid"} if "quarantined" in metrics.columns else {}),
+        # Each record of a historical batch becomes an observation or is quarantined.
+        **({"batch_total": f"endpoint = '{RIVER}' and observations_emitted + quarantined <> records_received"} if "quarantined" in metrics.columns else {}),
     }
     found = F.filter(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in checks.items())), lambda x: x.isNotNull())
     return metrics.withColumn("violations", found).where(F.size("violations") > 0)

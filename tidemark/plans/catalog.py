@@ -595,7 +595,7 @@ def ingestion_metrics(spark, sf_dir):
     return validation.ingestion_metrics(all_validated(spark, sf_dir))
 
 
-@query(f"""select endpoint, run_id, case when endpoint = '{RIVER}' then 'valid_plus_invalid' else 'observations_above_valid,quarantined_not_invalid' end as violations from ({_METRICS}) where records_valid > 0""")
+@query(f"""select endpoint, run_id, case when endpoint = '{RIVER}' then 'valid_plus_invalid,batch_total' else 'observations_above_valid,quarantined_not_invalid' end as violations from ({_METRICS}) where records_valid > 0""")
 def metrics_invariants(spark, sf_dir):
     """The runs' numbers, of which some are changed: history lacks a valid record, snapshots have observations and quarantined records too many."""
     river = F.col("endpoint") == RIVER
@@ -664,12 +664,12 @@ def verify_lineage(spark, sf_dir):
 
 _DONE = f"""select run_id, endpoint, 'observations' as dataset, count(*) as row_count from raw where not no_object and (endpoint = '{RIVER}' or not bad_time) group by 1, 2
     union all select run_id, endpoint, 'stations', count(*) from raw where not no_object and endpoint = '{RIVER_STATIONS}' group by 1, 2"""
-_processed: dict[tuple[str, str], str] = {}
+_processed: dict[tuple, str] = {}
 
 
 def processed_lake(spark: SparkSession, sf_dir: str) -> str:
     """The raw lake with all its runs processed, once for a session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = D.input_key(spark, sf_dir)
     if key not in _processed:
         lake = D.raw_lake(spark, sf_dir)
         runs.process_runs_idempotent(spark, lake)
@@ -690,6 +690,43 @@ def committed_runs(spark, sf_dir):
     return runs.committed_runs(L.scan_manifests(spark, lake), runs.commit_log(spark, lake), present[0].union(present[1]))
 
 
+_BAD = ", ".join(f"'{r}'" for r in D.DAMAGED)
+
+
+@query(f"""select endpoint, run_id, 1::bigint as manifests, count(*) as pages, (run_id = 'run-0-river')::bigint as missing, (run_id = 'run-1-river-stations')::bigint as mismatched, (run_id = 'run-2-river')::bigint as miscounted
+    from ({_PAGES}) where run_id in ({_BAD}) group by 1, 2""")
+def rejected_runs(spark, sf_dir):
+    """The runs of a damaged lake that processing keeps apart."""
+    lake = D.damaged_lake(spark, sf_dir)
+    runs.process_runs_idempotent(spark, lake)
+    return runs.rejected_runs(spark, lake).drop("rejected_at")
+
+
+@query(f"select * from ({_DONE}) where run_id not in ({_BAD})")
+def process_stream_damaged(spark, sf_dir):
+    """A damaged lake's manifests as a stream: the intact runs are committed, the others aren't."""
+    lake = D.damaged_lake(spark, sf_dir)
+    S.finished(S.process_stream(spark, lake, D.shared_path(spark, "stream-state")))
+    return runs.commit_log(spark, lake).select("run_id", "endpoint", "dataset", "row_count")
+
+
+@query(f"""select run_id, 'observations' as dataset, count(*) as n_rows, min(observed_at) filter (not bad_time) as first_at, max(observed_at) filter (not bad_time) as last_at from raw where not no_object and (endpoint = '{RIVER}' or not bad_time) group by 1
+    union all select run_id, 'stations', count(*), max(ingested_at), max(ingested_at) from raw where not no_object and endpoint = '{RIVER_STATIONS}' group by 1""")
+def file_catalog(spark, sf_dir):
+    """The committed files' rows and times, by run."""
+    lake = processed_lake(spark, sf_dir)
+    of = lambda d: runs.file_catalog(spark, lake, d).withColumn("dataset", F.lit(d))
+    return of("observations").unionByName(of("stations")).groupBy("run_id", "dataset").agg(F.sum("rows").alias("n_rows"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
+@query(f"""select endpoint, run_id, source_page_index, count(*) as n_rows, count(water_level_m) as levels from (select *, cast(page as integer) as source_page_index from raw) where not no_object and not bad_time
+    and observed_at >= timestamp '2024-01-08' and observed_at < timestamp '2024-01-22' group by 1, 2, 3""")
+def scan_committed(spark, sf_dir):
+    """Observations of a time, of which only the files that may hold some are opened."""
+    rows = runs.scan_committed(spark, processed_lake(spark, sf_dir), "observations", start=START, end=END)
+    return rows.groupBy("endpoint", "run_id", "source_page_index").agg(F.count(F.lit(1)).alias("n_rows"), F.count("water_level_m").alias("levels"))
+
+
 @query(f"select endpoint, run_id, count(*) as n_rows, count(*) filter (water_level_m is not null) as levels from raw where not no_object and (endpoint = '{RIVER}' or not bad_time) group by 1, 2")
 def scan_processed(spark, sf_dir):
     rows = L.scan_processed(spark, processed_lake(spark, sf_dir), "observations")
@@ -728,6 +765,15 @@ def run_catalog(spark, sf_dir):
     return runs.run_catalog(paths, tries.where("event_type = 'purchase'").select("run_id", F.lit("completed").alias("status")))
 
 
+@query(f"""with r as (select 'event-' || {D.event_uuid_sql('user_id')} as prefix, event_id % 5 + 1 as n, event_type from events where event_type not in ('view', 'error'))
+    select a.prefix, cast(a.n + 1 as integer) as next_attempt, d.prefix || '-attempt-' || lpad(cast(d.lo as varchar), 4, '0') as completed_run, coalesce(d.c, 0) > 1 as conflict
+    from (select prefix, max(n) as n from r group by 1) a left join (select prefix, min(n) as lo, count(distinct n) as c from r where event_type = 'purchase' group by 1) d using (prefix)""")
+def run_catalog_listed(spark, sf_dir):
+    """Attempts found by listing a lake's raw, quarantine and manifest files, some of which have names that are none."""
+    lake = D.attempts_lake(spark, sf_dir)
+    return runs.run_catalog(L.lake_files(spark, lake), L.scan_manifests(spark, lake))
+
+
 # Events
 
 
@@ -854,8 +900,5 @@ def process_stream(spark, sf_dir):
     for batch in range(2):
         if batch:
             D.add_manifests(spark, sf_dir, lake, ~history)
-        done = S.process_stream(spark, lake, state)
-        done.awaitTermination()
-        if done.exception():
-            raise done.exception()
+        S.finished(S.process_stream(spark, lake, state))
     return runs.commit_log(spark, lake).select("run_id", "endpoint", "dataset", "row_count")

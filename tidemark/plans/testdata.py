@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import events as E
 from tidemark.schemas import RIVER, RIVER_STATIONS
 from tidemark.sources import lake as L
+from tidemark.sources.files import LakeFiles
 
 PAGE_EVENTS = 2000
 
@@ -105,7 +107,12 @@ def raw_records_sql() -> str:
     return f"select * replace (run_id || '-' || endpoint as run_id), event_id // {PAGE_EVENTS} as page, event_id % 41 = 0 as no_object, event_id % 31 = 0 as bad_id, event_id % 23 = 0 as bad_time from ({observations_sql()})"
 
 
-_lakes: dict[tuple[str, str], str] = {}
+_lakes: dict[tuple, str] = {}
+
+
+def input_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """What made things are kept by: the session, and the input with its files' times."""
+    return spark.sparkContext.applicationId, sf_dir, *sorted(LakeFiles(spark, sf_dir).names(sf_dir))
 
 
 def new_lake(spark: SparkSession, sf_dir: str, runs: Column) -> str:
@@ -115,14 +122,35 @@ def new_lake(spark: SparkSession, sf_dir: str, runs: Column) -> str:
     return lake
 
 
-def add_manifests(spark: SparkSession, sf_dir: str, lake: str, runs: Column) -> None:
-    rows = L.scan_manifests(spark, raw_lake(spark, sf_dir)).where(runs).drop("modified_at")
+#: Runs that `damaged_lake` harms, with what happens to a page of each.
+DAMAGED = {"run-0-river": "missing", "run-1-river-stations": "mismatched", "run-2-river": "miscounted"}
+
+
+def damaged_lake(spark: SparkSession, sf_dir: str) -> str:
+    """A lake whose manifests name the pages of `raw_lake`; of three runs the first page is elsewhere, of other bytes, or of more records."""
+    harm = F.create_map(*(F.lit(x) for pair in DAMAGED.items() for x in pair))[F.col("run_id")]
+
+    def odd(p: Column, i: Column) -> Column:
+        here = lambda kind: F.coalesce((harm == kind) & (i == 0), F.lit(False))
+        return (
+            p.withField("payload_key", F.when(here("missing"), F.concat(p["payload_key"], F.lit(".gone"))).otherwise(p["payload_key"]))
+            .withField("payload_sha256", F.when(here("mismatched"), F.reverse(p["payload_sha256"])).otherwise(p["payload_sha256"]))
+            .withField("record_count", F.when(here("miscounted"), p["record_count"] + 1).otherwise(p["record_count"]))
+        )
+
+    lake = shared_path(spark, "lake")
+    add_manifests(spark, sf_dir, lake, F.lit(True), lambda rows: rows.withColumn("raw_pages", F.transform("raw_pages", odd)))
+    return lake
+
+
+def add_manifests(spark: SparkSession, sf_dir: str, lake: str, runs: Column, change: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    rows = change(L.scan_manifests(spark, raw_lake(spark, sf_dir)).where(runs).drop("modified_at"))
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{lake}/manifests")
 
 
 def raw_lake(spark: SparkSession, sf_dir: str) -> str:
     """A lake with the raw pages and manifests of all runs, made once for a session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = input_key(spark, sf_dir)
     if key not in _lakes:
         lake = shared_path(spark, "lake")
         pages = raw_records(spark, sf_dir).groupBy("endpoint", "run_id", "ingested_at", "page").agg(F.array_sort(F.collect_list(F.struct("event_id", "record"))).alias("r"))
@@ -135,6 +163,20 @@ def raw_lake(spark: SparkSession, sf_dir: str) -> str:
     return _lakes[key]
 
 
+def attempts_lake(spark: SparkSession, sf_dir: str) -> str:
+    """A lake with the files of attempts, one folder for each: an event is one of its user's, by number; views and errors have names that are none."""
+    prefix = F.concat(F.lit("event-"), event_uuid(F.col("user_id")))
+    number = F.format_string("-attempt-%04d", F.col("event_id") % 5 + 1)
+    run = F.concat(prefix, F.when(F.col("event_type") == "view", F.lit("-odd")).when(F.col("event_type") == "error", F.lit("-attempt-99")).otherwise(number))
+    tries = table(spark, sf_dir, "events").select("event_type", run.alias("run_id"), F.lit("gauges").alias("provider"), F.lit(RIVER_STATIONS).alias("endpoint")).distinct()
+    lake = shared_path(spark, "lake")
+    manifest = F.to_json(F.struct(F.lit("completed").alias("status"), "provider", "endpoint", "run_id", F.lit("2024-01-01T00:00:00Z").alias("captured_at")))
+    for kind, of in (("raw", F.col("event_type").isin("click", "view", "error")), ("quarantine", F.col("event_type") == "signup"), ("manifests", F.col("event_type") == "purchase")):
+        body = manifest if kind == "manifests" else F.lit("{}")
+        tries.where(of).select(body.alias("value"), "provider", "endpoint", F.col("run_id").alias("at")).repartition(8, "at").withColumnRenamed("at", "run_id").write.partitionBy("provider", "endpoint", "run_id").text(f"{lake}/{kind}")
+    return lake
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, captured_at) of the lake's runs: each endpoint has its own."""
     return observations(spark, sf_dir).groupBy(F.concat_ws("-", "run_id", "endpoint").alias("run_id")).agg(F.max("ingested_at").alias("captured_at"))
@@ -157,12 +199,12 @@ def pipeline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("line"), F.when(F.col("event_type") == "error", F.col("props")).otherwise(line).alias("value"))
 
 
-_events: dict[tuple[str, str], str] = {}
+_events: dict[tuple, str] = {}
 
 
 def decoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`pipeline_lines`, decoded once for a session and input and kept as a table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = input_key(spark, sf_dir)
     if key not in _events:
         path = shared_path(spark, "events")
         E.decode_events(pipeline_lines(spark, sf_dir)).drop("value").write.parquet(path)

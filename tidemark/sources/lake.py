@@ -2,16 +2,22 @@
 
 Raw pages are JSON files below
 ``raw/provider=…/endpoint=…/year=…/month=…/day=…/hour=…/run_id=…/page=N/``; processed
-tables are Parquet below ``processed/dataset=…/endpoint=…/year=…/month=…/day=…/hour=…``.
+tables are Parquet below ``processed/dataset=…/endpoint=…/year=…/month=…/day=…/hour=…/run-…``,
+reports are JSON below ``quality/endpoint=…/year=…/…/hour=…/run-…``.  What a run has is a
+directory, which is staged elsewhere and gets its name in one step: it is whole or not there.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import MANIFEST, PROCESSED, TEXT_PAGE, fields, page_schema, record_schema
+from tidemark.sources.files import LakeFiles, value_in_path
 
 PAGE_IN_PATH = r"page=(\d+)/[^/]+$"
 
@@ -20,6 +26,10 @@ class MissingDataset(ValueError):
     """The lake holds no files of a data set."""
 
 
+class RunExists(ValueError):
+    """A run's output is there already."""
+
+
 def lake_path(kind: str, provider: Column, endpoint: Column, captured_at: Column, run_id: Column, *rest: Column) -> Column:
     """The key of a run's files in the lake, from the UTC time of capture."""
     hours = F.date_format(F.to_utc_timestamp(captured_at, F.current_timezone()), "'year='yyyy'/month='MM'/day='dd'/hour='HH")
@@ -46,16 +56,24 @@ def pages_of_files(files: DataFrame, endpoint: str) -> DataFrame:
     return files.select("*", F.lit(endpoint).alias("endpoint"), F.regexp_extract(file, r"provider=([^/]+)/", 1).alias("provider"), F.regexp_extract(file, r"run_id=([^/]+)/", 1).alias("run_id"), F.regexp_extract(file, PAGE_IN_PATH, 1).cast("int").alias("page_index"), file.alias("file"))
 
 
-def scan_listed_pages(spark: SparkSession, manifests: DataFrame, endpoint: str) -> DataFrame:
-    """The pages of the endpoint that the manifests list, records as JSON texts.  Only these runs' directories are read.
+def listed_folders(spark: SparkSession, manifests: DataFrame) -> list[str]:
+    """The folders of the manifests' runs, as far as they are there; one path for each run reaches the driver."""
+    keys = manifests.select(F.explode("raw_pages.payload_key").alias("key"))
+    at = sorted(r.at for r in keys.select(F.regexp_extract("key", r"^(.*/run_id=[^/]+)/", 1).alias("at")).distinct().collect() if r.at)
+    if not at:
+        return []
+    files = LakeFiles(spark, at[0])
+    return [p for p in at if files.exists(p)]
 
-    The driver gets one path for each run.
-    """
-    keys = manifests.where(F.col("endpoint") == endpoint).select("run_id", F.explode("raw_pages.payload_key").alias("key"))
-    at = sorted(r.at for r in keys.select(F.regexp_extract("key", r"^(.*/run_id=[^/]+)/", 1).alias("at")).distinct().collect())
+
+def scan_listed_pages(spark: SparkSession, manifests: DataFrame, endpoint: str) -> DataFrame:
+    """The pages of the endpoint that the manifests list, records as JSON texts.  Only these runs' directories are read."""
+    of_endpoint = manifests.where(F.col("endpoint") == endpoint)
+    at = listed_folders(spark, of_endpoint)
     if not at:
         return spark.createDataFrame([], f"{TEXT_PAGE}, endpoint string, provider string, run_id string, page_index int, file string")
     pages = pages_of_files(spark.read.schema(TEXT_PAGE).option("recursiveFileLookup", True).json(at), endpoint)
+    keys = of_endpoint.select("run_id", F.explode("raw_pages.payload_key").alias("key"))
     listed = keys.select("run_id", F.regexp_extract("key", PAGE_IN_PATH, 1).cast("int").alias("page_index")).distinct()
     return pages.join(listed, ["run_id", "page_index"], "left_semi").select(pages.columns)
 
@@ -100,26 +118,38 @@ def raw_page_counts(pages: DataFrame) -> DataFrame:
 
 
 def scan_processed(spark: SparkSession, lake: str, dataset: str) -> DataFrame:
-    """All files of a data set with the columns of their path; files that lack a column give nulls."""
+    """All files of a data set with the columns of their path; files that lack a column give nulls.
+
+    Every file's footer is read for its columns: `tidemark.operators.runs.scan_committed` takes them from the commits.
+    """
     root = f"{lake}/processed"
     df = _files(spark, f"{root}/dataset={dataset}", "parquet", None, mergeSchema=True, basePath=root)
     have = {c.lower() for c in df.columns}
     return df.select("*", *(F.lit(None).cast(t).alias(n) for n, t in fields(PROCESSED[dataset]).items() if n.lower() not in have))
 
 
+PATH_COLUMNS = "dataset string, endpoint string, year int, month int, day int, hour int"
+
+
+def scan_folders(spark: SparkSession, lake: str, dataset: str, folders: Iterable[str], columns: str | None = None) -> DataFrame:
+    """Rows of a data set in some folders or files of it: nothing else is listed or opened."""
+    at, schema = sorted(folders), f"{columns or PROCESSED[dataset]}, {PATH_COLUMNS}"
+    if not at:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{lake}/processed").parquet(*at)
+
+
 def scan_hours(spark: SparkSession, lake: str, dataset: str, hours: list[tuple[str, int, int, int, int]]) -> DataFrame:
-    """Rows of a data set in some (endpoint, year, month, day, hour): only their directories are listed and read."""
-    root, kinds = f"{lake}/processed", ", ".join((PROCESSED[dataset], "endpoint string, year int, month int, day int, hour int"))
-    at = ",".join("endpoint={}/year={}/month={}/day={}/hour={}".format(*h) for h in sorted(set(hours)))
-    try:
-        return _files(spark, f"{root}/dataset={dataset}/{{{at}}}", "parquet", kinds, basePath=f"{root}/dataset={dataset}")
-    except MissingDataset:
-        return spark.createDataFrame([], kinds)
+    """Rows of a data set in some (endpoint, year, month, day, hour) in UTC: only their directories are listed and read."""
+    files = LakeFiles(spark, lake)
+    at = ["{}/processed/dataset={}/endpoint={}/year={:04}/month={:02}/day={:02}/hour={:02}".format(lake, dataset, *h) for h in set(hours)]
+    return scan_folders(spark, lake, dataset, filter(files.exists, at))
 
 
 def scan_manifests(spark: SparkSession, lake: str) -> DataFrame:
-    """Completed run manifests that have what a manifest must have."""
+    """Completed run manifests that have what a manifest must have.  Page keys below the lake's root are made whole paths."""
     rows = _files(spark, f"{lake}/manifests", "json", MANIFEST, recursiveFileLookup=True).withColumn("modified_at", F.col("_metadata.file_modification_time"))
+    rows = rows.withColumn("raw_pages", F.transform("raw_pages", lambda p: p.withField("payload_key", absolute_key(lake, p["payload_key"]))))
     return rows.where((F.col("status") == "completed") & F.col("run_id").isNotNull() & F.col("endpoint").isNotNull() & F.col("captured_at").isNotNull())
 
 
@@ -129,33 +159,116 @@ def latest_manifest(manifests: DataFrame, by: str = "captured_at") -> DataFrame:
     return manifests.join(best.select("endpoint", F.col("best.run_id").alias("run_id")), ["endpoint", "run_id"], "left_semi")
 
 
-def raw_lineage(spark: SparkSession, lake: str, endpoint: str) -> DataFrame:
-    """Size, SHA-256 and number of records of each raw page, from one reading of its bytes."""
-    files = _files(spark, f"{lake}/raw/provider=*/endpoint={endpoint}/*/*/*/*/run_id=*", "binaryFile", None, recursiveFileLookup=True)
+def absolute_key(lake: str, key: Column) -> Column:
+    return F.when(key.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), key).otherwise(F.concat(F.lit(f"{lake}/"), key))
+
+
+def plain_path(path: Column) -> Column:
+    """A path without the scheme of local files, of which there are several spellings."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _lineage(files: DataFrame) -> DataFrame:
     page = F.from_json(F.col("content").cast("string"), TEXT_PAGE)
     return files.select(
-        F.lit(endpoint).alias("endpoint"), F.regexp_extract("path", r"run_id=([^/]+)/", 1).alias("run_id"), F.regexp_extract("path", PAGE_IN_PATH, 1).cast("int").alias("page_index"),
-        F.coalesce(F.size(page["results"]), F.lit(0)).cast("long").alias("record_count"), F.regexp_replace("path", "^file:/+", "/").alias("payload_key"),
+        F.regexp_extract("path", r"endpoint=([^/]+)/", 1).alias("endpoint"), F.regexp_extract("path", r"run_id=([^/]+)/", 1).alias("run_id"), F.regexp_extract("path", PAGE_IN_PATH, 1).cast("int").alias("page_index"),
+        F.coalesce(F.size(page["results"]), F.lit(0)).cast("long").alias("record_count"), plain_path(F.col("path")).alias("payload_key"),
         F.col("length").alias("payload_size_bytes"), F.sha2("content", 256).alias("payload_sha256"),
     )
 
 
+def raw_lineage(spark: SparkSession, lake: str, endpoint: str) -> DataFrame:
+    """Size, SHA-256 and number of records of each raw page, from one reading of its bytes."""
+    return _lineage(_files(spark, f"{lake}/raw/provider=*/endpoint={endpoint}/*/*/*/*/run_id=*", "binaryFile", None, recursiveFileLookup=True))
+
+
+def listed_lineage(spark: SparkSession, manifests: DataFrame) -> DataFrame:
+    """What `raw_lineage` gives, of the folders of the manifests' runs alone; runs without a folder have no rows."""
+    at = listed_folders(spark, manifests)
+    if not at:
+        return spark.createDataFrame([], "endpoint string, run_id string, page_index int, record_count bigint, payload_key string, payload_size_bytes bigint, payload_sha256 string")
+    return _lineage(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at))
+
+
 def verify_lineage(manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """For each page that a manifest lists, whether its file is there and unchanged: ok, missing or mismatch."""
-    listed = manifests.select("endpoint", "run_id", F.explode("raw_pages").alias("page")).select("endpoint", "run_id", "page.page_index", "page.payload_key", "page.payload_sha256")
-    found = files.select("payload_key", F.col("payload_sha256").alias("found_sha256"))
-    status = F.when(F.col("found_sha256").isNull(), "missing").when(F.col("found_sha256") != F.col("payload_sha256"), "mismatch").otherwise("ok")
-    return listed.join(found, "payload_key", "left").select("endpoint", "run_id", "page_index", "payload_key", status.alias("status"))
+    """For each page that a manifest lists, whether its file is there and as it was: ok, missing, mismatch or miscounted.
+
+    miscounted: the bytes are the same, but they don't hold as many records as the manifest says.
+    """
+    page = manifests.schema["raw_pages"].dataType.elementType.names
+    wanted = F.col("page.record_count") if "record_count" in page else F.lit(None).cast("long")
+    listed = manifests.select("endpoint", "run_id", F.explode("raw_pages").alias("page")).select("endpoint", "run_id", "page.page_index", "page.payload_key", "page.payload_sha256", wanted.alias("wanted"))
+    found = files.select(F.col("payload_key").alias("found_key"), F.col("payload_sha256").alias("found_sha256"), F.col("record_count").alias("found"))
+    status = (
+        F.when(F.col("found_sha256").isNull(), "missing").when(~F.col("found_sha256").eqNullSafe(F.col("payload_sha256")), "mismatch")
+        .when(F.col("wanted") != F.col("found"), "miscounted").otherwise("ok")
+    )
+    return listed.join(found, plain_path(F.col("payload_key")) == F.col("found_key"), "left").select("endpoint", "run_id", "page_index", "payload_key", status.alias("status"))
+
+
+def run_verdicts(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """(endpoint, run_id, manifests, pages, missing, mismatched, miscounted, intact) of each run.
+
+    A run is intact if it has one manifest, which lists pages, and all of them are ok.
+    """
+    pages = verify_lineage(manifests, files).groupBy("endpoint", "run_id")
+    states = pages.agg(F.count(F.lit(1)).alias("pages"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("missing", "missing"), ("mismatch", "mismatched"), ("miscounted", "miscounted"))))
+    runs = manifests.groupBy("endpoint", "run_id").agg(F.count(F.lit(1)).alias("manifests"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    joined = runs.join(states, ["endpoint", "run_id"], "left").select("endpoint", "run_id", "manifests", *(zero(c) for c in ("pages", "missing", "mismatched", "miscounted")))
+    return joined.withColumn("intact", F.expr("manifests = 1 and pages > 0 and missing + mismatched + miscounted = 0"))
+
+
+def hour_columns(captured_at: str) -> dict[str, Column]:
+    """year, month, day and hour of a time in UTC, as they are written in paths."""
+    at = F.to_utc_timestamp(F.col(captured_at), F.current_timezone())
+    return {name: F.date_format(at, kind) for name, kind in (("year", "yyyy"), ("month", "MM"), ("day", "dd"), ("hour", "HH"))}
+
+
+_RUN = "_run"
 
 
-def write_processed(df: DataFrame, lake: str, dataset: str, captured_at: str = "ingested_at", mode: str = "append") -> None:
-    """Appends rows (endpoint, run_id and the data set's columns) to the data set, by endpoint and hour.
+def stage_processed(df: DataFrame, root: str, dataset: str, captured_at: str = "ingested_at") -> None:
+    """Writes rows (endpoint, run_id and the data set's columns) below a staging folder, a directory for each run.
 
-    Runs are immutable: whoever writes looks for committed ones before.
+    A run's rows are brought together, as far as Spark thinks them few enough for a task; so runs have few files.
     """
-    at = F.col(captured_at)
-    stamped = df.withColumns({"dataset": F.lit(dataset), "year": F.year(at), "month": F.month(at), "day": F.day(at), "hour": F.hour(at)})
-    stamped.write.mode(mode).option("compression", "snappy").partitionBy("dataset", "endpoint", "year", "month", "day", "hour").parquet(f"{lake}/processed")
+    stamped = df.withColumns({"dataset": F.lit(dataset), **hour_columns(captured_at), _RUN: F.col("run_id")})
+    path = ["dataset", "endpoint", "year", "month", "day", "hour", _RUN]
+    stamped.hint("rebalance", *path[1:]).write.mode("append").option("compression", "snappy").partitionBy(*path).parquet(root)
+
+
+def publish_runs(files: LakeFiles, staging: str, root: str, depth: int) -> tuple[dict[str, str], dict[str, str]]:
+    """Moves each run's staged directory to its place: (those moved, those whose place was taken), run by run.
+
+    staging and root have the same `depth` levels of directories above a run's.  One name for each run reaches the driver.
+    """
+    moved, taken = {}, {}
+    for folder in sorted(files.matching("/".join([staging, *["*"] * depth, f"{_RUN}=*"]))):
+        run = value_in_path(folder)
+        if "/" in run or run.strip() in ("", ".", ".."):
+            raise ValueError(f"{run!r} is no name for a run")
+        parts = folder.split("/")
+        levels = parts[len(parts) - 1 - depth : -1]
+        target = "/".join([root, *levels, f"run-{run}"])
+        (moved if files.move(folder, target) else taken)[run] = target
+    return moved, taken
+
+
+def write_processed(df: DataFrame, lake: str, dataset: str, captured_at: str = "ingested_at") -> None:
+    """Writes runs' rows (endpoint, run_id and the data set's columns), each run to a directory that must not be there yet.
+
+    Raises RunExists if some are; the others are written.
+    """
+    spark, staging = df.sparkSession, f"{lake}/staging/{uuid.uuid4().hex}"
+    files = LakeFiles(spark, lake)
+    try:
+        stage_processed(df, f"{staging}/processed", dataset, captured_at)
+        _, taken = publish_runs(files, f"{staging}/processed", f"{lake}/processed", 6)
+    finally:
+        files.delete(staging)
+    if taken:
+        raise RunExists(f"{dataset} of these runs are there already: {sorted(taken)[:10]}")
 
 
 def write_run(df: DataFrame, path: str) -> None:
@@ -165,7 +278,18 @@ def write_run(df: DataFrame, path: str) -> None:
 
 def write_quality_report(reports: DataFrame, path: str) -> None:
     """One JSON report for each run, below a directory of the run, which must not be there yet."""
-    reports.select("run_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").partitionBy("run_id").text(path)
+    reports.select("run_id", report_text(reports).alias("value")).write.mode("errorifexists").partitionBy("run_id").text(path)
+
+
+def report_text(reports: DataFrame) -> Column:
+    """The canonical JSON of a report: fields in order, nulls said."""
+    return F.to_json(F.struct(*sorted(reports.columns)), {"ignoreNullFields": "false"})
+
+
+def stage_reports(reports: DataFrame, root: str) -> None:
+    """Writes reports (endpoint, run_id, captured_at, …) below a staging folder, a directory with one file for each run."""
+    stamped = reports.select("endpoint", *(c.alias(n) for n, c in hour_columns("captured_at").items()), F.col("run_id").alias(_RUN), report_text(reports).alias("value"))
+    stamped.write.mode("append").partitionBy("endpoint", "year", "month", "day", "hour", _RUN).text(root)
 
 
 def quarantine_envelopes(invalid: DataFrame, provider: str) -> DataFrame:
@@ -177,6 +301,18 @@ def write_quarantine(envelopes: DataFrame, path: str) -> None:
     envelopes.write.mode("append").partitionBy("endpoint", "run_id").json(path)
 
 
+def lake_files(spark: SparkSession, lake: str, kinds: Iterable[str] = ("raw", "quarantine", "manifests")) -> DataFrame:
+    """(kind, path, length, modified_at) of every file below the lake's folders of some kinds, listed in parallel and not opened."""
+    files = LakeFiles(spark, lake)
+    at = [f"{lake}/{k}" for k in kinds if files.exists(f"{lake}/{k}")]
+    if not at:
+        return spark.createDataFrame([], "kind string, path string, length bigint, modified_at timestamp")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at)
+    root = F.length(F.lit(files.whole(lake))) + 2
+    below = F.expr("path").substr(root, F.length("path"))
+    return listed.select(F.substring_index(below, "/", 1).alias("kind"), below.alias("path"), "length", F.col("modificationTime").alias("modified_at"))
+
+
 def compact(spark: SparkSession, lake: str, dataset: str, to: str, rows_per_file: int = 1_000_000) -> None:
     """Rewrites a data set of many small files into few, by endpoint and day, at a new place."""
     scan_processed(spark, lake, dataset).repartition("endpoint", "year", "month", "day").write.option("maxRecordsPerFile", rows_per_file).partitionBy("endpoint", "year", "month", "day").parquet(to)

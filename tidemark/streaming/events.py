@@ -68,6 +68,13 @@ def process_stream(spark: SparkSession, lake: str, checkpoint: str) -> Streaming
     return manifests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def finished(query: StreamingQuery) -> None:
+    """Waits for the end of a stream over what is there; its failure is raised."""
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Everything that is there now, through the stream, as a table.
 
@@ -79,9 +86,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     else:
         query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/_batch_of={n}")).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
+    finished(query)
     if mode == "append":
         return spark.read.parquet(path)
     return spark.read.schema(f"{stream._jdf.schema().toDDL()}, _batch_of bigint").parquet(path).withColumnRenamed("_batch_of", "_batch")
