@@ -55,6 +55,7 @@ RARE = 1e-3
 #: Distinct words that a task counts before it passes them on.
 MOST_COUNTED = 1 << 20
 BANDS, ROWS = 9, 4
+LINKS = "a binary, b binary"
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: -ln((i + 1/2) / 65536): draws of sixteen bits.
 LOGS = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
@@ -190,12 +191,20 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def node_of(text: str | Column = "text") -> Column:
-    """What tells distinct texts apart; null counts as the empty text."""
-    return F.xxhash64(text_or_empty(text))
+    """What tells distinct texts apart, a hash of 128 bits; null counts as the empty text."""
+    return F.unhex(F.md5(text_or_empty(text).cast("binary")))
+
+
+def digest(*columns: str | Column) -> Column:
+    """A key of 128 bits for groups of rows."""
+    return F.struct(F.xxhash64(*columns).alias("one"), F.xxhash64(F.lit(1), *columns).alias("two"))
 
 
 def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
-    """(doc_id, node, n_bytes, bands) of each row: node is a hash of the text, bands its keys (none for texts without words)."""
+    """(doc_id, node, load, bands) of each row: node is a hash of the text, bands its keys (none for texts without words).
+
+    load is what a task that compares the text must hold: its bytes, or eight for each shingle.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +217,13 @@ def signatures(docs: DataFrame, idf: Broadcast) -> DataFrame:
                 for i, keys in zip(full, band_keys([sets[i] for i in full]), strict=True):
                     bands[i] = keys.view(np.int64)
             keyed = pa.array([[] if b is None else b for b in bands], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], keyed], ["doc_id", "node", "n_bytes", "bands"])
+            load = np.maximum(batch.column(2).to_numpy(), [8 * len(s[0]) for s in sets])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(load, pa.int64()), keyed], ["doc_id", "node", "load", "bands"])
 
     # Texts without words are told apart by their hash alone: equal ones are copies.
-    size = F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes")
+    size = F.octet_length(text_or_empty("text")).cast("long").alias("load")
     rows = docs.select("doc_id", node_of().alias("node"), size, "text")
-    return rows.mapInArrow(sign, f"doc_id {kind}, node bigint, n_bytes bigint, bands array<bigint>")
+    return rows.mapInArrow(sign, f"doc_id {kind}, node binary, load bigint, bands array<bigint>")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, broadcast_nodes: int) -> DataFrame:
@@ -245,7 +255,7 @@ def _verify_all(rows: pa.Table, idf: WordWeights, threshold: float) -> pa.Table:
                 top[_root(top, j)] = _root(top, i)
                 a.append(nodes[i])
                 b.append(nodes[j])
-    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _verify_apart(rows: pa.Table, idf: WordWeights, threshold: float) -> pa.Table:
@@ -284,7 +294,7 @@ def _verify_apart(rows: pa.Table, idf: WordWeights, threshold: float) -> pa.Tabl
                 label[label == label[j]] = label[i]
                 a.append(nodes[i])
                 b.append(nodes[j])
-    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _verify_block(rows: pa.Table, idf: WordWeights, threshold: float) -> pa.Table:
@@ -294,7 +304,7 @@ def _verify_block(rows: pa.Table, idf: WordWeights, threshold: float) -> pa.Tabl
     lead = roles.index(1)
     leader = weighted_shingles(word_hashes(texts[lead], known), idf)
     linked = [n for n, role, t in zip(nodes, roles, texts, strict=True) if not role and similarity(leader, weighted_shingles(word_hashes(t, known), idf)) >= threshold]
-    return pa.Table.from_arrays([pa.array(linked, pa.int64()), pa.array([nodes[lead]] * len(linked), pa.int64())], ["a", "b"])
+    return pa.Table.from_arrays([pa.array(linked, pa.binary()), pa.array([nodes[lead]] * len(linked), pa.binary())], ["a", "b"])
 
 
 def _links_with(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
@@ -306,18 +316,18 @@ def _links_with(pairs: DataFrame, texts: DataFrame, idf: Broadcast, threshold: f
     members = dealt.select("leader", "block", "node", F.lit(0).alias("role"))
     leaders = dealt.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("node"), F.lit(1).alias("role"))
     rows = members.union(leaders).join(texts, "node")
-    return rows.groupBy("leader", "block").applyInArrow(lambda t: _verify_block(t, idf.value, threshold), "a bigint, b bigint")
+    return rows.groupBy("leader", "block").applyInArrow(lambda t: _verify_block(t, idf.value, threshold), LINKS)
 
 
 def _links_within(shared: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
     """Verified links of all pairs in the buckets of shared (node, band, key).  Buckets of the same texts are one group for all."""
     members = shared.groupBy("band", "key").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members").distinct()
-    whole = members.select(F.xxhash64("members").alias("group"), F.explode("members").alias("node"))
-    return whole.join(texts, "node").groupBy("group").applyInArrow(lambda t: _verify_all(t, idf.value, threshold), "a bigint, b bigint")
+    whole = members.select(digest("members").alias("group"), F.explode("members").alias("node"))
+    return whole.join(texts, "node").groupBy("group").applyInArrow(lambda t: _verify_all(t, idf.value, threshold), LINKS)
 
 
 def _links_between(large: DataFrame, joined: DataFrame, banded: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float, limits: Limits) -> DataFrame:
-    """Verified links of all pairs in the buckets of large (node, n_bytes, band, key) that joined (node, component) leaves apart.
+    """Verified links of all pairs in the buckets of large (node, load, band, key) that joined (node, component) leaves apart.
 
     A component that fills half a block of a bucket is dealt into blocks of its own, the rest
     of the bucket into common ones.  Each two blocks, unless they are of one
@@ -325,16 +335,16 @@ def _links_between(large: DataFrame, joined: DataFrame, banded: DataFrame, texts
     """
     bucket = ["band", "key"]
     component = F.coalesce("component", "node").alias("component")
-    held = large.select("node", "n_bytes", *bucket).join(joined, "node", "left").select("node", "n_bytes", *bucket, component)
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes")]
+    held = large.select("node", "load", *bucket).join(joined, "node", "left").select("node", "load", *bucket, component)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("load").alias("load")]
     sizes = written(held.groupBy(*bucket, "component").agg(*sums), "parts")
 
     # The component's own blocks, or (owner null) the bucket's common ones.
-    owner = F.when(limits.blocks("n", "n_bytes", 2) > 1, F.col("component")).alias("owner")
+    owner = F.when(limits.blocks("n", "load", 2) > 1, F.col("component")).alias("owner")
     apart = sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("components")).where("components > 1").select(*bucket)
-    owned = sizes.join(apart, bucket).select(*bucket, "component", owner, "n", "n_bytes")
-    sets = owned.groupBy(*bucket, "owner").agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
-    sets = written(sets.select(*bucket, "owner", limits.blocks("n", "n_bytes", 2).alias("parts")), "block-sets")
+    owned = sizes.join(apart, bucket).select(*bucket, "component", owner, "n", "load")
+    sets = owned.groupBy(*bucket, "owner").agg(F.sum("n").alias("n"), F.sum("load").alias("load"))
+    sets = written(sets.select(*bucket, "owner", limits.blocks("n", "load", 2).alias("parts")), "block-sets")
     numbered = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda i: F.struct(F.col("owner").alias("owner"), i.alias("number")))
     blocks = sets.groupBy(*bucket).agg(F.flatten(F.collect_list(numbered)).alias("blocks"))
 
@@ -344,11 +354,11 @@ def _links_between(large: DataFrame, joined: DataFrame, banded: DataFrame, texts
     met = F.filter("blocks", lambda x: x["owner"].isNull() | ~x["owner"].eqNullSafe(F.col("mine.owner")))
     pairs = placed.join(blocks, bucket).select("node", *bucket, "component", "mine", F.explode(met).alias("other"))
     one, two = F.to_json("mine"), F.to_json("other")
-    group = F.xxhash64(*bucket, F.least(one, two), F.greatest(one, two)).alias("group")
+    group = digest(*bucket, F.least(one, two), F.greatest(one, two)).alias("group")
     rows = pairs.select(group, "node", "band", "component", F.xxhash64(one).alias("side"), (one != two).alias("cross"))
     # `bands` tell whether two texts met in an earlier band: there they are verified.
     rows = rows.join(texts, "node").join(banded.select("node", "bands"), "node")
-    return rows.groupBy("group").applyInArrow(lambda t: _verify_apart(t, idf.value, threshold), "a bigint, b bigint")
+    return rows.groupBy("group").applyInArrow(lambda t: _verify_apart(t, idf.value, threshold), LINKS)
 
 
 @dataclass(frozen=True)
@@ -357,7 +367,7 @@ class Limits:
 
     #: A bucket of more texts, or of more bytes than a block, has leaders.
     small: int = 64
-    #: Texts and bytes of a block.
+    #: Texts of a block, and their load: the larger of a text's bytes and eight times its shingles.
     block: int = 1024
     block_bytes: int = 8 << 20
     leaders: int = 4
@@ -367,9 +377,9 @@ class Limits:
     def is_large(self) -> Column:
         return (F.col("n") > self.small) | (F.col("bucket_bytes") > self.block_bytes)
 
-    def blocks(self, n: str, n_bytes: str, share: int = 1) -> Column:
-        """Into how many blocks, of 1/share of the full size, so many texts and bytes go."""
-        by_rows, by_bytes = F.ceil(F.col(n) * share / self.block), F.ceil(F.col(n_bytes) * share / self.block_bytes)
+    def blocks(self, n: str, load: str, share: int = 1) -> Column:
+        """Into how many blocks, of 1/share of the full size, so many texts of such a load go."""
+        by_rows, by_bytes = F.ceil(F.col(n) * share / self.block), F.ceil(F.col(load) * share / self.block_bytes)
         return F.greatest(by_rows, by_bytes, F.lit(1)).cast("long")
 
 
@@ -393,9 +403,9 @@ def _classed(docs: DataFrame, threshold: float, limits: Limits) -> DataFrame:
     docs = docs.select("doc_id", "text")
     idf = docs.sparkSession.sparkContext.broadcast(word_weights(docs))
     signed = written(signatures(docs, idf), "signatures")
-    banded = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("n_bytes").alias("n_bytes"))
-    keyed = banded.select("node", "n_bytes", F.posexplode("bands").alias("band", "key"))
-    per = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bucket_bytes")).where("n > 1")
+    banded = signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("load").alias("load"))
+    keyed = banded.select("node", "load", F.posexplode("bands").alias("band", "key"))
+    per = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("bucket_bytes")).where("n > 1")
     shared = written(keyed.join(per, ["band", "key"]), "shared-bands")
     texts = written(_texts(docs, shared, limits.broadcast_nodes), "shared-texts")
     links = written(_links_within(shared.where(~limits.is_large()), texts, idf, threshold), "verified")
