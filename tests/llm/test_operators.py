@@ -401,7 +401,35 @@ def test_long_items_without_their_head_or_tail(length):
     for kind in kinds:
         texts = [" ".join(say(50) + kind(w) + say(30)) for w in items]
         found = {(n, i) for n, i, *_ in decontam.leaks_in(texts, bench)}
-        assert len(found & {(i, i) for i in range(30)}) >= 27
+        assert len(found & {(i, i) for i in range(30)}) >= 29
+
+
+@pytest.mark.parametrize("known", [False, True])
+@pytest.mark.parametrize("lengths", [(5, 5), (6, 14), (15, 59), (45, 45), (90, 90), (120, 120), (170, 170)])
+def test_recall_of_edited_copies(lengths, known):
+    """Each copy has as many edits as are allowed, spread, by words of the benchmark or others; none of them was seen by the tables' making."""
+    rng, gen = random.Random(lengths[1]), np.random.default_rng(lengths[0])
+    say = lambda n: [f"v{rng.randint(0, 2000)}" for _ in range(n)]
+    bench = decontam.prepare([(i, " ".join(say(rng.randint(*lengths)))) for i in range(30)])
+    names = {v: k for k, v in bench.words.items()}
+    texts = []
+    for i in list(range(30)) * 10:
+        item = bench.items[i].astype(np.int64)
+        ids = decontam.edited_spread(item, decontam.edits_allowed(len(item), 0.2), gen, len(names) if known else 0)
+        texts.append((i, " ".join([*say(20), *(names.get(x, f"z{rng.randrange(10**9)}") for x in ids.tolist()), *say(20)])))
+    found = {(n, i) for n, i, *_ in decontam.leaks_in([t for _, t in texts], bench)}
+    assert sum((n, i) in found for n, (i, _) in enumerate(texts)) >= 0.95 * len(texts)
+
+
+def test_the_benchmark_comes_in_blocks(spark):
+    rng = random.Random(6)
+    items = [(i, sentence(rng, 20)) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"{sentence(rng, 9)} {t} {sentence(rng, 9)}", "", "", 0) for i, t in items] + [(90, sentence(rng, 30), "", "", 0), (91, None, "", "", 0), (None, items[0][1], "", "", 0)], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    blocks = decontam.blocks_of(bench, 300)
+    assert next(blocks) and len(list(blocks)) > 2
+    assert {(r.doc_id, r.item_id) for r in decontam.benchmark_leaks(docs, bench, block_bytes=300).collect()} == {*((i, i) for i in range(12)), (None, 0)}
+    assert {r.doc_id for r in decontam.drop_leaks(docs, bench, block_bytes=300).collect()} == {90, 91}
 
 
 def test_searching_by_triples_loses_nothing(monkeypatch):

@@ -13,8 +13,10 @@ benchmark's vocabulary; all other words are 0.
    embedded for each class, in twice as many steps as its items have words.
 3. Each repetition draws its own walk and samples a few steps of it; windows and items
    that agree in all of them are candidates.  Repetitions go on until edited copies of
-   the items themselves, with edits spread, bunched at the head and bunched at the tail,
-   are each found with the wanted recall.  A class that many repetitions don't bring
+   the items themselves, with edits spread (by other words of the benchmark, or by unknown ones),
+   bunched at the head and bunched at the tail, are each found with the wanted recall: first
+   copies that all repetitions are tried on, then copies drawn anew, and for both the lower
+   bound of the recall must be at the goal.  A class that many repetitions don't bring
    there is searched by the q-gram lemma alone, item by item: that loses nothing.
 4. Candidates are verified by the exact edit distance of the item to the best run of
    words around the window.
@@ -25,24 +27,28 @@ Items so short that no edit is allowed (up to four words) are looked up as they
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import free_name, slices, written
 
 WORDS = re.compile(r"\w+").findall
 SAMPLED = 3
 #: A class that needs more repetitions is searched item by item.
 MOST_REPEATS = 48
 #: Edited copies of a class's items that its repetitions are tried on, for each kind of edits.
-TRIALS = 192
+TRIALS = 256
+#: Standard errors between a recall that was found and the bound that is claimed.
+SURE = 2.33
 #: Odd multipliers of the hashes.
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LEAKS = "item_id bigint, item_words int, distance int, similarity double, first_word int, n_words int"
@@ -81,7 +87,7 @@ class SizeClass:
     samples: list[np.ndarray] = field(default_factory=list)
     keys: list[np.ndarray] = field(default_factory=list)
     owners: list[np.ndarray] = field(default_factory=list)
-    #: The least recall of the three kinds of edits, as tried.
+    #: The lower bound of the least recall of all kinds of edits, on copies that hadn't decided anything.
     recall: float = 0.0
     #: If the repetitions don't reach the recall: the items' triples in order, with the items.
     triples: np.ndarray | None = None
@@ -123,27 +129,44 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, turns: np.ndarray, samples:
     return key
 
 
-def edited_spread(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+def _others(n: int, vocabulary: int, rng: np.random.Generator) -> np.ndarray:
+    """n words in place of others: unknown ones (0), or any of the vocabulary, numbers 1 to `vocabulary`."""
+    return rng.integers(1, vocabulary + 1, n) if vocabulary else np.zeros(n, np.int64)
+
+
+def edited_spread(item: np.ndarray, edits: int, rng: np.random.Generator, vocabulary: int = 0) -> np.ndarray:
+    """Words replaced, put in and left out, anywhere."""
     words = item.tolist()
-    for _ in range(edits):
+    for new in _others(edits, vocabulary, rng).tolist():
         at, kind = int(rng.integers(len(words))), int(rng.integers(3))
         if kind == 0:
-            words[at] = 0
+            words[at] = new
         elif kind == 1:
-            words.insert(at, 0)
+            words.insert(at, new)
         elif len(words) > 1:
             del words[at]
     return np.array(words, np.int64)
 
 
-def edited_at_head(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+def edited_at_head(item: np.ndarray, edits: int, rng: np.random.Generator, vocabulary: int = 0) -> np.ndarray:
     """The first words replaced or missing."""
-    return np.concatenate([np.zeros(edits * int(rng.integers(2)), np.int64), item[edits:]])
+    return np.concatenate([_others(edits * int(rng.integers(2)), vocabulary, rng), item[edits:]])
 
 
-def edited_at_tail(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+def edited_at_tail(item: np.ndarray, edits: int, rng: np.random.Generator, vocabulary: int = 0) -> np.ndarray:
     """The last words replaced or missing."""
-    return np.concatenate([item[: len(item) - edits], np.zeros(edits * int(rng.integers(2)), np.int64)])
+    return np.concatenate([item[: len(item) - edits], _others(edits * int(rng.integers(2)), vocabulary, rng)])
+
+
+#: Each kind of edits that must be found: how, and whether by words of the benchmark.
+EDITS = [(edit, known) for edit in (edited_spread, edited_at_head, edited_at_tail) for known in (False, True)]
+
+
+def surely(found: np.ndarray) -> float:
+    """The lower bound of the least recall: found says for each kind and copy whether it was met."""
+    n, p = found.shape[1], float(found.mean(axis=1).min())
+    # Wilson's bound: it stays below 1 where all were found.
+    return (p + SURE**2 / (2 * n) - SURE * (p * (1 - p) / n + SURE**2 / (4 * n * n)) ** 0.5) / (1 + SURE**2 / n)
 
 
 def prepare(rows: list[tuple], *, share: float = 0.2, recall: float = 0.95, seed: int = 5) -> Benchmark:
@@ -180,17 +203,37 @@ def _laid(texts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([pad, *(x for t in texts for x in (t, pad))]), starts.astype(np.int64)
 
 
-def _size_class(inside: list[int], items: list[np.ndarray], hashes: np.ndarray, share: float, recall: float, rng: np.random.Generator) -> SizeClass:
-    out, steps = SizeClass(inside), 2 * len(items[inside[0]])
-    widest = edits_allowed(len(items[inside[-1]]), share)
-    originals, at = _laid([items[i] for i in inside], steps)
-    # Items evenly over the class, each as often as TRIALS lets.
+@dataclass
+class Trial:
+    """Edited copies of a class's items, laid one after another, and which of them have been met."""
+
+    tried: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    found: np.ndarray
+
+    def meet(self, keys: np.ndarray, turns: np.ndarray, samples: np.ndarray) -> None:
+        """Takes a repetition in: keys are those of the class's items in it."""
+        met = walk_keys(self.words, self.starts, turns, samples).reshape(len(EDITS), len(self.tried), -1) == keys[self.tried][None, :, None]
+        self.found |= met.any(axis=2)
+
+
+def _trial(inside: list[int], items: list[np.ndarray], hashes: np.ndarray, share: float, rng: np.random.Generator) -> Trial:
+    """Copies with as many edits as are allowed: items evenly over the class, each as often as TRIALS lets."""
+    widest, steps = edits_allowed(len(items[inside[-1]]), share), 2 * len(items[inside[0]])
     tried = np.linspace(0, len(inside) - 1, TRIALS).round().astype(np.int64)
-    copies = [edit(items[inside[k]], edits_allowed(len(items[inside[k]]), share), rng) for edit in (edited_spread, edited_at_head, edited_at_tail) for k in tried]
+    vocabulary = len(hashes) - 1
+    copies = [edit(items[inside[k]], edits_allowed(len(items[inside[k]]), share), rng, vocabulary if known else 0) for edit, known in EDITS for k in tried]
     edited, begins = _laid(copies, steps + widest)
     starts = (begins[:, None] + np.arange(-widest, widest + 1)).ravel()
-    original_words, edited_words = hashes[originals], hashes[edited]
-    found = np.zeros((3, len(tried)), bool)
+    return Trial(tried, hashes[edited], starts, np.zeros((len(EDITS), len(tried)), bool))
+
+
+def _size_class(inside: list[int], items: list[np.ndarray], hashes: np.ndarray, share: float, recall: float, rng: np.random.Generator) -> SizeClass:
+    out, steps = SizeClass(inside), 2 * len(items[inside[0]])
+    originals, at = _laid([items[i] for i in inside], steps)
+    original_words = hashes[originals]
+    trial, every = _trial(inside, items, hashes, share, rng), []
     for _ in range(MOST_REPEATS):
         turns = rng.integers(0, 1 << 64, steps, dtype=np.uint64) | np.uint64(1)
         samples = np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False))
@@ -200,11 +243,16 @@ def _size_class(inside: list[int], items: list[np.ndarray], hashes: np.ndarray,
         out.samples.append(samples)
         out.keys.append(keys[by_key])
         out.owners.append(np.asarray(inside)[by_key])
-        met = walk_keys(edited_words, starts, turns, samples).reshape(3, len(tried), -1) == keys[tried][None, :, None]
-        found |= met.any(axis=2)
-        out.recall = float(found.mean(axis=1).min())
-        if out.recall >= recall:
-            return out
+        every.append((keys, turns, samples))
+        trial.meet(*every[-1])
+        if surely(trial.found) >= recall:
+            # These copies have decided when to stop: others judge, and are what the next repetitions are tried on.
+            trial = _trial(inside, items, hashes, share, rng)
+            for repetition in every:
+                trial.meet(*repetition)
+            out.recall = surely(trial.found)
+            if out.recall >= recall:
+                return out
     pairs = np.unique(np.concatenate([np.stack([triple_keys(items[i]), np.full(len(items[i]) - 2, i, np.uint64)]) for i in inside], axis=1), axis=1)
     out.triples, out.triple_owners, out.recall = pairs[0], pairs[1].astype(np.int64), 1.0
     return out
@@ -332,18 +380,50 @@ def _verify(bench: Benchmark, begins: list[int], cell: tuple[int, int, int, int]
         best[text, i] = distance, first + a, first + b
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    """The items in blocks of about block_bytes of text, each to be broadcast by itself."""
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+    """The items in blocks of about block_bytes of text, one after another: the driver holds one at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    if n == 1:
-        return [sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))]
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [sorted(map(tuple, rows.where(part == b).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")) for b in range(n)]
+    for b in range(n):
+        yield sorted(map(tuple, (rows if n == 1 else rows.where(part == b)).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def _leaks_of(docs: DataFrame, bench: Benchmark) -> tuple[DataFrame, Broadcast]:
+    """The leaks of a block's items, and what was sent to the tasks for it."""
+    sent, kind = docs.sparkSession.sparkContext.broadcast(bench), docs.schema["doc_id"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 1 << 20):
+            found = list(leaks_in(batch.column(1).to_pylist(), sent.value))
+            if found:
+                n, *columns = zip(*found, strict=True)
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(n)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *(c.split()[0] for c in LEAKS.split(", "))])
+
+    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, {LEAKS}"), sent
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.2, recall: float = 0.95, block_bytes: int = 16 << 20) -> DataFrame:
+def _by_block(docs: DataFrame, benchmark: DataFrame, share: float, recall: float, block_bytes: int, step: Callable[[DataFrame, Benchmark], tuple[DataFrame, Broadcast]]) -> Iterator[DataFrame]:
+    """step's rows for each block of the benchmark.
+
+    Of several blocks each one's rows are written before the next is made, and what was sent for it is given up: neither
+    the driver nor a task ever holds two.
+    """
+    blocks = blocks_of(benchmark, block_bytes)
+    rows, following = next(blocks), next(blocks, None)
+    if following is None:
+        yield step(docs, prepare(rows, share=share, recall=recall))[0]
+        return
+    while rows is not None:
+        found, sent = step(docs, prepare(rows, share=share, recall=recall))
+        yield written(found, "leaks")
+        sent.destroy()
+        rows, following = following, next(blocks, None)
+
+
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.2, recall: float = 0.95, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each document and item that it leaks: doc_id, item_id and where.
 
     first_word and n_words give the run of words (of letters, digits and underscores,
@@ -351,30 +431,33 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.2
     empty texts leak nothing, items without words are never leaked, and items of up to four
     words are leaked by the same words only.  Null ids stay null; repeated rows are
     reported each.  The benchmark is taken in blocks of
-    block_bytes, each broadcast; documents aren't shuffled.
+    block_bytes, each broadcast with its tables, some six times as large; documents aren't shuffled, and
+    are read once for each block.
     """
-    out, kind = None, docs.schema["doc_id"].dataType.simpleString()
-    for rows in blocks_of(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(prepare(rows, share=share, recall=recall))
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 1, 1 << 20):
-                found = list(leaks_in(batch.column(1).to_pylist(), sent.value))
-                if found:
-                    n, *columns = zip(*found, strict=True)
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(n)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *(c.split()[0] for c in LEAKS.split(", "))])
-
-        leaks = docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, {LEAKS}")
-        out = leaks if out is None else out.unionByName(leaks)
-    return out
+    return reduce(DataFrame.unionByName, _by_block(docs, benchmark, share, recall, block_bytes, _leaks_of))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.2, recall: float = 0.95, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.2, recall: float = 0.95, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of docs that leak no item, with all their columns."""
-    for rows in blocks_of(benchmark, block_bytes):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(prepare(rows, share=share, recall=recall)))("text"))
-    return docs
+
+    def kept(rows: DataFrame, bench: Benchmark) -> tuple[DataFrame, Broadcast]:
+        sent = rows.sparkSession.sparkContext.broadcast(bench)
+        return rows.where(_clean(sent)("text")), sent
+
+    def leaking(rows: DataFrame, bench: Benchmark) -> tuple[DataFrame, Broadcast]:
+        sent = rows.sparkSession.sparkContext.broadcast(bench)
+        marks = rows.where(~_clean(sent)("text")).select(*(c.alias(n) for c, n in zip(mark, names, strict=True)))
+        return marks, sent
+
+    # A document's text alone says whether it leaks: its hash of 128 bits stands for it.
+    names = [free_name(docs, "leak_one"), free_name(docs, "leak_two")]
+    mark = [F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])]
+    blocks = blocks_of(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return kept(docs, prepare(first, share=share, recall=recall))[0]
+    found = reduce(DataFrame.unionByName, _by_block(docs, benchmark, share, recall, block_bytes, leaking)).distinct()
+    return docs.join(found, (mark[0] == found[names[0]]) & (mark[1] == found[names[1]]), "left_anti")
 
 
 def _clean(sent):
