@@ -199,39 +199,56 @@ def test_mix_takes_the_quotas(docs):
         assert sum(p.n_words for p in r.pieces) == r.taken
     assert target == pytest.approx(mixing.targets(dict(sizes)))
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
-    by_shard = Counter()
-    for r in rows:
-        for p in r.pieces:
-            by_shard[p.shard] += p.n_words
-    assert max(by_shard.values()) - min(by_shard.values()) <= 1
 
 
-def test_shards_get_what_the_tree_deals(docs):
+@pytest.mark.parametrize("block", [1, 40, 10**6])
+def test_shards_get_what_the_tree_deals(docs, block):
     shards, seed = 5, 23
-    rows = mixing.mix(docs, shards=shards, seed=seed).collect()
+    rows = mixing.mix(docs, shards=shards, seed=seed, block_words=block).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes: Counter = Counter()
     for r in rows:
         sizes[r.source] += size(r.text)
     goal = mixing.targets(dict(sizes))
-    dealt = mixing.deal_blocks([round(t) for t in goal.values()], shards, seed)
-    got = Counter()
+    blocks = [-(-round(t) // block) for t in goal.values()]
+    dealt = mixing.deal_blocks(blocks, shards, seed)
+    owner, words = {}, Counter()
     for r in rows:
+        assert len({p["pass"] for p in r.pieces}) == len(r.pieces) <= 2
         for p in r.pieces:
-            got[p.shard, r.source] += p.n_words
-    assert {(k, s): int(dealt[k, i]) for k in range(shards) for i, s in enumerate(goal) if dealt[k, i]} == dict(got)
-    # Nothing is taken twice in a pass, and a shard's order is a shuffled one.
-    for r in rows:
-        for p in {p["pass"] for p in r.pieces}:
-            cut = sorted((x.first_word, x.n_words) for x in r.pieces if x["pass"] == p)
-            assert all(a + n == b for (a, n), (b, _) in zip(cut, cut[1:]))
-    first = sorted((p.local_order, r.doc_id) for r in rows for p in r.pieces if p.shard == 0 and r.doc_id is not None)
-    order = [i for _, i in first]
-    assert order != sorted(order)
+            assert owner.setdefault((r.source, p.block), p.shard) == p.shard, "a block has one shard"
+            words[r.source, p.block] += p.n_words
+    longest = max(size(r.text) for r in rows)
+    assert all(n < block + longest for n in words.values())
+    for i, s in enumerate(goal):
+        mine = Counter(k for (source, _), k in owner.items() if source == s)
+        assert all(b < blocks[i] for source, b in owner if source == s) and all(mine[k] <= dealt[k, i] for k in range(shards))
+        if block == 40 and blocks[i] > 60:  # drawn from all over the line
+            first = sorted(b for (source, b), k in owner.items() if source == s and k == 0)
+            assert first != list(range(first[0], first[0] + len(first)))
+    if block == 1:
+        order = [i for _, i in sorted((p.local_order, r.doc_id) for r in rows for p in r.pieces if p.shard == 0 and r.doc_id is not None)]
+        assert order != sorted(order)
+
+
+def test_blocks_are_permuted():
+    for q in mixing.quotas({"a": 1000, "b": 77, "c": 0}, {"a": 1000.0, "b": 77.0, "c": 0.0}, 4, 3, block_words=7):
+        assert sorted((q.factor * b + q.shift) % q.blocks for b in range(q.blocks)) == list(range(q.blocks)) and q.ends[-1] == -(-q.words // 7)
+
+
+def test_the_mix_does_not_depend_on_the_cut_of_its_input(spark):
+    same = spark.range(6000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("copy "), (F.col("id") % 2).cast("string")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
+    rest = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")), F.lit("s1"))
+    docs, took, places = same.union(rest), [], []
+    for cut in (3, 7):
+        rows = docs.repartition(cut)
+        took.append(sorted(((r.doc_id, r.source, r.taken, len(r.pieces)) for r in mixing.mix(rows, block_words=50).collect()), key=key))
+        places.append(sorted(((r.doc_id, r.text, r.shard, r.slot) for r in sharding.shard_rows(rows, 7).collect()), key=key))
+    assert took[0] == took[1] and places[0] == places[1]
 
 
 def test_mixed_documents_are_whole(docs, empty):
-    mixed = mixing.mix(docs, shards=5, whole=True)
+    mixed = mixing.mix(docs, shards=5, whole=True, block_words=20)
     rows, out = mixed.collect(), mixing.mixed_documents(mixed).collect()
     assert {r.text for r in out} <= {r.text for r in docs.collect()} and set(docs.columns) <= set(mixing.mixed_documents(mixed).columns)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -256,13 +273,9 @@ def test_many_sources_are_mixed_alike(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
     monkeypatch.setattr(mixing, "GROUPS", 4)
     for whole in (False, True):
-        many = mixing.mix(docs, shards=5, whole=whole).collect()
+        many = mixing.mix(docs, shards=5, whole=whole, block_words=9).collect()
         assert takes(many) == takes(few[whole])
-        by_shard = Counter()
-        for r in many:
-            for p in r.pieces:
-                by_shard[p.shard] += p.n_words
-        assert set(by_shard) == set(range(5)) and (whole or max(by_shard.values()) - min(by_shard.values()) <= 1)
+        assert {p.shard for r in many for p in r.pieces} == set(range(5))
         assert all(sum(p.n_words for p in r.pieces) == r.taken for r in many)
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words as the contracts count them: runs of anything but ASCII white space.
@@ -58,13 +58,32 @@ def root_buckets(rows: int) -> int:
     return max(1, math.isqrt(max(0, rows - 1)) + 1)
 
 
+def numbered(rows: DataFrame, order: list[str], number: str) -> DataFrame:
+    """rows with their place in the order of some columns, from 0, written.
+
+    Rows that are equal in all columns can stand for each other, and are dealt to several tasks; so what has which number doesn't
+    depend on how the input is cut.  Columns that have no hash (maps, variants) don't count.
+    """
+    whole, salt, at, task, before = (free_name(rows, f"_tidemark_{x}") for x in ("whole", "salt", "at", "task", "before"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind))
+    marked = rows.withColumns({whole: hashed, salt: F.pmod(F.monotonically_increasing_id(), F.lit(1024))})
+    by = [*order, whole, salt]
+    # A task's rows in order, and its own place among the tasks: the id has both.
+    placed = written(marked.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()).drop(whole, salt), "numbered")
+    task_of, place = F.shiftright(F.col(at), 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(task_of.alias(task)).agg(F.count(F.lit(1)).alias("n"))  # one row for each task
+    earlier = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(task, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    return placed.join(F.broadcast(firsts), task_of == F.col(task)).withColumn(number, F.col(before) + place).drop(at, task, before)
+
+
 def scattered(docs: DataFrame, key: list[Column], buckets: int, seed: int, bucket: str, order: str) -> tuple[DataFrame, DataFrame]:
     """docs with the columns bucket (0 to buckets - 1) and order, both hashes of key, and a table (bucket, n) of the buckets' rows.
 
     Rows that share a key share a bucket.  Only where a bucket has far more rows than it
     should are the keys of its rows counted; rows of a key that would fill a bucket alone
-    are written once, with the bucket that a number of the row draws, so that every
-    later reading finds them in the same one.
+    are numbered, and the number draws the bucket: the same for every run and every cut of the input.
     """
     rows = docs.select("*", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).alias(bucket), F.xxhash64(F.lit(seed + 1), *key).alias(order))
     count_of = lambda df: written(df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")), "buckets")
@@ -75,8 +94,9 @@ def scattered(docs: DataFrame, key: list[Column], buckets: int, seed: int, bucke
     # At most rows / buckets of them, about as many as buckets.
     keys = rows.select(bucket, order).join(F.broadcast(full), bucket).groupBy(order).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > buckets)
     keys = F.broadcast(written(keys.select(order), "hot-keys"))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), order, F.monotonically_increasing_id()), F.lit(buckets))
-    hot = written(rows.join(keys, order).withColumn(bucket, drawn), "hot-rows")
+    number = free_name(rows, "_tidemark_number")
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(order), F.col(number)), F.lit(buckets))
+    hot = numbered(rows.join(keys, order), [order], number).withColumn(bucket, drawn).drop(number)
     spread = rows.join(keys, order, "left_anti").unionByName(hot)
     return spread, count_of(spread)
 

@@ -1,13 +1,14 @@
 """Mixing sources to target weights, in DataFrame operations alone.
 
 The documents of a source, in a seeded random order, form one line of words, which is cut
-into blocks of equal numbers of words: permuted blocks.  The mix takes the first blocks of
-the line, as many as the source's quota; a quota above the source's size goes on to a
+into blocks of equal numbers of words.  A document belongs to the block in which it begins.
+The mix takes the line up to the source's quota; a quota above the source's size goes on to a
 second pass of the line.  A splitting tree deals the blocks to output shards: at
 each node a multivariate hypergeometric draw says how many blocks of each source go
 to the left half of the shards, so that each shard gets its exact number of blocks and
-the numbers are those of a random deal.  Each shard draws the next so many blocks of every
-source's line, disjoint from all others', and shuffles what it got by a hash.
+the numbers are those of a random deal.  The blocks' numbers are permuted (b becomes (a b + c) modulo
+their number, with a seeded a that is prime to it), and each shard draws the next so many of every
+source's permuted blocks, disjoint from all others', and shuffles the documents that it got by a hash.
 
 So the quotas alone decide what is taken, and the tree decides who gets it.  Only the
 sources' totals reach the driver, which draws the tree.  If there are too many sources for
@@ -18,6 +19,7 @@ sources: the words that the mix takes of a group's sources, one source after ano
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +40,14 @@ class SourceQuota:
     source: str | None
     size: int
     target: float
-    #: For each shard, the word of the source's line before which its interval ends.
+    #: Words that the mix takes, words of a block, and the blocks' number.
+    words: int
+    block: int
+    blocks: int
+    #: The permutation of the blocks: b goes to (factor * b + shift) modulo their number.
+    factor: int
+    shift: int
+    #: For each shard, the permuted block before which its interval ends.
     ends: list[int]
 
 
@@ -93,27 +102,37 @@ def deal_blocks(blocks: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def quotas(sizes: dict[str | None, int], goal: dict[str | None, float], shards: int, seed: int) -> list[SourceQuota]:
+def quotas(sizes: dict[str | None, int], goal: dict[str | None, float], shards: int, seed: int, block_words: int = 1) -> list[SourceQuota]:
     words = [round(t) for t in goal.values()]
-    block = max(1, -(-sum(words) // MOST_BLOCKS))
-    dealt = deal_blocks([-(-w // block) for w in words], shards, seed)
-    ends = np.cumsum(dealt, axis=0) * block
-    return [SourceQuota(s, sizes[s], t, np.minimum(ends[:, i], words[i]).tolist()) for i, (s, t) in enumerate(goal.items())]
+    block = max(block_words, -(-sum(words) // MOST_BLOCKS))
+    blocks = [-(-w // block) for w in words]
+    ends = np.cumsum(deal_blocks(blocks, shards, seed), axis=0)
+    rng, out = np.random.Generator(np.random.PCG64(seed + 1)), []
+    for i, (source, target) in enumerate(goal.items()):
+        n = max(1, blocks[i])
+        factor = int(rng.integers(1, n + 1))
+        while math.gcd(factor, n) > 1:
+            factor = int(rng.integers(1, n + 1))
+        out.append(SourceQuota(source, sizes[source], target, words[i], block, n, factor % n, int(rng.integers(n)), ends[:, i].tolist()))
+    return out
+
+
+_DEAL = ("block", "blocks", "factor", "shift", "ends")
 
 
 def _table(spark: SparkSession, rows: list[SourceQuota]) -> DataFrame:
     """The quotas as a DataFrame made of a literal: one row for each source.
 
     s numbers the sources, quota says how many words of it the mix takes, offset where
-    they begin in the line of the source's group (here each source is one), ends where the shards end in it.
+    they begin in the line of the source's group (here each source is one); the others say how the line's blocks are dealt.
     """
-    text = json.dumps([{"s": i, "source": q.source, "source_size": q.size, "target": q.target, "ends": [0, *q.ends]} for i, q in enumerate(rows)])
-    kind = "array<struct<s:int,source:string,source_size:bigint,target:double,ends:array<bigint>>>"
+    text = json.dumps([{"s": i, "source": q.source, "source_size": q.size, "target": q.target, "quota": q.words, **{c: getattr(q, c) for c in _DEAL}} for i, q in enumerate(rows)])
+    kind = "array<struct<s:int,source:string,source_size:bigint,target:double,quota:bigint,block:bigint,blocks:bigint,factor:bigint,shift:bigint,ends:array<bigint>>>"
     listed = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
-    return listed.select("s", F.col("source").alias("_tidemark_source"), "source_size", "target", F.element_at("ends", -1).alias("quota"), F.lit(0).cast("long").alias("offset"), "ends")
+    return listed.select("s", F.col("source").alias("_tidemark_source"), "source_size", "target", "quota", F.lit(0).cast("long").alias("offset"), *_DEAL)
 
 
-def _grouped_table(totals: DataFrame, shards: int, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+def _grouped_table(totals: DataFrame, shards: int, weights: tuple[float, ...], share: float, most: float, seed: int, block_words: int) -> DataFrame:
     """What `_table` gives, for any number of sources, from totals (_tidemark_source, bucket, words)."""
     source = F.col("_tidemark_source")
     sized = totals.groupBy(source).agg(F.sum("words").cast("long").alias("source_size"))
@@ -141,21 +160,22 @@ def _grouped_table(totals: DataFrame, shards: int, weights: tuple[float, ...], s
     earlier = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     placed = written(aimed.withColumn("offset", F.coalesce(F.sum("quota").over(earlier), F.lit(0))), "mix-quotas")
     lines = {r.g: r.words for r in placed.groupBy("g").agg(F.sum("quota").alias("words")).orderBy("g").collect()}
-    groups = quotas({str(g): w for g, w in lines.items()}, {str(g): float(w) for g, w in lines.items()}, shards, seed)
-    ends = _table(totals.sparkSession, groups).select(F.col("_tidemark_source").cast("int").alias("g"), "ends")
-    return placed.join(F.broadcast(ends), "g").select("s", source, "source_size", "target", "quota", "offset", "ends")
+    groups = quotas({str(g): w for g, w in lines.items()}, {str(g): float(w) for g, w in lines.items()}, shards, seed, block_words)
+    deal = _table(totals.sparkSession, groups).select(F.col("_tidemark_source").cast("int").alias("g"), *_DEAL)
+    return placed.join(F.broadcast(deal), "g").select("s", source, "source_size", "target", "quota", "offset", *_DEAL)
 
 
-def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 23, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 23, block_words: int = 4096, whole: bool = False) -> DataFrame:
     """docs with source_size, target, taken and pieces, one row for each of its rows.
 
     size: a column that holds the words of each row; without it they are counted in
-    text.  pieces is an array of (pass, shard, first_word, n_words, local_order): what the mix
-    takes of the document, for which shard, and a hash whose order is the shard's shuffled
-    one; `taken` is the sum of words.  Quotas are met to the word: where a shard or the quota
-    ends, a document is taken in part.  With `whole` documents are taken whole or not at
-    all: that at which a quota ends if half of it or more is within.  Documents without words and null texts give none.  A null
-    source is a source.  Reruns take the same: the order is a hash of doc_id and size,
+    text.  pieces is an array of (pass, shard, block, n_words, local_order): how often the mix
+    takes the document, for which shard and in which block of its source's line, and a hash whose order is the shard's shuffled
+    one; `taken` is the sum of words.  Quotas are met to the word: of the document at which one
+    ends the first words are taken.  With `whole` documents are taken whole or not at
+    all: that one if half of it or more is within.  Blocks have block_words words, or more
+    where there would be more than 2^29.  Documents without words and null texts give none.  A null
+    source is a source.  Reruns take the same, however the input is cut into tasks: the order is a hash of doc_id and size,
     and rows that share both can stand for each other.  Columns of docs with the names
     of new ones are replaced.  Empty tables give empty results.
     """
@@ -168,10 +188,10 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
     totals = written(rows.groupBy(F.col("source").alias("_tidemark_source"), F.col("_tidemark_bucket").alias("bucket")).agg(F.sum("_tidemark_size").alias("words")), "mix-totals")
     found = totals.groupBy("_tidemark_source").agg(F.sum("words").alias("words")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
-        dealt = written(_grouped_table(totals, shards, weights, share, most, seed), "mix-dealt")
+        dealt = written(_grouped_table(totals, shards, weights, share, most, seed, block_words), "mix-dealt")
     else:
         sizes = {r[0]: r[1] for r in found}
-        dealt = F.broadcast(_table(spark, quotas(sizes, targets(sizes, weights, share, most), shards, seed)))  # one row a source, at most MOST_SOURCES
+        dealt = F.broadcast(_table(spark, quotas(sizes, targets(sizes, weights, share, most), shards, seed, block_words)))  # one row a source, at most MOST_SOURCES
 
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -184,34 +204,22 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
         .drop("_tidemark_source")
         .withColumn("_tidemark_words", F.coalesce(F.sum("_tidemark_size").over(inside), F.lit(0)))
         .join(starts, ["_tidemark_s", "_tidemark_bucket"])
-        .join(dealt.select(F.col("s").alias("_tidemark_s"), "source_size", "target", F.col("quota").alias("_tidemark_quota"), F.col("offset").alias("_tidemark_offset"), F.col("ends").alias("_tidemark_group_ends")), "_tidemark_s")
+        .join(dealt.select(F.col("s").alias("_tidemark_s"), "source_size", "target", F.col("quota").alias("_tidemark_quota"), F.col("offset").alias("_tidemark_offset"), *(F.col(c).alias(f"_tidemark_{c}") for c in _DEAL)), "_tidemark_s")
     )
     start, end_of = F.col("_tidemark_start") + F.col("_tidemark_words"), F.col("_tidemark_quota")
-    ends = F.transform("_tidemark_group_ends", lambda e: F.least(F.greatest(e - F.col("_tidemark_offset"), F.lit(0).cast("long")), end_of))
     passes = F.when((F.col("_tidemark_size") > 0) & (end_of > 0), F.sequence(F.lit(0), F.ceil(end_of / F.col("source_size")).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
-    def local_order(p: Column, first_word: Column) -> Column:
-        return F.xxhash64(F.lit(seed + 2), p, F.col("doc_id"), F.col("_tidemark_size"), first_word).alias("local_order")
-
-    def cut_at_shards(p: Column) -> Column:
-        first = start + p * F.col("source_size")
-
-        def of_shard(k: Column) -> Column:
-            begin, end = F.greatest(first, F.get("_tidemark_ends", k - 1)), F.least(first + F.col("_tidemark_size"), F.get("_tidemark_ends", k))
-            return F.struct(p.alias("pass"), (k - 1).alias("shard"), (begin - first).alias("first_word"), (end - begin).alias("n_words"), local_order(p, begin - first))
-
-        return F.filter(F.transform(F.sequence(F.lit(1), F.lit(shards)), of_shard), lambda x: x["n_words"] > 0)
-
-    def of_first_word(p: Column) -> Column:
+    def piece(p: Column) -> Column:
         first = start + p * F.col("source_size")
-        zero = F.lit(0).cast("long")
-        shard = F.size(F.filter(F.slice("_tidemark_ends", F.lit(2), F.lit(shards - 1)), lambda e: e <= first)) if shards > 1 else F.lit(0)
-        piece = F.struct(p.alias("pass"), shard.cast("int").alias("shard"), zero.alias("first_word"), F.col("_tidemark_size").alias("n_words"), local_order(p, zero))
-        within = (end_of - first) * 2 >= F.col("_tidemark_size")
-        return F.filter(F.array(piece), lambda x: within)
-
-    lined = lined.withColumn("_tidemark_ends", ends)
-    pieces = F.flatten(F.transform(passes, of_first_word if whole else cut_at_shards)).alias("pieces")
+        block = F.floor((F.col("_tidemark_offset") + first) / F.col("_tidemark_block"))
+        place = F.pmod(F.col("_tidemark_factor") * block + F.col("_tidemark_shift"), F.col("_tidemark_blocks"))
+        shard = F.size(F.filter(F.slice("_tidemark_ends", F.lit(1), F.lit(shards - 1)), lambda e: e <= place)) if shards > 1 else F.lit(0)
+        words = F.col("_tidemark_size") if whole else F.least(F.col("_tidemark_size"), end_of - first)
+        order = F.xxhash64(F.lit(seed + 2), p, F.col("doc_id"), F.col("_tidemark_size"))
+        within = (end_of - first) * 2 >= F.col("_tidemark_size") if whole else words > 0
+        return F.when(within, F.struct(p.alias("pass"), shard.cast("int").alias("shard"), block.alias("block"), words.alias("n_words"), order.alias("local_order")))
+
+    pieces = F.filter(F.transform(passes, piece), lambda x: x.isNotNull()).alias("pieces")
     return lined.select(*(F.col(f"`{c}`") for c in own), "source_size", "target", pieces).select(
         "*", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n_words"]).alias("taken")
     )
@@ -219,4 +227,4 @@ def mix(docs: DataFrame, *, size: str | None = None, shards: int = 24, weights:
 
 def mixed_documents(mixed: DataFrame) -> DataFrame:
     """The mix as documents: one row for each time that `mix(whole=True)` takes a document, with docs' columns and the shard and local_order of the row."""
-    return mixed.select("*", F.inline("pieces")).drop("source_size", "target", "taken", "pieces", "pass", "first_word", "n_words")
+    return mixed.select("*", F.inline("pieces")).drop("source_size", "target", "taken", "pieces", "pass", "block", "n_words")

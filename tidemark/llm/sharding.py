@@ -47,8 +47,7 @@ def shard_rows(docs: DataFrame, shards: int, *, seed: int = 17, key: tuple[str,
     columns, which should tell rows apart: null ids are as good as others, and
     equal rows are kept, each in a slot of its own.  Columns of docs with the new names
     are replaced.  Empty tables give empty results.  Reruns give the same rows the same
-    places; equal rows can stand for each other, and where thousands of them are dealt to
-    several buckets, the places of all rows depend on how the input is cut into tasks.
+    places, however the input is cut into tasks; rows of one key can stand for each other.
     """
     n = docs.count()
     buckets = root_buckets(n)
