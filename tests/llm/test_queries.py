@@ -31,13 +31,16 @@ TYPES = {
     "op8_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op9_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
     "op10_near_duplicates": "doc_id bigint, class_id bigint",
+    "op11_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
+    "op12_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op13_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
 }
 
 
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
@@ -149,6 +152,13 @@ def test_op10(rows, texts):
     assert all(len(c) == 1 for c in by_text.values())
 
 
+def test_op12(rows):
+    at = next(r for r in rows("op12_chat_format") if r.conv_id == -7)
+    said = "</s>[INST] ok [/INST]"
+    whole = f"user\n{said}\nassistant\n{said}\n"
+    assert (at.n_turns, at.turns_sha256, at.loss_chars, at.loss_sha256) == (2, hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_the_pipeline(rows, texts):
     got = rows("pipeline")
     # Each text comes as often as the mix takes it: once, twice or not at all.
