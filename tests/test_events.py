@@ -1,6 +1,7 @@
 """Pipeline events in batch and as streams."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -67,6 +68,64 @@ def test_traces_of_two_streams(spark, tmp_path):
     assert [(r.request_event_id, r.ingested_at) for r in out.where("for_request is not null").collect()] == [("a", T0 + timedelta(hours=3))]
 
 
+def test_traces_of_three_streams(spark, tmp_path):
+    hours = lambda h: T0 + timedelta(hours=h)
+    kinds = {
+        "asked": ("request_event_id string, requested_at timestamp", [("whole", hours(0)), ("alone", hours(0)), ("half", hours(1)), ("late", hours(0)), ("open", hours(99))]),
+        "ingested": ("ingestion_event_id string, for_request string, ingested_at timestamp", [("i1", "whole", hours(4)), ("i2", "half", hours(2)), ("i3", "late", hours(11)), ("x", "none", hours(100))]),
+        "processed": ("processing_event_id string, for_ingestion string, processed_at timestamp", [("p1", "i1", hours(9)), ("p2", "i2", hours(20)), ("y", "none", hours(100))]),
+    }
+    streams = []
+    for name, (schema, rows) in kinds.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        streams.append(spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}"))
+    traced = S.pipeline_trace_stream(*streams, within="10 hours", late="1 hour")
+    rows = S.run_to_table(traced, f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    # The ingestion that came too late isn't joined, nor is such a processing; what isn't over yet waits.
+    assert {(r.request_event_id, r.ingestion_event_id, r.processing_event_id) for r in rows} == {("whole", "i1", "p1"), ("alone", None, None), ("half", "i2", None), ("late", None, None)}
+    assert next(r for r in rows if r.request_event_id == "whole").processed_at == hours(9)
+
+
+STATE = ["request_id", "attempts", "first_failed_at", "last_failed_at", "last_error_type", "last_error_message"]
+
+
+def test_retry_states_of_outcomes_in_any_order(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(f"r{rng.randint(0, 12)}", T0 + timedelta(minutes=rng.randint(0, 60)), rng.random() < 0.2, rng.choice(["E", "F", None]), rng.choice(["m", None])) for _ in range(250)]
+    schema = outcomes(spark).schema
+    for i in range(5):
+        spark.createDataFrame(rows[i * 50 : (i + 1) * 50], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    table = S.run_to_table(S.retry_states(stream, late="2 hours"), f"{tmp_path}/out", f"{tmp_path}/state", "update", rocksdb=True).cache()
+    want = {r.request_id: tuple(r) for r in E.dead_letter_split(E.retry_state(spark.createDataFrame(rows, schema))).select(*STATE, "route").collect()}
+    last = table.groupBy("request_id").agg(F.max_by(F.struct(*STATE[1:], "route"), "_batch").alias("s")).select("request_id", "s.*")
+    assert {r.request_id: tuple(r) for r in last.collect() if r.attempts} == want
+    assert table.select("_batch").distinct().count() == 5
+    # A dead letter comes once for each time that a request goes over the limit.
+    gone = {(r.request_id, r.last_failed_at) for r in S.dead_letters(table).collect()}
+    over, was = set(), {}
+    for r in table.orderBy("request_id", "_batch").collect():
+        if r.attempts >= 3 and was.get(r.request_id, 0) < 3:
+            over.add((r.request_id, r.last_failed_at))
+        was[r.request_id] = r.attempts
+    assert gone == over and over
+
+
+def test_states_below_the_watermark_are_summed_up_or_given_up(spark, tmp_path):
+    batches = [[("a", 1, False), ("a", 2, False), ("b", 1, True), ("c", 1, False)], [("z", 50, True)], [("z", 60, True), ("a", 61, False)], [("c", 70, True)], [("z", 200, True)], [("z", 201, True)]]
+    schema = outcomes(spark).schema
+    for rows in batches:
+        said = [(r, T0 + timedelta(hours=h), ok, f"E{h}", None) for r, h, ok in rows]
+        spark.createDataFrame(said, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    table = S.run_to_table(S.retry_states(stream, late="1 hour"), f"{tmp_path}/out", f"{tmp_path}/state", "update", rocksdb=True)
+    said = {(r.request_id, r._batch): (r.attempts, r.route) for r in table.collect()}
+    assert said["a", 0] == (2, "pending") and said["a", 2] == (3, "dead-letter") and said["c", 0] == (1, "pending") and said["c", 3] == (0, "cleared")
+    assert table.where("request_id = 'a' and _batch = 2").first().first_failed_at == T0 + timedelta(hours=1)
+    kept = lambda name: {r.key.request_id for r in spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/state").select("key").collect()}
+    assert kept("old") == {"a"} and "b" not in kept("cleared") and "c" not in kept("cleared")
+
+
 def test_decoding_one_type_only(spark):
     lines = [line(1), line(2, "ingestion.completed"), "not json", line(3, "other")]
     some = E.decode_events(spark.createDataFrame([(x,) for x in lines], "value string"), types=("ingestion.completed",))

@@ -892,6 +892,53 @@ def retry_state_stream(spark, sf_dir):
     return last.select("request_id", "s.attempts", "s.last_failed_at").where("attempts > 0")
 
 
+def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three streams of a trace: clicks ask, signups and purchases complete."""
+    of = lambda kind, *columns: event_stream(spark, sf_dir).where(F.col("event_type") == kind).select(*columns)
+    at, number = F.col("ts").cast("timestamp"), F.col("event_id")
+    return (
+        of("click", number.alias("request_event_id"), at.alias("requested_at")),
+        of("signup", number.alias("ingestion_event_id"), (number - number % 5).alias("for_request"), at.alias("ingested_at")),
+        of("purchase", number.alias("processing_event_id"), (number - number % 3).alias("for_ingestion"), at.alias("processed_at")),
+    )
+
+
+@query("""with r as (select * from events where event_type = 'click'), i as (select * from events where event_type = 'signup'), p as (select * from events where event_type = 'purchase'),
+    w as (select least((select max(ts) from r), (select max(ts) from i), (select max(ts) from p)) - interval 1 hour as watermark)
+    select r.event_id as request_event_id, i.event_id as ingestion_event_id, p.event_id as processing_event_id, p.event_id is null as overdue from r cross join w
+    left join i on i.event_id - i.event_id % 5 = r.event_id and i.ts between r.ts - interval 2 days and r.ts + interval 2 days
+    left join p on p.event_id - p.event_id % 3 = i.event_id and p.ts between i.ts - interval 2 days and i.ts + interval 2 days where p.event_id is not null or r.ts < watermark - interval 6 days""")
+def pipeline_trace_stream(spark, sf_dir):
+    """Requests with both completions while three streams run, and those whose time is over without."""
+    traced = S.pipeline_trace_stream(*_legs(spark, sf_dir), within="2 days", late="1 hour")
+    table = S.run_to_table(traced, D.shared_path(spark, "stream"), D.shared_path(spark, "stream-state"))
+    return table.select("request_event_id", "ingestion_event_id", "processing_event_id", F.col("processing_event_id").isNull().alias("overdue"))
+
+
+def _shuffled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each request from outcomes that come in three batches, each with rows of all times."""
+    path = D.shared_path(spark, "outcomes")
+    rows = D.outcomes(spark, sf_dir)
+    rows.repartition(3, F.xxhash64("request_id", "at")).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    states = S.retry_states(stream, late="400 days", max_attempts=2)
+    table = S.run_to_table(states, D.shared_path(spark, "stream"), D.shared_path(spark, "stream-state"), "update", rocksdb=True)
+    last = F.struct("attempts", "first_failed_at", "last_failed_at", "last_error_type", "last_error_message", "route")
+    return table.groupBy("request_id").agg(F.max_by(last, "_batch").alias("s")).select("request_id", "s.*")
+
+
+@query(_RETRY)
+def retry_states(spark, sf_dir):
+    """The states of requests whose outcomes come in no order."""
+    return _shuffled_states(spark, sf_dir).where("attempts > 0").drop("route")
+
+
+@query(f"select request_id, attempts, last_failed_at from ({_RETRY}) where attempts >= 2")
+def dead_letters(spark, sf_dir):
+    """The requests that such a stream gives up."""
+    return _shuffled_states(spark, sf_dir).where("route = 'dead-letter'").select("request_id", "attempts", "last_failed_at")
+
+
 @query(_DONE)
 def process_stream(spark, sf_dir):
     """The runs' manifests as a stream into a lake of its own, in two batches: each run is processed once."""

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.runs import process_runs_idempotent
@@ -49,14 +51,157 @@ def retry_state_stream(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("request_id").applyInPandasWithState(fold, RETRY, RETRY_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def trace_stream(requests: DataFrame, completions: DataFrame, late: str = "1 day") -> DataFrame:
-    """Requests with their completions while both streams run: (request_event_id, requested_at) and (for_request, ingested_at)."""
+def trace_stream(requests: DataFrame, completions: DataFrame, late: str = "1 day", within: str = "7 days") -> DataFrame:
+    """Requests with their completions while both streams run: (request_event_id, requested_at) and (for_request, ingested_at).
+
+    A completion further than `within` from its request isn't joined; a request without one
+    comes out when that time is over.
+    """
     a = requests.withWatermark("requested_at", late)
     b = completions.withWatermark("ingested_at", late)
-    near = F.expr("for_request = request_event_id and ingested_at >= requested_at - interval 7 days and ingested_at <= requested_at + interval 7 days")
+    near = F.expr(f"for_request = request_event_id and ingested_at >= requested_at - interval {within} and ingested_at <= requested_at + interval {within}")
     return a.join(b, near, "leftOuter")
 
 
+def _plain_time(column: str) -> Column:
+    """A time that no watermark belongs to: a stream can have one only."""
+    return F.timestamp_micros(F.unix_micros(column)).alias(column)
+
+
+def pipeline_trace_stream(requests: DataFrame, ingested: DataFrame, processed: DataFrame, *, within: str = "7 days", late: str = "1 day") -> DataFrame:
+    """Each request with its ingestion and its processing while all three streams run.
+
+    requests: request_event_id, requested_at; ingested: ingestion_event_id, for_request, ingested_at; processed:
+    processing_event_id, for_ingestion, processed_at.  Each step is joined if it is at most
+    `within` before or behind the one it names.  A whole trace comes out at once; a request whose ingestion or
+    processing is missing (null) comes out when its time is over: when all
+    streams are three times `within` and `late` beyond it.
+    """
+    led = trace_stream(requests, ingested, late, within)
+    led = led.select("request_event_id", "requested_at", "ingestion_event_id", _plain_time("ingested_at"))
+    near = F.expr(
+        f"for_ingestion = ingestion_event_id and processed_at >= ingested_at - interval {within} and processed_at <= ingested_at + interval {within} "
+        # What follows from these; said of the request, it tells Spark when a row's time is over, also where nothing was ingested.
+        # (In brackets: of intervals one after another Spark sees the last when it decides how long to wait.)
+        f"and processed_at >= requested_at - (interval {within} + interval {within}) and processed_at <= requested_at + (interval {within} + interval {within})"
+    )
+    traced = led.join(processed.withWatermark("processed_at", late), near, "leftOuter")
+    return traced.select("request_event_id", "ingestion_event_id", "processing_event_id", _plain_time("requested_at"), "ingested_at", _plain_time("processed_at"))
+
+
+ATTEMPTS = "request_id string, attempts long, first_failed_at timestamp, last_failed_at timestamp, last_error_type string, last_error_message string, route string, newly_dead boolean"
+
+
+class RetryProcessor(StatefulProcessor):
+    """The retry state of a request from outcomes that come in any order, as long as they aren't late.
+
+    Failures above the watermark are kept one by one, as a success between them may still come;
+    those below are summed up.  A success is kept until the watermark passes it.
+    """
+
+    def __init__(self, max_attempts: int):
+        self._max = max_attempts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getMapState("open", "at timestamp, error_type string, error_message string", "n long")
+        self._old = handle.getValueState("old", "attempts long, first_at timestamp, at timestamp, error_type string, error_message string")
+        self._cleared = handle.getValueState("cleared", "at timestamp")
+        self._dead = handle.getValueState("dead", "is boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        found = pd.concat(rows)
+        cleared = self._cleared.get()[0] if self._cleared.exists() else None
+        ends = found.loc[found["ok"], "at"]
+        if len(ends) and (cleared is None or ends.max() > pd.Timestamp(cleared)):
+            cleared = ends.max().to_pydatetime()
+            self._cleared.update((cleared,))
+        gone = lambda at: cleared is not None and pd.Timestamp(at) <= pd.Timestamp(cleared)
+        if self._old.exists() and gone(self._old.get()[2]):
+            self._old.clear()
+        for known in [k for k, _ in self._open.iterator() if gone(k[0])]:
+            self._open.removeKey(known)
+        failed = found.loc[~found["ok"], ["at", "error_type", "error_message"]].astype(object).where(lambda x: x.notna(), None)
+        for at, kind, message in failed.itertuples(index=False):
+            if not gone(at):
+                failure = (pd.Timestamp(at).to_pydatetime(), kind, message)
+                n = self._open.getValue(failure)[0] if self._open.containsKey(failure) else 0
+                self._open.updateValue(failure, (n + 1,))
+        yield self._said(key)
+        # When all that is known is below the watermark, it is summed up or given up.
+        newest = max((pd.Timestamp(x) for x in [cleared, *(k[0] for k, _ in self._open.iterator())] if x is not None), default=None)
+        if newest is not None:
+            self._handle.registerTimer(int(newest.timestamp() * 1000) + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        below = sorted(((k, n[0]) for k, n in self._open.iterator() if pd.Timestamp(k[0]) <= watermark), key=lambda x: _latest(x[0]))
+        for failure, n in below:
+            old = self._old.get() if self._old.exists() else (0, failure[0], *failure)
+            last = max(old[2:5], failure, key=_latest)
+            self._old.update((old[0] + n, min(old[1], failure[0]), *last))
+            self._open.removeKey(failure)
+        if self._cleared.exists() and pd.Timestamp(self._cleared.get()[0]) <= watermark:
+            self._cleared.clear()
+        return iter(())
+
+    def _said(self, key: tuple) -> pd.DataFrame:
+        failures = [(k, n[0]) for k, n in self._open.iterator()]
+        if self._old.exists():
+            n, first, *last = self._old.get()
+            failures.append((tuple(last), n))
+        attempts = sum(n for _, n in failures)
+        first = min([k[0] for k, _ in failures] + ([self._old.get()[1]] if self._old.exists() else []), default=None)
+        last = max((k for k, _ in failures), key=_latest, default=(None, None, None))
+        dead = attempts >= self._max
+        was = self._dead.exists()
+        if dead and not was:
+            self._dead.update((True,))
+        if not dead and was:
+            self._dead.clear()
+        route = "dead-letter" if dead else "pending" if attempts else "cleared"
+        times = [pd.to_datetime(pd.Series([x])) for x in (first, last[0])]
+        return pd.DataFrame({"request_id": [key[0]], "attempts": [attempts], "first_failed_at": times[0], "last_failed_at": times[1], "last_error_type": [last[1]], "last_error_message": [last[2]], "route": [route], "newly_dead": [dead and not was]})
+
+    def close(self) -> None:
+        pass
+
+
+def _latest(failure: tuple) -> tuple:
+    """The order of failures, of which the last is said: by time, then error, nulls first."""
+    return failure[0], *((x is not None, x or "") for x in failure[1:3])
+
+
+def retry_states(outcomes: DataFrame, *, late: str = "1 day", max_attempts: int = 3) -> DataFrame:
+    """The retry state of a request (with its route: pending, dead-letter or cleared) after each batch with outcomes of it (request_id, at, ok, error_type, error_message).
+
+    It is what `retry_state` gives for all outcomes so far, in whatever order they come, if none is later than
+    `late`.  newly_dead marks the row with which a request becomes a dead letter.  Of a request that
+    succeeded nothing is kept once the watermark has passed its success.  Runs with state
+    in RocksDB: see `run_to_table`.
+    """
+    if max_attempts < 1:
+        raise ValueError("max_attempts must be 1 or above")
+    return outcomes.withWatermark("at", late).groupBy("request_id").transformWithStateInPandas(RetryProcessor(max_attempts), ATTEMPTS, "Update", "EventTime")
+
+
+def dead_letters(states: DataFrame) -> DataFrame:
+    """Each request as it becomes a dead letter, once, as long as no success is between."""
+    return states.where("newly_dead").drop("route", "newly_dead")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """What is started meanwhile keeps its state in RocksDB, as stateful processors need it."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def process_stream(spark: SparkSession, lake: str, checkpoint: str) -> StreamingQuery:
     """Processes the runs of manifests as they arrive; what a batch has done once isn't done again."""
     manifests = spark.readStream.schema(MANIFEST).option("recursiveFileLookup", "true").json(f"{lake}/manifests")
@@ -75,18 +220,19 @@ def finished(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", *, rocksdb: bool = False) -> DataFrame:
     """Everything that is there now, through the stream, as a table.
 
     In other modes than append each batch has a directory of its own (column _batch), which
     a batch that is tried again overwrites.
     """
     spark = stream.sparkSession
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    else:
-        query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/_batch_of={n}")).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finished(query)
+    with state_in_rocksdb(spark) if rocksdb else nullcontext():
+        if mode == "append":
+            query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        else:
+            query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/_batch_of={n}")).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        finished(query)
     if mode == "append":
         return spark.read.parquet(path)
     return spark.read.schema(f"{stream._jdf.schema().toDDL()}, _batch_of bigint").parquet(path).withColumnRenamed("_batch_of", "_batch")
