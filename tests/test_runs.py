@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_lake import GOOD, lake, manifest, put  # noqa: F401  (a fixture)
-from tidemark.operators import claims, runs
+from tidemark.operators import claims, receipts, runs
 from tidemark.schemas import RIVER, RIVER_STATIONS
 from tidemark.sources import lake as L
 from tidemark.sources.files import LakeFiles
@@ -176,3 +176,52 @@ def test_attempts_are_listed(spark, tmp_path):
     rows = {r.prefix: (r.next_attempt, r.completed_run, r.conflict) for r in runs.run_catalog(files, found).collect()}
     assert rows == {f"{event}1": (4, None, False), f"{event}2": (3, f"{event}2-attempt-0002", False)}
     assert L.lake_files(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def ingestion(spark, *runs_of):
+    rows = [(f"aaaaaaaa-bbbb-4ccc-8ddd-eeeeeeeeee{i:02}", f"aaaaaaaa-bbbb-4ccc-8ddd-ffffffffff{i:02}", run, f"aaaaaaaa-bbbb-4ccc-8ddd-dddddddddd{i:02}") for i, run in enumerate(runs_of)]
+    return spark.createDataFrame(rows, "event_id string, correlation_id string, run_id string, request_event_id string")
+
+
+def test_receipts_are_written_once(spark, lake):  # noqa: F811
+    process(spark, lake)
+    at = str(lake)
+    manifests = L.scan_manifests(spark, at).withColumn("manifest_path", F.lit("manifests/x"))
+    results = receipts.run_results(manifests, runs.commit_log(spark, at))
+    found = receipts.processing_receipts(ingestion(spark, "007", "s1", "never"), results)
+    assert receipts.scan_receipts(spark, at).count() == 0
+    stored = receipts.store_receipts(spark, at, found.where("run_id = '007'"))
+    file = lake / f"quality/endpoint={RIVER}/year=2026/month=09/day=01/hour=00/run-007/processing-completed.json"
+    before = file.read_bytes()
+    later = found.withColumn("occurred_at", F.expr("occurred_at + interval 1 day"))
+    stored = receipts.store_receipts(spark, at, later)
+    assert file.read_bytes() == before, "another time alone is no other receipt"
+    rows = {r.data["run_id"]: r for r in stored.collect()}
+    assert set(rows) == {"007", "s1"} and not any(r.errors for r in rows.values())
+    assert {k for r in rows.values() for k in r.data} == {*receipts.FIELDS, "station_output_path"} and "station_output_path" not in rows["007"].data
+    assert all((lake / rows["s1"].data[k]).exists() for k in ("quality_report_path", "observation_output_path", "station_output_path"))
+    assert receipts.receipt_faults(stored, ("p",)).count() == 0
+    with pytest.raises(ValueError, match="receipts differ"):
+        receipts.store_receipts(spark, at, receipts.processing_receipts(ingestion(spark, "007").withColumn("correlation_id", F.lit("other")), results))
+    with pytest.raises(ValueError, match="several ingestions"):
+        receipts.store_receipts(spark, at, receipts.processing_receipts(ingestion(spark, "s1", "s1"), results))
+    assert not list((lake / "staging").iterdir()) and receipts.scan_receipts(spark, at).count() == 2
+
+
+def test_faulty_receipts_are_found(spark, lake):  # noqa: F811
+    process(spark, lake)
+    manifests = L.scan_manifests(spark, str(lake)).withColumn("manifest_path", F.lit("manifests/x"))
+    found = receipts.processing_receipts(ingestion(spark, "s1"), receipts.run_results(manifests, runs.commit_log(spark, str(lake)))).withColumn("errors", F.array().cast("array<string>"))
+
+    def faults(change):
+        rows = receipts.receipt_faults(change(found), ("p",)).collect()
+        return rows[0].faults if rows else []
+
+    data = lambda k, v: lambda r: r.withColumn("data", F.map_concat(F.map_filter("data", lambda x, _: x != k), F.create_map(F.lit(k), F.lit(v).cast("string"))))
+    assert faults(lambda r: r) == []
+    assert faults(lambda r: r.withColumn("path", F.lit("quality/elsewhere/processing-completed.json"))) == ["path"]
+    assert faults(lambda r: r.withColumn("event_type", F.lit("ingestion.completed"))) == ["event_type"]
+    assert faults(lambda r: r.withColumn("errors", F.array(F.lit("not_json")))) == ["event"]
+    assert faults(data("quality_report_path", None)) == ["quality_report_path", "path"] and faults(data("quality_report_path", "x")) == ["path"]
+    for k, v in (("provider", "q"), ("endpoint", "sea"), ("run_id", " "), ("manifest_path", None), ("observation_output_path", ""), ("station_output_path", None), ("ingestion_event_id", "1"), ("request_event_id", None)):
+        assert faults(data(k, v)) == [k]

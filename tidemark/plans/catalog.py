@@ -12,7 +12,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import events as E
 from tidemark.operators import quality as Q
 from tidemark.operators import reads as R
-from tidemark.operators import runs, transforms, validation
+from tidemark.operators import receipts, runs, transforms, validation
 from tidemark.operators import views as V
 from tidemark.plans import testdata as D
 from tidemark.schemas import EVENT_TYPES, RIVER, RIVER_STATIONS
@@ -858,6 +858,58 @@ def receipt_violations(spark, sf_dir):
     return found.select(of("ingestion_event_id").alias("ingestion_event_id"), "kind", of("run_id").alias("said_run"))
 
 
+_RUN_NUMBERS = " union all ".join(f"select 'run-{i // 2}-{(RIVER, RIVER_STATIONS)[i % 2]}' as run_id, {i} as k" for i in range(6))
+
+
+@query(f"""select s.endpoint, run_id, 'quality/endpoint=' || s.endpoint || hour_path || '/run-' || run_id || '/processing-completed.json' as path,
+    'processed/dataset=observations/endpoint=' || s.endpoint || hour_path || '/run-' || run_id as observation_output_path, s.outputs, e.event_id as ingestion_event_id, e.request_event_id
+    from (select run_id, endpoint, case when endpoint = '{RIVER}' then 1 else 2 end::bigint as outputs, strftime(max(ingested_at), '/year=%Y/month=%m/day=%d/hour=%H') as hour_path from raw group by all) s
+    join ({_RUN_NUMBERS}) k using (run_id) join (select line % 6 as k, min(line) as line from ev where event_type = 'ingestion.completed' group by 1) f using (k) join ev e using (line)""")
+def stored_receipts(spark, sf_dir):
+    """Receipts of the processed runs, each by the first ingestion event of its number, written to the lake and read again; writing again changes nothing."""
+    lake = processed_lake(spark, sf_dir)
+    numbers = spark.sql(_RUN_NUMBERS)
+    done = E.pending_by_type(valid_events(spark, sf_dir), EVENT_TYPES[1])
+    first = done.groupBy((F.col("line") % 6).cast("int").alias("k")).agg(F.min_by(F.struct("event_id", "correlation_id", F.element_at("data", "request_event_id").alias("request_event_id")), "line").alias("e"))
+    ingested = first.join(numbers, "k").select("e.*", "run_id")
+    manifests = L.scan_manifests(spark, lake).withColumn("manifest_path", F.concat(F.lit("manifests/"), "run_id"))
+    found = receipts.processing_receipts(ingested, receipts.run_results(manifests, runs.commit_log(spark, lake)))
+    for _ in range(2):
+        stored = receipts.store_receipts(spark, lake, found)
+    of = lambda name: F.element_at("data", name).alias(name)
+    outputs = F.size(F.filter(F.map_keys("data"), lambda k: k.like("%output_path"))).cast("bigint").alias("outputs")
+    return stored.where("size(errors) = 0").select(of("endpoint"), of("run_id"), "path", of("observation_output_path"), outputs, of("ingestion_event_id"), of("request_event_id"))
+
+
+_PLANTED = {"line % 7 = 0": "path", "line % 11 = 0": "observation_output_path", "line % 13 = 0": "provider", "line % 3 = 0 and line % 5 = 0": "station_output_path", "line % 17 = 0": "request_event_id"}
+
+
+@query("select line, faults from (select line, concat_ws(',', " + ", ".join(f"case when {w} then '{n}' end" for w, n in sorted(_PLANTED.items(), key=lambda x: ("provider", "observation_output_path", "station_output_path", "request_event_id", "path").index(x[1])))
+       + ") as faults from ev where event_type = 'ingestion.completed') where faults <> ''")
+def receipt_faults(spark, sf_dir):
+    """A receipt for each ingestion event, of which some are at a wrong path, lack an output or an id, or are of an unknown provider."""
+    bad = {n: F.expr(w) for w, n in _PLANTED.items()}
+    done = E.pending_by_type(valid_events(spark, sf_dir), EVENT_TYPES[1])
+    run = F.concat(F.lit("run-"), F.col("line").cast("string"))
+    endpoint = F.when(F.col("line") % 3 == 0, RIVER_STATIONS).otherwise(RIVER)
+    at = F.date_trunc("hour", "occurred_at")
+    results = done.select(
+        run.alias("run_id"), "line", endpoint.alias("endpoint"), F.when(bad["provider"], "other").otherwise("gauges").alias("provider"), at.alias("captured_at"), F.col("occurred_at").alias("completed_at"), F.concat(F.lit("manifests/"), run).alias("manifest_path"),
+    )
+    place = lambda kind: receipts.run_folder(kind, F.col("endpoint"), "captured_at", F.col("run_id"))
+    results = results.withColumns({
+        "quality_report_path": F.concat(place("quality"), F.lit("/report.json")), "observation_output_path": F.when(~bad["observation_output_path"], place("processed/dataset=observations")),
+        "station_output_path": F.when((F.col("endpoint") == RIVER_STATIONS) & ~bad["station_output_path"], place("processed/dataset=stations")),
+    })
+    request = F.when(~bad["request_event_id"], F.element_at("data", "request_event_id")).otherwise("nobody")
+    found = receipts.processing_receipts(done.select("event_id", "correlation_id", run.alias("run_id"), request.alias("request_event_id")), results)
+    line = F.regexp_extract("run_id", r"(\d+)$", 1).cast("bigint").alias("line")
+    moved = F.when(F.regexp_extract("run_id", r"(\d+)$", 1).cast("bigint") % 7 == 0, F.regexp_replace("path", "run-", "ran-")).otherwise(F.col("path")).alias("path")
+    texts = found.select(moved, line, E.encode_events(found).alias("value"))
+    faults = receipts.receipt_faults(E.decode_events(texts), ("gauges",))
+    return faults.select(F.regexp_extract("path", r"-(\d+)/[^/]*$", 1).cast("bigint").alias("line"), F.array_join("faults", ",").alias("faults"))
+
+
 # Streams
 
 
