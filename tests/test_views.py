@@ -108,3 +108,29 @@ def test_the_network_has_one_summary(spark):
     for odd in (one.limit(0), one.union(one)):
         with pytest.raises(Exception, match="one summary"):
             get_network_summary(odd).collect()
+
+
+def test_stored_history_is_not_shuffled(spark, tmp_path):
+    rows = [(str(i % 7), datetime(2026, 9, 1 + i // 10), datetime(2026, 9, 20), f"r{i}") for i in range(60)] + [("hot", datetime(2026, 9, 1), datetime(2026, 9, 20), f"h{i}") for i in range(50)]
+    history = spark.createDataFrame(rows, "station_id string, observed_at timestamp, ingested_at timestamp, source_record_id string")
+    views.store_history(history, "history_of_test", f"{tmp_path}/history", 4)
+    stored = spark.table("history_of_test")
+    latest = views.latest_observation_per_station(stored)
+    assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, views.latest_observation_per_station(history).collect()))
+    assert "Exchange" not in latest._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, stored.collect())) == sorted(rows)
+    spark.sql("drop table history_of_test")
+
+
+def test_stored_pages_are_those_of_the_sort(spark, tmp_path):
+    rows = [(f"s{i}", None if i % 9 == 0 else f"name {i * 7 % 50}") for i in range(205)] + [(None, "name 3"), (None, None)]
+    stations = spark.createDataFrame(rows, "station_id string, station_name string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    reads.write_station_pages(stations, f"{tmp_path}/pages")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for page in (-1, 1, 2, 7, 11, 99):
+        stored = reads.read_station_page(spark, f"{tmp_path}/pages", page)
+        assert list(map(tuple, stored.collect())) == list(map(tuple, reads.station_page(stations, page).collect()))
+    everything = spark.read.parquet(f"{tmp_path}/pages/rows").inputFiles()
+    assert len(stored.inputFiles()) == 1 < len(everything)
+    reads.write_station_pages(stations.limit(0), f"{tmp_path}/none")
+    assert reads.read_station_page(spark, f"{tmp_path}/none", 4).count() == 0

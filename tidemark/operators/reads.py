@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import all_of, basin_label, clean_text, is_blank, valid_coordinates
@@ -100,6 +100,38 @@ def station_page(snapshot: DataFrame, page: int, size: int = PAGE_SIZE) -> DataF
     return rows.withColumn("page", F.lit(page)).withColumn("total_pages", F.lit(total))
 
 
+_PLACES = "file string, first_id bigint, first_place bigint, n bigint"
+
+
+def write_station_pages(snapshot: DataFrame, path: str) -> None:
+    """Keeps the stations in the order of their pages, so that `read_station_page` finds one without counting or sorting.
+
+    rows: the stations in files of neighbours; places: for each file its rows and the place of the first.
+    """
+    order = [F.asc_nulls_last("station_name"), F.asc_nulls_last("station_id")]
+    # Rows of a task are neighbours, tasks are in order, and the id counts a task's rows.
+    ordered = snapshot.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ordered.write.parquet(f"{path}/rows")
+    kept = snapshot.sparkSession.read.schema(ordered.schema).parquet(f"{path}/rows")
+    files = kept.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    files.select("file", "first_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_place"), "n").coalesce(1).write.parquet(f"{path}/places")
+
+
+def read_station_page(spark: SparkSession, path: str, page: int, size: int = PAGE_SIZE) -> DataFrame:
+    """The page that `station_page` gives, in its order, from what `write_station_pages` has kept: only files with rows of the page are opened."""
+    places = spark.read.schema(_PLACES).parquet(f"{path}/places")
+    total = max(1, -(-(places.agg(F.sum("n")).first()[0] or 0) // size))
+    page = min(max(1, page), total)
+    first, end = (page - 1) * size, page * size
+    held = places.where((F.col("first_place") < end) & (F.col("first_place") + F.col("n") > first)).collect()
+    stored = spark.read.parquet(*([f"{path}/rows/{r.file}" for r in held] or [f"{path}/rows"]))
+    wanted = F.lit(False)
+    for r in held:
+        wanted |= (F.col("_id") >= r.first_id + max(0, first - r.first_place)) & (F.col("_id") < r.first_id + min(r.n, end - r.first_place))
+    return stored.where(wanted).orderBy("_id").drop("_id").withColumn("page", F.lit(page)).withColumn("total_pages", F.lit(total))
+
+
 def endpoint_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n_rows"))
 

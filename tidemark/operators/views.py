@@ -128,3 +128,12 @@ def register(spark: SparkSession, stations: DataFrame, observations: DataFrame)
         "basin_current_summary": basins, "current_network_summary": current_network_summary(basins),
     }.items():
         df.createOrReplaceTempView(name)
+
+
+def store_history(history: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Keeps a history as a table in buckets by station, each in order of station and time.
+
+    One shuffle here, and none for whatever goes by station later (`latest_observation_per_station` and
+    every window by station).  The table's name and path must be free.
+    """
+    history.repartition(buckets, "station_id").write.mode("errorifexists").format("parquet").bucketBy(buckets, "station_id").sortBy("station_id", "observed_at").option("path", path).saveAsTable(table)

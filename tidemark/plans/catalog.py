@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -148,6 +149,14 @@ def latest_observation_per_station(spark, sf_dir):
     return V.latest_observation_per_station(history(spark, sf_dir))
 
 
+@query("select * from latest_obs")
+def latest_of_stored_history(spark, sf_dir):
+    """The same from a history that is stored by station: nothing is shuffled."""
+    table = f"history_{uuid.uuid4().hex}"
+    V.store_history(history(spark, sf_dir), table, D.shared_path(spark, "history"), 8)
+    return V.latest_observation_per_station(spark.table(table))
+
+
 @query("select * from cur_latest")
 def current_observation_per_station(spark, sf_dir):
     return V.current_observation_per_station(V.current_observations(*both(spark, sf_dir)))
@@ -249,6 +258,15 @@ def station_page(spark, sf_dir):
     return R.station_page(snapshot(spark, sf_dir), 2)
 
 
+@query("""select * exclude (n) from (select *, row_number() over (order by station_name nulls last, station_id nulls last) as n, cast(least(3, greatest(1, ceil((select count(*) from snap) / 20.0))) as integer) as page,
+    cast(greatest(1, ceil((select count(*) from snap) / 20.0)) as integer) as total_pages from snap) where (n - 1) // 20 + 1 = page""")
+def station_page_stored(spark, sf_dir):
+    """A page of the stations as they were kept in the order of pages."""
+    path = D.shared_path(spark, "pages")
+    R.write_station_pages(snapshot(spark, sf_dir), path)
+    return R.read_station_page(spark, path, 3)
+
+
 @query("select endpoint, count(*) as n_rows from obs group by 1")
 def endpoint_counts(spark, sf_dir):
     return R.endpoint_counts(D.observations(spark, sf_dir))
