@@ -4,7 +4,9 @@ A byte-level BPE never merges across pre-tokens, so the number of tokens of a te
 is the sum of the numbers of its pre-tokens.  The first tier is a compact table of
 frequent pre-tokens and their lengths, those of the words that a count over the whole
 corpus finds most frequent, broadcast to the workers; pre-tokens that it lacks are encoded by the tokenizer library once and kept in a cache of the worker.
-Nothing is shuffled, and which pre-tokens either tier holds never changes a count.
+No pre-token is shuffled by itself: for the table each task sends one summary of its most frequent
+words, and summaries are merged by sixteen into others of the same size.  Which pre-tokens either tier
+holds never changes a count.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, slices, text_or_empty
+from tidemark.llm.common import free_name, slices, text_or_empty, written
 
 # The pattern by which the byte-level BPE splits texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -84,12 +86,18 @@ def unpack_table(packed: tuple[str, np.ndarray]) -> dict[str, int]:
     return dict(zip(keys.split("\0"), lengths.tolist(), strict=True)) if len(lengths) else {}
 
 
-def frequent_words(docs: DataFrame, text: str, entries: int) -> dict[str, int]:
+def _summary(seen: Counter[str], entries: int) -> pa.RecordBatch:
+    """One row: the most frequent words of seen, twice as many as are asked for, and their numbers."""
+    top = [(w, n) for w, n in seen.most_common(2 * entries) if len(w) < LONGEST_KEPT]
+    return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["words", "numbers"])
+
+
+def frequent_words(docs: DataFrame, text: str, entries: int, fan_in: int = 16) -> dict[str, int]:
     """The most frequent words between white space of all texts, with their numbers.
 
     Each task counts its whole texts; when it holds eight times as many words as are
-    asked for, it drops the rarer half.  A word kept by its tasks has nearly its true
-    number, and no task sends more than twice the words asked for.
+    asked for, it drops the rarer half.  Its summary has at most twice the words asked for, and so has
+    that of fan_in summaries.  A word that no step drops has its true number.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +107,25 @@ def frequent_words(docs: DataFrame, text: str, entries: int) -> dict[str, int]:
                 seen.update((t or "").split())
                 if len(seen) > 8 * entries:
                     seen = Counter(dict(seen.most_common(4 * entries)))
-        top = [(w, n) for w, n in seen.most_common(2 * entries) if len(w) < LONGEST_KEPT]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+        yield _summary(seen, entries)
 
-    words = docs.select(F.col(f"`{text}`")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(entries).collect()}
+    def merge(group: pa.Table) -> pa.Table:
+        seen: Counter[str] = Counter()
+        for words, numbers in zip(group.column("words"), group.column("numbers"), strict=True):
+            for w, n in zip(words.as_py(), numbers.as_py(), strict=True):
+                seen[w] += n
+        merged = pa.Table.from_batches([_summary(seen, entries)])
+        return merged.append_column("part", group.column("part").slice(0, 1))
+
+    kind = "words array<string>, numbers array<bigint>"
+    # Written, so that texts are read once: one row for each task.
+    found = written(docs.select(F.col(f"`{text}`")).mapInArrow(count, kind).withColumn("part", F.spark_partition_id()), "word-summaries")
+    left = found.count()
+    while left > 1:
+        left = -(-left // fan_in)
+        found = found.withColumn("part", F.col("part") % left).groupBy("part").applyInArrow(merge, f"{kind}, part int")
+    rows = found.select("words", "numbers").collect()  # one
+    return dict(list(zip(rows[0].words, rows[0].numbers, strict=True))[:entries]) if rows else {}
 
 
 def frequent_lengths(docs: DataFrame, tokenizer_path: str, text: str, table_entries: int) -> dict[str, int]:
