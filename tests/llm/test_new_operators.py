@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, filter_audit, vector_codes
+from tidemark.llm import chat_format, filter_audit, neardup, url_reputation, vector_codes
+from tidemark.llm.queries import URL_RULES
 
 # Codes
 
@@ -208,3 +209,31 @@ def test_copies_are_semi_joined(spark):
     found = filter_audit.copies_of_smaller_ids(rows)
     assert [r.doc_id for r in found.collect()] == [2], "texts of one hash are told apart"
     assert "LeftSemi" in found._jdf.queryExecution().toString()
+
+
+# Rows that earlier tests left out
+
+
+def test_urls_that_are_very_long_beside_clashing_names(spark):
+    long = "http://a.example.com/" + "x" * 1_000_000
+    rows = [(1, long, "no host", 7, "z"), (2, "http://" + "h" * 200_000 + ".net/en/", "b", 8, "z"), (3, None, None, None, None), (4, "", "c", 1, "z")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, Host string, n int, verdict string")
+    labels = spark.createDataFrame([(1, 1, 0, "x")], "doc_id bigint, quality int, toxic int, bad string")
+    got = {r.page_id: r for r in url_reputation.judge_urls(pages, labels, URL_RULES).collect()}
+    assert (got[1].host, len(got[1].path), got[1].rule, got[1].verdict) == ("a.example.com", 1_000_001, None, "allow")
+    assert (len(got[2].host), got[2].path, got[2].rule, got[2].verdict) == (200_004, "/en/", "net/", "block")
+    assert all((got[i].host, got[i].path, got[i].verdict) == ("", "", "allow") for i in (3, 4))
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    base = say(150_000)
+    edited = list(base)
+    for at in range(0, len(base), 400):
+        edited[at] = "edited"
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(say(150_000))), (4, "a " * 400_000), (5, "a " * 400_000 + "b"), (6, "x" * 2_000_000), (7, "x" * 2_000_000 + " y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for limits in (neardup.Limits(), neardup.Limits(small=1, block_bytes=1000)):
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs, limits=limits).collect()}
+        assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
