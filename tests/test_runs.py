@@ -38,18 +38,19 @@ def test_damaged_runs_are_rejected_until_they_are_whole(spark, lake):  # noqa: F
     manifest(lake, RIVER, "ok", [d])
     manifest(lake, RIVER, "few", [e | {"record_count": 3}])
     manifest(lake, RIVER, "none", [])
+    manifest(lake, RIVER, "no*name", [put(lake, RIVER, "no*name", 1, [GOOD])])
     manifest(lake, RIVER, "twice", [f])
     manifest(lake / "manifests/again", RIVER, "twice", [f])
     for _ in range(2):
         assert process(spark, lake, runs_at_once=2) == [("ok", RIVER, "observations", 1)]
-        assert rejected(spark, lake) == {"007": (1, 2, 0, 1, 0), "s1": (1, 1, 1, 0, 0), "few": (1, 1, 0, 0, 1), "none": (1, 0, 0, 0, 0), "twice": (2, 2, 0, 0, 0)}
-    assert spark.read.parquet(f"{lake}/rejected").count() == 5, "the same verdict is kept once"
+        assert rejected(spark, lake) == {"007": (1, 2, 0, 1, 0), "s1": (1, 1, 1, 0, 0), "few": (1, 1, 0, 0, 1), "none": (1, 0, 0, 0, 0), "no*name": (1, 1, 1, 0, 0), "twice": (2, 2, 0, 0, 0)}
+    assert spark.read.parquet(f"{lake}/rejected").count() == 6, "the same verdict is kept once"
     assert not list(lake.glob("claims/*/*")), "rejected runs aren't held"
     page(lake, "007", 1).write_bytes(good)
     (lake / "kept.json").rename(page(lake, "s1", 1, RIVER_STATIONS))
     finished(process_stream(spark, str(lake), f"{lake}/state"))
     assert process(spark, lake) == sorted([*ALL, ("ok", RIVER, "observations", 1)])
-    assert set(rejected(spark, lake)) == {"few", "none", "twice"}
+    assert set(rejected(spark, lake)) == {"few", "none", "no*name", "twice"}
 
 
 def test_keys_below_the_root_are_found(spark, lake):  # noqa: F811

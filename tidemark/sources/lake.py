@@ -22,6 +22,10 @@ from tidemark.sources.files import LakeFiles, value_in_path
 PAGE_IN_PATH = r"page=(\d+)/[^/]+$"
 
 
+#: What globs give a meaning to.
+PATTERN_MARKS = set("\\*?{}[]")
+
+
 class MissingDataset(ValueError):
     """The lake holds no files of a data set."""
 
@@ -57,9 +61,12 @@ def pages_of_files(files: DataFrame, endpoint: str) -> DataFrame:
 
 
 def listed_folders(spark: SparkSession, manifests: DataFrame) -> list[str]:
-    """The folders of the manifests' runs, as far as they are there; one path for each run reaches the driver."""
+    """The folders of the manifests' runs, as far as they are there; one path for each run reaches the driver.
+
+    Names that a reader would take for patterns are left out.
+    """
     keys = manifests.select(F.explode("raw_pages.payload_key").alias("key"))
-    at = sorted(r.at for r in keys.select(F.regexp_extract("key", r"^(.*/run_id=[^/]+)/", 1).alias("at")).distinct().collect() if r.at)
+    at = sorted(r.at for r in keys.select(F.regexp_extract("key", r"^(.*/run_id=[^/]+)/", 1).alias("at")).distinct().collect() if r.at and not set(r.at.rsplit("/", 1)[1]) & PATTERN_MARKS)
     if not at:
         return []
     files = LakeFiles(spark, at[0])
@@ -209,14 +216,15 @@ def verify_lineage(manifests: DataFrame, files: DataFrame) -> DataFrame:
 def run_verdicts(manifests: DataFrame, files: DataFrame) -> DataFrame:
     """(endpoint, run_id, manifests, pages, missing, mismatched, miscounted, intact) of each run.
 
-    A run is intact if it has one manifest, which lists pages, and all of them are ok.
+    A run is intact if it has one manifest, which lists pages, all of them are ok, and its name can be one of a directory.
     """
     pages = verify_lineage(manifests, files).groupBy("endpoint", "run_id")
     states = pages.agg(F.count(F.lit(1)).alias("pages"), *(F.count_if(F.col("status") == s).alias(n) for s, n in (("missing", "missing"), ("mismatch", "mismatched"), ("miscounted", "miscounted"))))
     runs = manifests.groupBy("endpoint", "run_id").agg(F.count(F.lit(1)).alias("manifests"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     joined = runs.join(states, ["endpoint", "run_id"], "left").select("endpoint", "run_id", "manifests", *(zero(c) for c in ("pages", "missing", "mismatched", "miscounted")))
-    return joined.withColumn("intact", F.expr("manifests = 1 and pages > 0 and missing + mismatched + miscounted = 0"))
+    named = ~F.col("run_id").rlike(r"[/=\\*?{}\[\]]|^\s*\.{0,2}\s*$")
+    return joined.withColumn("intact", F.expr("manifests = 1 and pages > 0 and missing + mismatched + miscounted = 0") & named)
 
 
 def hour_columns(captured_at: str) -> dict[str, Column]:
@@ -246,7 +254,8 @@ def publish_runs(files: LakeFiles, staging: str, root: str, depth: int) -> tuple
     moved, taken = {}, {}
     for folder in sorted(files.matching("/".join([staging, *["*"] * depth, f"{_RUN}=*"]))):
         run = value_in_path(folder)
-        if "/" in run or run.strip() in ("", ".", ".."):
+        # A segment of a path that no reader takes for a pattern or a partition.
+        if set(run) & {"/", "=", *PATTERN_MARKS} or run.strip() in ("", ".", ".."):
             raise ValueError(f"{run!r} is no name for a run")
         parts = folder.split("/")
         levels = parts[len(parts) - 1 - depth : -1]
