@@ -539,16 +539,27 @@ def backoff_by_hand(rows: list[tuple], order: int, min_count: int = 2, alpha: fl
     return sorted(out, key=key)
 
 
+@pytest.mark.parametrize("packed_up_to", [1 << 40, 0])
 @pytest.mark.parametrize("order", [1, 3])
-def test_backoff_scores_against_brute_force(docs, order):
+def test_backoff_scores_against_brute_force(docs, order, packed_up_to):
     rows = [tuple(r) for r in docs.collect()]
-    got = ngram_lm.backoff_scores(docs, order=order, chunk_bytes=4000, part_keys=500).collect()
+    got = ngram_lm.backoff_scores(docs, order=order, chunk_bytes=4000, part_keys=500, packed_up_to=packed_up_to).collect()
     assert sorted(((r.doc_id, r.n_words, round(r.log_score, 5)) for r in got), key=key) == backoff_by_hand(rows, order)
     assert all((r.mean_log is None) == (r.n_words == 0) for r in got)
 
 
 def test_backoff_scores_of_nothing(empty):
     assert ngram_lm.backoff_scores(empty).count() == 0
+    assert ngram_lm.backoff_scores(empty, packed_up_to=-1).count() == 0
+
+
+def test_plain_backoff_scores_of_nulls_copies_and_a_long_text(spark):
+    rows = [(1, None), (2, ""), (3, " \t"), (None, "a b a b"), (None, "a b a b"), (4, "a"), (4, "A B c"), (5, "a b c d " * 50_000), (6, "é\xa0b a b")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, gram bigint")
+    got = ngram_lm.backoff_scores(docs, chunk_bytes=1000, packed_up_to=0).collect()
+    # Sums of many logarithms differ in their last digits with the order of the terms.
+    told = lambda found: sorted(((d, n, round(s, 3)) for d, n, s in found), key=key)
+    assert told((r.doc_id, r.n_words, r.log_score) for r in got) == told(backoff_by_hand(rows, 3))
 
 
 def test_packed_numbers():

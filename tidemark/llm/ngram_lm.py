@@ -16,6 +16,11 @@ pair must not make them many, so the sizes of chunks and parts grow with the squ
 of the corpus, from 16 GB of text on, up to 16 times (then a task needs about 1.5 GB).  An
 n-gram that is in every document comes once from each chunk.
 
+Chunks that could grow no further would make the packed rows grow with the square of the
+corpus.  So beyond 4 TB of text (a parameter) the same three steps run on plain rows, which
+grow in proportion to it: a chunk writes a row for each of its distinct n-grams, Spark sums
+them by n-gram and joins the sums back.  Scores are the same in both forms.
+
 Hashes have as many bits as keep the chance that an n-gram meets another's hash near one in
 a million, at every size of the corpus.
 """
@@ -33,14 +38,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, merged_copies, repeated
+from tidemark.llm.common import WORD, merged_copies, repeated, written
 
 find_words = re.compile(WORD).findall
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits of an n-gram's hash beyond those that number all n-grams.
 SPARE_BITS = 20
-#: Bytes of text from which on chunks and parts grow.
-GROWS_FROM = 16 << 30
+#: Bytes of text from which on chunks and parts grow, and how far.
+GROWS_FROM, MOST_GROWTH = 16 << 30, 16
+#: How far chunks of plain rows grow: a row takes more memory than its packed form.
+MOST_PLAIN_GROWTH = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -134,8 +141,9 @@ def score_chunk(grams: ChunkGrams, totals: list[np.ndarray], corpus_words: int,
 
 
 def backoff_scores(
-    docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk_bytes: int = 4 << 20, part_keys: int = 2_000_000
-) -> DataFrame:
+    docs: DataFrame, *, order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk_bytes: int = 4 << 20, part_keys: int = 2_000_000,
+    packed_up_to: int = GROWS_FROM * MOST_GROWTH**2,
+) -> DataFrame:
     """doc_id, n_words, log_score and mean_log of every row of docs.
 
     Words are runs of anything but ASCII white space, in lower case.  A word's score
@@ -145,11 +153,14 @@ def backoff_scores(
     log_score is the sum, mean_log the mean (null without words).  Null and empty texts
     have 0 words and a score of 0.  Repeated rows count and are scored each; null ids
     stay null; other columns of docs are left out.  Empty tables give empty results.
+
+    packed_up_to: the bytes of text beyond which counts travel as plain rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.regexp_count("text", F.lit(WORD))).alias("words")).first()
     words, n_bytes = size.words or 0, size.bytes or 0
-    growth = min(16.0, max(1.0, math.sqrt(n_bytes / GROWS_FROM)))
+    packed = n_bytes <= packed_up_to
+    growth = min(MOST_GROWTH if packed else MOST_PLAIN_GROWTH, max(1.0, math.sqrt(n_bytes / GROWS_FROM)))
     chunks = max(1, math.ceil(n_bytes / (chunk_bytes * growth)))
     parts = max(1, math.ceil(words / (part_keys * growth)))
     bits = hash_bits(words, order)
@@ -187,6 +198,10 @@ def backoff_scores(
         answers = [pack(totals[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
         return pa.Table.from_arrays([rows.column("part"), rows.column("chunk"), rows.column("n"), pa.array(answers, pa.binary())], ["part", "chunk", "n", "totals"])
 
+    def scores_of(rows: pa.Table, found: ChunkGrams, totals: list[np.ndarray]) -> pa.Table:
+        logs = score_chunk(found, totals, words, alpha, min_count)
+        return pa.Table.from_arrays([rows.column("doc_id"), rows.column("times"), pa.array(found.lengths), pa.array(logs)], ["doc_id", "times", "n_words", "log_score"])
+
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         found = grams(rows)
         by_order: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(order)]
@@ -194,11 +209,35 @@ def backoff_scores(
             by_order[p // parts].append((p, unpack(t, n)))
         none = np.zeros(0, np.uint64)
         totals = [np.concatenate([none, *(t for _, t in sorted(cells, key=lambda x: x[0]))]) for cells in by_order]
-        logs = score_chunk(found, totals, words, alpha, min_count)
-        return pa.Table.from_arrays([rows.column("doc_id"), rows.column("times"), pa.array(found.lengths), pa.array(logs)], ["doc_id", "times", "n_words", "log_score"])
+        return scores_of(rows, found, totals)
 
-    asked = chunked.groupBy("chunk").applyInArrow(ask, "part bigint, chunk bigint, n bigint, gaps binary, numbers binary")
-    answered = asked.groupBy("part").applyInArrow(total, "part bigint, chunk bigint, n bigint, totals binary")
-    scored = chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, times bigint, n_words bigint, log_score double")
+    def ask_plainly(key: tuple, rows: pa.Table) -> pa.Table:
+        found = grams(rows)
+        sizes = [len(d) for d in found.distinct]
+        columns = [
+            pa.array(np.repeat(np.arange(order, dtype=np.int32), sizes)), pa.array(np.concatenate(found.distinct).view(np.int64)),
+            pa.array(np.full(sum(sizes), key[0].as_py(), np.int64)), pa.array(np.concatenate(found.numbers)),
+        ]
+        return pa.Table.from_arrays(columns, ["gram_order", "gram", "chunk", "n"])
+
+    def score_plainly(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        found = grams(rows)
+        orders, keys, totals = (answers.column(c).to_numpy() for c in ("gram_order", "gram", "total"))
+        # A chunk gets each n-gram that it asked for once, so that in order they are its own.
+        in_order = totals[np.lexsort((keys.view(np.uint64), orders))]
+        return scores_of(rows, found, np.split(in_order, np.cumsum([len(d) for d in found.distinct])[:-1]))
+
+    result = f"doc_id {kind}, times bigint, n_words bigint, log_score double"
+    by_chunk = chunked.groupBy("chunk")
+    if packed:
+        asked = by_chunk.applyInArrow(ask, "part bigint, chunk bigint, n bigint, gaps binary, numbers binary")
+        answered = asked.groupBy("part").applyInArrow(total, "part bigint, chunk bigint, n bigint, totals binary")
+        scored = by_chunk.cogroup(answered.groupBy("chunk")).applyInArrow(score, result)
+    else:
+        asked = written(by_chunk.applyInArrow(ask_plainly, "gram_order int, gram bigint, chunk bigint, n bigint"), "asked-grams")
+        # An n-gram has a row for each chunk at most, far fewer than a task has.
+        counts = asked.groupBy("gram_order", "gram").agg(F.sum("n").alias("total"))
+        answered = asked.join(counts, ["gram_order", "gram"]).select("gram_order", "gram", "chunk", "total")
+        scored = by_chunk.cogroup(answered.groupBy("chunk")).applyInArrow(score_plainly, result)
     every = repeated(scored) if merged else scored.drop("times")
     return every.withColumn("mean_log", F.try_divide(F.col("log_score"), F.col("n_words")))
