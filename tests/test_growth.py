@@ -5,9 +5,12 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import runs
+import pytest
+
+from tidemark.operators import events as E
+from tidemark.operators import runs, validation
 from tidemark.plans import testdata as D
-from tidemark.schemas import RIVER_STATIONS
+from tidemark.schemas import RIVER, RIVER_STATIONS
 from tidemark.sources import lake as L
 
 EVENT = "event-00000000-0000-0000-0000-00000000000"
@@ -42,3 +45,45 @@ def test_packed_files_are_listed_beside_others(spark, tmp_path):
     assert L.lake_files(spark, str(tmp_path), ["quarantine"]).count() == 1
     assert {(r.run_id, r.captured_at.month) for r in found.collect()} == {(f"{EVENT}1-attempt-0002", 9), (f"{EVENT}2-attempt-0001", 9)}
     assert {r.prefix: (r.next_attempt, r.completed_run) for r in runs.run_catalog(files, found).collect()} == {f"{EVENT}1": (4, f"{EVENT}1-attempt-0002")}
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Plans are said in full, and nothing is broadcast because it happens to be small."""
+    names = {"spark.sql.debug.maxToStringFields": "100000", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield lambda df: df._jdf.queryExecution()
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def some_pages(spark):
+    rows = [("river", "p", "r", 1, ['{"id": 1}', "[]", None]), ("river", "p", "r", 2, ['{"id": "x", "title": 1}'])]
+    return spark.createDataFrame(rows, "endpoint string, provider string, run_id string, page_index int, results array<string>")
+
+
+@pytest.mark.parametrize("endpoint", [RIVER, RIVER_STATIONS])
+def test_a_record_is_judged_once(spark, whole_plans, endpoint):
+    """Each field's type is asked once or, with its parts, a few times, also where issues are filtered by."""
+    bad = validation.split_valid(validation.validate_records(some_pages(spark), endpoint))[1]
+    assert whole_plans(bad).optimizedPlan().toString().count("variant_get(") <= 3 * len(validation.RULES[endpoint]) + 10
+    assert sorted((r.record_index, len(r.issues) > 1) for r in bad.select("record_index", "issues").collect()) == [(0, True), (1, False), (2, False), (3, True)]
+
+
+def test_records_of_a_run_are_not_brought_to_one_task(spark, whole_plans):
+    runs_of = spark.createDataFrame([("r", 1), ("s", 2)], "run_id string, captured_at int")
+    rows = L.explode_records(some_pages(spark), runs_of)
+    assert "SortMergeJoin" not in whole_plans(rows).executedPlan().toString() and rows.where("ingested_at = 1").count() == 3
+    done = spark.createDataFrame([("e", "c", "r"), ("f", "d", "t")], "event_id string, correlation_id string, run_id string")
+    found = E.completion_receipts(done, runs_of.select("run_id", F.lit(5).alias("row_count"), F.current_timestamp().alias("completed_at")))
+    assert "SortMergeJoin" not in whole_plans(found).executedPlan().toString() and found.count() == 1
+
+
+def test_folders_are_listed_by_core(spark):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with L.folders_by_core(spark):
+        assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before
