@@ -103,11 +103,12 @@ def receipt_id(ingestion_event_id: Column) -> Column:
 def completion_receipts(ingested: DataFrame, results: DataFrame) -> DataFrame:
     """A processing.completed event for each ingestion event whose run has results.
 
-    ingested: event_id, correlation_id, run_id; results: run_id, row_count, completed_at.  Those that the
+    ingested: event_id, correlation_id, run_id; results: run_id, row_count, completed_at: one small row for each
+    run, broadcast, as a shuffle would bring all events of a run to one task.  Those that the
     lake keeps also say where outputs and reports are: `tidemark.operators.receipts`.
     """
     data = F.create_map(F.lit("ingestion_event_id"), F.col("event_id"), F.lit("run_id"), F.col("run_id"), F.lit("row_count"), F.col("row_count").cast("string"))
-    return ingested.join(results, "run_id").select(
+    return ingested.join(F.broadcast(results), "run_id").select(
         receipt_id(F.col("event_id")).alias("event_id"), F.lit(EVENT_TYPES[2]).alias("event_type"), F.col("completed_at").alias("occurred_at"), "correlation_id", F.lit(1).alias("schema_version"), data.alias("data"),
     )
 
