@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import events as E
@@ -165,3 +166,44 @@ def test_trace_and_receipts(spark):
     assert [r.kind for r in E.receipt_violations(receipts, other.limit(0)).collect()] == ["unknown"]
     said = receipts.select(E.encode_events(receipts).alias("j")).first().j
     assert list(json.loads(said)) == sorted(json.loads(said))
+
+
+class CountedState:
+    """A value of the state store that counts the messages it would cost."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return {"exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None)}[name]
+
+
+class CountedHandle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+
+    def getValueState(self, name, schema):
+        return CountedState(self.calls)
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.append(at)
+
+
+def test_a_request_of_a_batch_costs_few_messages_to_the_state_store():
+    handle, p = CountedHandle(), S.RetryProcessor(3)
+    p.init(handle)
+    row = lambda us, ok=False, kind="E": Row(request_id="a", us=us, ok=ok, error_type=None if ok else kind, error_message=None)
+
+    def said(*rows):
+        handle.calls.clear()
+        out = [x for x in p.handleInputRows(("a",), iter(rows), None)]
+        return out[0].attempts, out[0].first_failed_at, out[0].last_failed_at, out[0].route, out[0].newly_dead, len(handle.calls)
+
+    # However many outcomes come, and failures in no order; a known request without anything newer needs no timer.
+    assert said(*(row(1000 * n) for n in (9, 3, 7, 9)), *(row(1000 * n, True) for n in range(1, 4))) == (3, 7000, 9000, "dead-letter", True, 4)
+    assert said(row(8000)) == (4, 7000, 9000, "dead-letter", False, 3) and handle.timers == [10]
+    assert said(row(8500, True)) == (2, 9000, 9000, "pending", False, 3)
+    assert said(row(9000, True), row(8900)) == (0, None, None, "cleared", False, 3)
+    assert said(*(row(9500 + n % 2, kind=("E", "F")[n % 2]) for n in range(6)))[:5] == (6, 9500, 9501, "dead-letter", True)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager, nullcontext
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -89,14 +90,17 @@ def pipeline_trace_stream(requests: DataFrame, ingested: DataFrame, processed: D
     return traced.select("request_event_id", "ingestion_event_id", "processing_event_id", _plain_time("requested_at"), "ingested_at", _plain_time("processed_at"))
 
 
-ATTEMPTS = "request_id string, attempts long, first_failed_at timestamp, last_failed_at timestamp, last_error_type string, last_error_message string, route string, newly_dead boolean"
+# Times are microseconds here: plain numbers, in every time zone of a worker.
+ATTEMPTS = "request_id string, attempts long, first_failed_at long, last_failed_at long, last_error_type string, last_error_message string, route string, newly_dead boolean"
+FAILURE = "at: bigint, error_type: string, error_message: string"
 
 
 class RetryProcessor(StatefulProcessor):
     """The retry state of a request from outcomes that come in any order, as long as they aren't late.
 
     Failures above the watermark are kept one by one, as a success between them may still come;
-    those below are summed up.  A success is kept until the watermark passes it.
+    those below are summed up (old).  A success is kept until the watermark passes it, in one value with the failures
+    since (cleared): each value that is read or written costs a message to Spark and its answer.
     """
 
     def __init__(self, max_attempts: int):
@@ -104,69 +108,72 @@ class RetryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getMapState("open", "at timestamp, error_type string, error_message string", "n long")
-        self._old = handle.getValueState("old", "attempts long, first_at timestamp, at timestamp, error_type string, error_message string")
-        self._cleared = handle.getValueState("cleared", "at timestamp")
-        self._dead = handle.getValueState("dead", "is boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(rows)
-        cleared = self._cleared.get()[0] if self._cleared.exists() else None
-        ends = found.loc[found["ok"], "at"]
-        if len(ends) and (cleared is None or ends.max() > pd.Timestamp(cleared)):
-            cleared = ends.max().to_pydatetime()
-            self._cleared.update((cleared,))
-        gone = lambda at: cleared is not None and pd.Timestamp(at) <= pd.Timestamp(cleared)
-        if self._old.exists() and gone(self._old.get()[2]):
-            self._old.clear()
-        for known in [k for k, _ in self._open.iterator() if gone(k[0])]:
-            self._open.removeKey(known)
-        failed = found.loc[~found["ok"], ["at", "error_type", "error_message"]].astype(object).where(lambda x: x.notna(), None)
-        for at, kind, message in failed.itertuples(index=False):
-            if not gone(at):
-                failure = (pd.Timestamp(at).to_pydatetime(), kind, message)
-                n = self._open.getValue(failure)[0] if self._open.containsKey(failure) else 0
-                self._open.updateValue(failure, (n + 1,))
-        yield self._said(key)
-        # When all that is known is below the watermark, it is summed up or given up.
-        newest = max((pd.Timestamp(x) for x in [cleared, *(k[0] for k, _ in self._open.iterator())] if x is not None), default=None)
-        if newest is not None:
-            self._handle.registerTimer(int(newest.timestamp() * 1000) + 1)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        below = sorted(((k, n[0]) for k, n in self._open.iterator() if pd.Timestamp(k[0]) <= watermark), key=lambda x: _latest(x[0]))
-        for failure, n in below:
-            old = self._old.get() if self._old.exists() else (0, failure[0], *failure)
-            last = max(old[2:5], failure, key=_latest)
-            self._old.update((old[0] + n, min(old[1], failure[0]), *last))
-            self._open.removeKey(failure)
-        if self._cleared.exists() and pd.Timestamp(self._cleared.get()[0]) <= watermark:
+        # has_old: whether there is an old value too, so that it is read only then.
+        self._cleared = handle.getValueState("cleared", f"at bigint, failures array<struct<{FAILURE}, n: bigint>>, has_old boolean")
+        self._old = handle.getValueState("old", "attempts bigint, first_at bigint, at bigint, error_type string, error_message string")
+
+    def _known(self) -> tuple[int | None, Counter, tuple | None]:
+        """The last success, the failures since with their numbers, and the sum of those below the watermark."""
+        cleared, failures, has_old = self._cleared.get() if self._cleared.exists() else (None, [], True)
+        old = tuple(self._old.get()) if has_old and self._old.exists() else None
+        return cleared, Counter({tuple(f)[:3]: f[3] for f in failures}), old
+
+    def _keep(self, cleared: int | None, failures: Counter, has_old: bool) -> None:
+        if failures or cleared is not None:
+            self._cleared.update((cleared, [(*f, n) for f, n in failures.items()], has_old))
+        else:
             self._cleared.clear()
-        return iter(())
 
-    def _said(self, key: tuple) -> pd.DataFrame:
-        failures = [(k, n[0]) for k, n in self._open.iterator()]
-        if self._old.exists():
-            n, first, *last = self._old.get()
-            failures.append((tuple(last), n))
-        attempts = sum(n for _, n in failures)
-        first = min([k[0] for k, _ in failures] + ([self._old.get()[1]] if self._old.exists() else []), default=None)
-        last = max((k for k, _ in failures), key=_latest, default=(None, None, None))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        cleared, failures, old = self._known()
+        had_old, newest = old is not None, _newest(cleared, failures)
+        was_dead = failures.total() + (old[0] if old else 0) >= self._max
+        for row in rows:
+            if not row.ok:
+                if cleared is None or row.us > cleared:
+                    failures[row.us, row.error_type, row.error_message] += 1
+            elif cleared is None or row.us > cleared:
+                cleared = row.us
+                # What is behind it is forgotten as it comes: of a request with many outcomes little is held.
+                failures = Counter({f: n for f, n in failures.items() if f[0] > cleared}) if failures else failures
+        if old and cleared is not None and old[2] <= cleared:
+            old = None
+            self._old.clear()
+        self._keep(cleared, failures, old is not None)
+        # When all that is known is below the watermark, it is summed up or given up.
+        now = _newest(cleared, failures)
+        if now is not None and now != newest:
+            self._handle.registerTimer(now // 1000 + 1)
+        attempts = failures.total() + (old[0] if old else 0)
+        first = min([f[0] for f in failures] + ([old[1]] if old else []), default=None)
+        last = max([*failures, *([old[2:]] if old else [])], key=_latest, default=(None, None, None))
         dead = attempts >= self._max
-        was = self._dead.exists()
-        if dead and not was:
-            self._dead.update((True,))
-        if not dead and was:
-            self._dead.clear()
         route = "dead-letter" if dead else "pending" if attempts else "cleared"
-        times = [pd.to_datetime(pd.Series([x])) for x in (first, last[0])]
-        return pd.DataFrame({"request_id": [key[0]], "attempts": [attempts], "first_failed_at": times[0], "last_failed_at": times[1], "last_error_type": [last[1]], "last_error_message": [last[2]], "route": [route], "newly_dead": [dead and not was]})
+        yield Row(request_id=key[0], attempts=attempts, first_failed_at=first, last_failed_at=last[0], last_error_type=last[1], last_error_message=last[2], route=route, newly_dead=dead and not was_dead)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        cleared, failures, old = self._known()
+        below = {f: n for f, n in failures.items() if f[0] <= watermark}
+        if below:
+            firsts, lasts = [f[0] for f in below], list(below)
+            if old:
+                firsts.append(old[1])
+                lasts.append(old[2:])
+            old = (sum(below.values()) + (old[0] if old else 0), min(firsts), *max(lasts, key=_latest))
+            self._old.update(old)
+        if below or (cleared is not None and cleared <= watermark):
+            self._keep(cleared if cleared is not None and cleared > watermark else None, Counter({f: n for f, n in failures.items() if f not in below}), old is not None)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _newest(cleared: int | None, failures: Counter) -> int | None:
+    return max([f[0] for f in failures] + ([] if cleared is None else [cleared]), default=None)
+
+
 def _latest(failure: tuple) -> tuple:
     """The order of failures, of which the last is said: by time, then error, nulls first."""
     return failure[0], *((x is not None, x or "") for x in failure[1:3])
@@ -182,7 +189,11 @@ def retry_states(outcomes: DataFrame, *, late: str = "1 day", max_attempts: int
     """
     if max_attempts < 1:
         raise ValueError("max_attempts must be 1 or above")
-    return outcomes.withWatermark("at", late).groupBy("request_id").transformWithStateInPandas(RetryProcessor(max_attempts), ATTEMPTS, "Update", "EventTime")
+    failed = lambda name: F.when(~F.col("ok"), F.col(name)).alias(name)
+    rows = outcomes.withWatermark("at", late).select("request_id", "at", F.unix_micros("at").alias("us"), "ok", failed("error_type"), failed("error_message"))
+    states = rows.groupBy("request_id").transformWithState(RetryProcessor(max_attempts), ATTEMPTS, "Update", "EventTime")
+    times = {n: F.timestamp_micros(n).alias(n) for n in ("first_failed_at", "last_failed_at")}
+    return states.select(*(times.get(n, F.col(n)) for n in states.columns))
 
 
 def dead_letters(states: DataFrame) -> DataFrame:
