@@ -195,3 +195,26 @@ def test_sinks_do_not_overwrite(spark, tmp_path):
 def test_paths(spark):
     key = L.lake_path("raw", F.lit("p"), F.lit(RIVER), F.lit(datetime(2026, 9, 1, 7, tzinfo=UTC)), F.lit("r"), L.page_key(F.lit(3)))
     assert spark.range(1).select(key).first()[0] == "raw/provider=p/endpoint=river/year=2026/month=09/day=01/hour=07/run_id=r/page=000003/payload.json"
+
+
+def test_plain_records_are_told_by_their_types_and_others_by_the_rules(spark):
+    point = lambda *at, **more: {"point": {"type": "Point", "coordinates": list(at)} | more}
+    plain = [{}, point(85, 27.5), point(85, 27), {"basin": None, "waterLevel": 3, "province": None}, {"dataSourceId": "x", "image": "ä", "waterLevel": None}, {"createdOn": "2026-09-01"}, {"waterLevel": 1e300}]
+    odd = [
+        {"id": None}, {"id": "5"}, {"id": 5.0}, {"id": 5.5}, {"id": 10**30}, {"title": None}, {"title": 7}, {"basin": 1}, {"createdOn": "never"}, {"createdOn": 5}, {"createdOn": None}, {"waterLevelOn": "no time"},
+        {"waterLevel": "1.5"}, {"waterLevel": True}, {"province": 1.5}, {"dataSourceId": 1.5}, {"unknown": 1}, {"a b": "x"}, {"affectedDemography": {"maleCount": "1", "femaleCount": 1.5}}, {"affectedDemography": 1},
+        point(), point(1.5), point(1.5, 2.5, 3.5), point(1.5, None), point(None, None), point("1", 2.5), point("x", 2.5), point(1.5, True), point(1.5, 2.5, type="Line"), point(1.5, 2.5, type=None), point(1.5, 2.5, z=1), {"point": None}, {"point": [1, 2]},
+        {"point": {"type": "Point"}}, {"point": {"coordinates": [1.5, 2.5]}}, {"point": {"type": "Point", "coordinates": 1}},
+    ]
+    for endpoint in (RIVER, RIVER_STATIONS):
+        texts = [(n < len(plain), json.dumps(GOOD | more)) for n, more in enumerate(plain + odd)]
+        texts += [(False, json.dumps({k: v for k, v in GOOD.items() if k != gone})) for gone in ("id", "title", "point", "createdOn")] + [(False, t) for t in ('"oops"', "null", "[]", "{}", "not json", '{"id":1,"id":2}')]
+        if endpoint == RIVER_STATIONS:
+            texts = [(p, json.dumps({k: v for k, v in json.loads(t).items() if k != "station"}) if t.startswith('{"id": ') else t) for p, t in texts]
+        rows = spark.createDataFrame(texts, "plain boolean, text string")
+        v = F.try_parse_json("text")
+        told = rows.select("plain", "text", validation._is_plain(v, endpoint).alias("found"), validation.validation_issues(v, endpoint).alias("issues")).collect()
+        assert [r.text for r in told if r.found != r.plain] == [] and all(not r.issues for r in told if r.found)
+        pages = rows.groupBy().agg(F.collect_list("text").alias("results")).select(F.lit(endpoint).alias("endpoint"), F.lit("p").alias("provider"), F.lit("r").alias("run_id"), F.lit(0).alias("page_index"), "results")
+        judged = {r.raw: r.issues for r in validation.validate_records(pages, endpoint).collect()}
+        assert judged == {r.text: r.issues for r in told}
