@@ -87,3 +87,13 @@ def test_folders_are_listed_by_core(spark):
     with L.folders_by_core(spark):
         assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
     assert spark.conf.get(name) == before
+
+
+def test_an_event_is_hashed_and_looked_into_once(spark, whole_plans, tmp_path):
+    """Each id of a line is one digest, and each field of a decoded one is read once, for its value and its error alike."""
+    lines = D.pipeline_lines(spark, events(spark, tmp_path, 20, 4))
+    assert whole_plans(lines).optimizedPlan().toString().count("md5(") == 4
+    plain = spark.createDataFrame([("{}",)], "value string")
+    assert whole_plans(E.decode_events(plain)).optimizedPlan().toString().count("try_variant_get(") <= 8
+    found = {(r.line, r.event_id) for r in E.decode_events(lines).where("size(errors) = 0").collect()}
+    assert found == {(r.line, r.uuid) for r in D.table(spark, str(tmp_path), "events").where("event_type in ('click', 'signup', 'purchase')").select(F.col("event_id").alias("line"), D.event_uuid(F.col("event_id")).alias("uuid")).collect()}

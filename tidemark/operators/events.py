@@ -19,23 +19,27 @@ def decode_events(lines: DataFrame, value: str = "value", types: tuple[str, ...]
     """
     if types:
         lines = lines.where(F.get_json_object(value, "$.event_type").isin(*types))
-    # Generated: each use of an expression would parse the text again, also in filters pushed below.
-    v = F.col("_parsed")
-    text = lambda name: F.try_variant_get(v, f"$.{name}", "string")
-    data = F.try_variant_get(v, "$.data", "variant")
-    pairs = F.try_variant_get(v, "$.data", "map<string,variant>")
-    scalar = F.forall(F.map_values(pairs), lambda x: ~F.coalesce(F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"), F.lit(False)))
-    at, version = F.try_to_timestamp(text("occurred_at")), F.try_variant_get(v, "$.schema_version", "int")
+    # Generated: each use of an expression would parse the text, or look for the field, again, also in filters pushed below.
+    v, e = F.col("_parsed"), lambda name: F.col(f"_e.{name}")
+    text = lambda name: F.try_variant_get(v, f"$.{name}", "string").alias(name)
+    names = ("event_id", "event_type", "occurred_at", "correlation_id")
+    found = F.struct(
+        v.isNotNull().alias("json"), *map(text, names), F.try_to_timestamp(text("occurred_at")).alias("at"), F.try_variant_get(v, "$.schema_version", "int").alias("schema_version"),
+        F.try_variant_get(v, "$.data", "map<string,variant>").alias("pairs"),
+    )
+    kind = F.schema_of_variant
+    scalar = F.forall(F.map_values(e("pairs")), lambda x: ~F.coalesce(kind(x).startswith("OBJECT") | kind(x).startswith("ARRAY"), F.lit(False)))
     bad = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
     errors = [
-        F.when(v.isNull(), F.lit("not_json")), bad(text("event_id").rlike(UUID), "event_id"), bad(text("event_type").isin(*EVENT_TYPES), "event_type"),
-        bad(text("occurred_at").rlike(ZONED) & at.isNotNull(), "occurred_at"), bad(text("correlation_id").rlike(UUID), "correlation_id"), bad(version >= 1, "schema_version"),
-        bad(data.isNotNull() & pairs.isNotNull() & scalar, "data"),
+        F.when(~e("json"), F.lit("not_json")), bad(e("event_id").rlike(UUID), "event_id"), bad(e("event_type").isin(*EVENT_TYPES), "event_type"),
+        bad(e("occurred_at").rlike(ZONED) & e("at").isNotNull(), "occurred_at"), bad(e("correlation_id").rlike(UUID), "correlation_id"), bad(e("schema_version") >= 1, "schema_version"),
+        bad(e("pairs").isNotNull() & scalar, "data"),
     ]
-    texts = F.transform_values(pairs, lambda _, x: F.try_variant_get(x, "$", "string"))
-    return lines.select("*", F.explode(F.array(F.try_parse_json(value))).alias("_parsed")).select(
-        *lines.columns, text("event_id").alias("event_id"), text("event_type").alias("event_type"), at.alias("occurred_at"), text("correlation_id").alias("correlation_id"),
-        version.alias("schema_version"), texts.alias("data"), F.filter(F.array(*errors), lambda x: x.isNotNull()).alias("errors"),
+    texts = F.transform_values(e("pairs"), lambda _, x: F.try_variant_get(x, "$", "string"))
+    parsed = lines.select("*", F.explode(F.array(F.try_parse_json(value))).alias("_parsed")).select(*lines.columns, F.explode(F.array(found)).alias("_e"))
+    return parsed.select(
+        *lines.columns, e("event_id"), e("event_type"), e("at").alias("occurred_at"), e("correlation_id"), e("schema_version"), texts.alias("data"),
+        F.filter(F.array(*errors), lambda x: x.isNotNull()).alias("errors"),
     )
 
 
