@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from tidemark.operators import events as E
-from tidemark.operators import runs, validation
+from tidemark.operators import quality, runs, transforms, validation
 from tidemark.plans import testdata as D
 from tidemark.schemas import RIVER, RIVER_STATIONS
 from tidemark.sources import lake as L
@@ -97,3 +97,32 @@ def test_an_event_is_hashed_and_looked_into_once(spark, whole_plans, tmp_path):
     assert whole_plans(E.decode_events(plain)).optimizedPlan().toString().count("try_variant_get(") <= 8
     found = {(r.line, r.event_id) for r in E.decode_events(lines).where("size(errors) = 0").collect()}
     assert found == {(r.line, r.uuid) for r in D.table(spark, str(tmp_path), "events").where("event_type in ('click', 'signup', 'purchase')").select(F.col("event_id").alias("line"), D.event_uuid(F.col("event_id")).alias("uuid")).collect()}
+
+
+def test_a_record_is_parsed_once(spark, whole_plans):
+    """Whatever is asked of its fields, also where rows are filtered by them."""
+    ended = spark.createDataFrame([("r", None)], "run_id string, captured_at timestamp")
+    for endpoint, of in ((RIVER, transforms.transform_historical_observations), (RIVER_STATIONS, transforms.transform_station_observations)):
+        rows = of(L.parse_records(L.explode_records(some_pages(spark), ended), endpoint))
+        assert whole_plans(rows).optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_rows_without_a_key_are_not_brought_to_one_task(spark, whole_plans):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(400).select(F.col("id").cast("string").alias("station_id"), F.when(F.col("id") < 0, "never").alias("station_series_id"), F.lit("n").alias("station_name"), F.lit("b").alias("basin_name"), F.lit("r").alias("run_id"), F.lit(1.0).alias("latitude"), F.lit(1.0).alias("longitude"))
+        graded = quality.station_quality(rows).select("quality_status", F.spark_partition_id().alias("task"))
+        assert {r.n > 50 for r in graded.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()} == {True} and graded.select("task").distinct().count() == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_summary_flags_rows_once(spark, whole_plans):
+    lists = ((["a", "b"], ["w"]), (["b"], []), ([], ["w"]), ([], []))
+    rows = spark.createDataFrame([("r", "fail", *lists[0]), ("r", "fail", *lists[1]), ("r", "warn", *lists[2]), ("s", "pass", *lists[3])], "run_id string, quality_status string, quality_errors array<string>, quality_warnings array<string>")
+    out = quality.dataset_quality_summary(rows, ["run_id"])
+    assert whole_plans(out).optimizedPlan().toString().count("LogicalRDD") + whole_plans(out).optimizedPlan().toString().count("LocalRelation") == 1
+    found = {r.run_id: r for r in out.collect()}
+    assert [tuple(x) for x in found["r"].error_counts] == [("a", 1), ("b", 2)] and [tuple(x) for x in found["r"].warning_counts] == [("w", 2)]
+    assert (found["r"].total_rows, found["r"].pass_rows, found["r"].warn_rows, found["r"].fail_rows, found["r"].status) == (3, 0, 1, 2, "fail")
+    assert (found["s"].error_counts, found["s"].warning_counts, found["s"].pass_rows, found["s"].status) == (None, None, 1, "pass")
