@@ -126,3 +126,30 @@ def test_a_summary_flags_rows_once(spark, whole_plans):
     assert [tuple(x) for x in found["r"].error_counts] == [("a", 1), ("b", 2)] and [tuple(x) for x in found["r"].warning_counts] == [("w", 2)]
     assert (found["r"].total_rows, found["r"].pass_rows, found["r"].warn_rows, found["r"].fail_rows, found["r"].status) == (3, 0, 1, 2, "fail")
     assert (found["s"].error_counts, found["s"].warning_counts, found["s"].pass_rows, found["s"].status) == (None, None, 1, "pass")
+
+
+def test_pages_of_many_events_are_few_files(spark, tmp_path, monkeypatch):
+    """Packed pages are read, compared and processed as those in files of their own are."""
+    monkeypatch.setattr(D, "PAGE_EVENTS", 10)
+    sf_dir = events(spark, tmp_path / "sf", 600, 4)
+    lake = D.raw_lake(spark, sf_dir)
+    at = Path(lake.removeprefix("file:"))
+    assert 0 < len([p for p in at.rglob("page=*") if p.is_dir()]) <= D.LOOSE_PAGES * 6
+    known = {(r.endpoint, r.page): r.n for r in D.raw_records(spark, sf_dir).groupBy("endpoint", "page").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(known) > 60 and {(r.endpoint, r.page_index): r.record_count for r in L.raw_lineage(spark, lake).collect()} == known
+    for endpoint in (RIVER, RIVER_STATIONS):
+        mine = {page: n for (e, page), n in known.items() if e == endpoint}
+        assert {r.page_index: r.records for r in L.raw_page_counts(L.scan_raw_pages(spark, lake, endpoint, typed=False)).collect()} == mine
+        assert L.scan_raw_pages(spark, lake, endpoint, f"run-0-{endpoint}").count() == len(mine) and L.scan_raw_pages(spark, lake, endpoint, "run-9").count() == 0
+        assert {r.page_index for r in L.scan_listed_pages(spark, L.scan_manifests(spark, lake), endpoint).collect()} == set(mine)
+
+    def harm(rows):
+        """One packed page of the snapshots is said to be other bytes."""
+        odd = lambda p: p.withField("payload_sha256", F.when((F.col("endpoint") == RIVER_STATIONS) & (p["page_index"] == 50), "0").otherwise(p["payload_sha256"]))
+        return rows.withColumn("raw_pages", F.transform("raw_pages", odd))
+
+    other = str(tmp_path / "other")
+    D.add_manifests(spark, sf_dir, other, F.lit(True), harm)
+    good = D.raw_records(spark, sf_dir).where((F.col("endpoint") == RIVER) & (F.col("event_id") % 41 != 0)).count()
+    assert [(r.run_id, r.row_count) for r in runs.process_runs_idempotent(spark, other).collect()] == [(f"run-0-{RIVER}", good)]
+    assert [(r.run_id, r.missing, r.mismatched, r.miscounted) for r in runs.rejected_runs(spark, other).collect()] == [(f"run-0-{RIVER_STATIONS}", 0, 1, 0)]
